@@ -34,8 +34,6 @@ _ARGUMENTS = (
     rf"|{_NAME}{_VALUE}(?:\s*,\s*{_NAME}{_VALUE})*+)\s*,?\s*$"
 )
 
-_SOLUTION = "struct<kind:string,text:string,items:array<string>,pairs:map<string,string>>"
-
 
 def _let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once."""
@@ -222,13 +220,12 @@ def solution(positional: Column) -> Column:
         )
         .otherwise(
             F.struct(
-                F.lit("list"),
-                F.lit(None).cast("string"),
-                F.transform(positional, _unquote),
-                F.lit(None).cast("map<string,string>"),
+                F.lit("list").alias("kind"),
+                F.lit(None).cast("string").alias("text"),
+                F.transform(positional, _unquote).alias("items"),
+                F.lit(None).cast("map<string,string>").alias("pairs"),
             )
         )
-        .cast(_SOLUTION)
     )
 
 

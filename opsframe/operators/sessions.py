@@ -34,14 +34,12 @@ def service_view(messages: DataFrame, system: str, task: str) -> DataFrame:
     body = messages.join(closing, ["session_id", "turn"], "left_anti").select(
         "session_id", "turn", "role", "content"
     )
+    message = lambda turn, role, text: F.struct(
+        F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("content")
+    )
     front = ends.select(
         "session_id",
-        F.inline(
-            F.array(
-                F.struct(F.lit(-2).cast("long").alias("turn"), F.lit("system").alias("role"), F.lit(system).alias("content")),
-                F.struct(F.lit(-1).cast("long"), F.lit("user"), F.lit(task)),
-            )
-        ),
+        F.inline(F.array(message(-2, "system", system), message(-1, "user", task))),
     )
     return front.unionByName(body)
 

@@ -37,19 +37,20 @@ INVENTORY_SQL = f"SELECT DISTINCT {_POD} AS pod FROM events WHERE user_id % 7 <>
 )
 
 
-def _exprs(text: str) -> list[str]:
+def exprs(text: str) -> list[str]:
     """Split a select list at its top-level commas."""
-    out, depth, start = [], 0, 0
+    out, depth, start, quoted = [], 0, 0, False
     for i, ch in enumerate(text):
-        depth += (ch == "(") - (ch == ")")
-        if ch == "," and depth == 0:
+        quoted ^= ch == "'"
+        depth += 0 if quoted else (ch == "(") - (ch == ")")
+        if ch == "," and depth == 0 and not quoted:
             out.append(text[start:i])
             start = i + 1
     return [*out, text[start:]]
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").selectExpr(*_exprs(_SAMPLE))
+    rows = table(spark, sf_dir, "events").selectExpr(*exprs(_SAMPLE))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -76,7 +77,7 @@ LOGS_SQL = f"SELECT {_LOG} FROM events".replace("AS string", "AS VARCHAR")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").selectExpr(*_exprs(_LOG))
+    rows = table(spark, sf_dir, "events").selectExpr(*exprs(_LOG))
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -238,18 +239,18 @@ CATALOGUE_SQL = (
 SPANS_SQL = """
     SELECT CAST(o_orderkey AS VARCHAR) AS trace_id, 'root' AS span_id, 'ROOT' AS parent_span,
            'svc' || (o_custkey % 10) AS service_name, 'order' AS operation_name,
-           epoch_us(o_orderdate) AS start_time, CAST(o_totalprice AS BIGINT) AS duration,
+           epoch_us(o_orderdate) AS start_time, CAST(floor(o_totalprice) AS BIGINT) AS duration,
            o_orderstatus = 'F' AS has_error,
            CASE WHEN o_orderstatus = 'O' THEN 'Unknown' ELSE o_orderstatus END AS response
     FROM orders
     UNION ALL
     SELECT CAST(l_orderkey AS VARCHAR), 'line-' || l_linenumber, 'root',
-           'svc' || (l_suppkey % 10), 'pick', epoch_us(l_shipdate), CAST(l_quantity AS BIGINT),
+           'svc' || (l_suppkey % 10), 'pick', epoch_us(l_shipdate), CAST(floor(l_quantity) AS BIGINT),
            l_returnflag = 'R', CASE WHEN l_linestatus = 'F' THEN '5xx' ELSE '200' END
     FROM lineitem
     UNION ALL
     SELECT CAST(l_orderkey AS VARCHAR), 'ship-' || l_linenumber, 'line-' || l_linenumber,
-           'svc' || (l_partkey % 10), 'ship', epoch_us(l_shipdate), CAST(l_extendedprice AS BIGINT),
+           'svc' || (l_partkey % 10), 'ship', epoch_us(l_shipdate), CAST(floor(l_extendedprice) AS BIGINT),
            false, 'Unknown'
     FROM lineitem"""
 
@@ -321,7 +322,7 @@ SUBMISSIONS_SQL = f"""
 
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").selectExpr(*_exprs(_SUBMISSION))
+    rows = table(spark, sf_dir, "orders").selectExpr(*exprs(_SUBMISSION))
     listed = (
         "CASE WHEN sol_kind = 'list' THEN CASE WHEN o_orderkey % 4 = 0 THEN cast(array() AS array<string>) ELSE "
         "transform(sequence(0, cast(o_orderkey % 4 - 1 AS int)), "
@@ -349,7 +350,48 @@ STATUSES_SQL = f"SELECT {_STATUS} FROM lineitem".replace("AS string", "AS VARCHA
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").selectExpr(*_exprs(_STATUS))
+    return table(spark, sf_dir, "lineitem").selectExpr(*exprs(_STATUS))
+
+
+# --- scored sessions -------------------------------------------------------------------------
+
+PROBLEM_IDS = [row[0] for row in catalogue_rows()]
+_TICKS = "'```' || chr(10)"
+_CLOSE = "chr(10) || '```'"
+_LOOK = f"'Look first.' || chr(10) || {_TICKS} || 'exec_shell(\"kubectl get pods\")' || {_CLOSE}"
+_ARGUMENT = """CASE o_orderkey % 5 WHEN 0 THEN '"Yes"' WHEN 1 THEN '"no "'
+     WHEN 2 THEN '["user-service", "geo"]'
+     WHEN 3 THEN '{"system_level": " virtualization", "fault_type": "Misconfiguration"}' ELSE '' END"""
+_DONE = f"'Done.' || chr(10) || {_TICKS} || 'submit(' || {_ARGUMENT} || ')' || {_CLOSE}"
+_ENVELOPE = """
+    cast(o_orderkey AS string) AS session_id, 'agent' || cast(o_custkey % 3 AS string) AS agent,
+    'org/model-' || cast(o_custkey % 4 AS string) AS model, o_orderkey, o_custkey,
+    o_totalprice / 1000 AS spent"""
+
+
+_IDS = ", ".join(f"'{p}'" for p in PROBLEM_IDS)
+
+# Problem id by order key, from a list by position; positions past the list give an unknown id.
+SESSIONS_SQL = f"""
+    SELECT *, epoch(o_orderdate) AS start_time, epoch(o_orderdate) + spent AS end_time
+    FROM (SELECT {_ENVELOPE}, coalesce(([{_IDS}])[(o_orderkey // 5) % 97 + 1], 'unknown-' || cast((o_orderkey // 5) % 97 AS string)) AS problem_id, o_orderdate,
+                 {_LOOK} AS look, {_DONE} AS done FROM orders)""".replace("AS string", "AS VARCHAR")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as nested sessions: user, assistant, env, submitting assistant, env."""
+    say = "named_struct('role', '{0}', 'content', {1})"
+    trace = ", ".join((
+        say.format("user", "'Begin'"), say.format("assistant", _LOOK), say.format("env", "'ok'"),
+        say.format("assistant", _DONE), say.format("env", "'VALID'"),
+    ))
+    began = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("double")
+    no = "cast((o_orderkey div 5) % 97 AS int)"
+    picked = f"coalesce(get(array({_IDS}), {no}), 'unknown-' || cast({no} AS string))"
+    rows = table(spark, sf_dir, "orders").withColumn("start_time", began)
+    return rows.selectExpr(
+        *exprs(_ENVELOPE), f"{picked} AS problem_id", f"array({trace}) AS trace", "start_time"
+    ).withColumn("end_time", F.col("start_time") + F.col("spent"))
 
 
 # --- GPU-cluster trace -----------------------------------------------------------------------

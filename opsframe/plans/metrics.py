@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from opsframe.functions import metrics as fm
 from opsframe.functions.time import in_zone, to_ts
 from opsframe.operators import metrics as om
-from opsframe.plans.adapters import INVENTORY_SQL, SAMPLES_SQL, inventory, samples
+from opsframe.plans.adapters import INVENTORY_SQL, SAMPLES_SQL, exprs, inventory, samples
 from opsframe.plans.registry import query, table
 from opsframe.session import scratch_path
 from opsframe.sources.sinks import write_metrics
@@ -172,11 +172,9 @@ _MESH = """event_id, 'svc' || cast(user_id % 10 AS string) || '-' || cast(user_i
              ELSE '.' || protocol || '.' || coalesce(code, '') || '.' || coalesce(grpc_status, '') END AS kpi_name
     FROM m WHERE source = 'unknown' OR (source <> 'svc9' AND destination <> 'svc9')""")
 def metric_mesh_ids(spark, sf):
-    from opsframe.plans.adapters import _exprs
-
     c = F.col
     known = [f"svc{i}" for i in range(9)]
-    mesh = table(spark, sf, "events").selectExpr(*_exprs(_MESH))
+    mesh = table(spark, sf, "events").selectExpr(*exprs(_MESH))
     return mesh.filter(fm.mesh_known(c("source"), c("destination"), known)).select(
         "event_id",
         fm.mesh_id(c("pod"), c("source"), c("destination")).alias("cmdb_id"),

@@ -22,15 +22,27 @@ def write_spans(spans: DataFrame, folder: str, fmt: str = "parquet") -> None:
 
 
 def write_logs_sliced(
-    logs: DataFrame, folder: str, slice_length: str = "5 minutes", ts: str = "ts"
+    logs: DataFrame,
+    folder: str,
+    slice_length: str = "5 minutes",
+    ts: str = "ts",
+    folder_per: str = "day",
 ) -> None:
-    """Append logs, one folder per slice of time."""
+    """Append logs with their slice of time, in slice order.
+
+    Folders are days by default and ``slice_start`` is a sorted column in their files, so reading
+    one slice still skips the others without a folder (and a tiny file) for every five minutes;
+    ``folder_per="slice"`` makes one folder per slice.
+    """
     start = F.window(F.col(ts).cast("timestamp"), slice_length)["start"]
+    placed = logs.withColumn("slice_start", F.date_format(start, "yyyyMMdd'T'HHmmss"))
+    folders = {"day": "slice_day", "slice": "slice_start"}[folder_per]
+    if folder_per == "day":
+        placed = placed.withColumn("slice_day", F.substring("slice_start", 1, 8))
     (
-        logs.withColumn("slice_start", F.date_format(start, "yyyyMMdd'T'HHmmss"))
-        .repartitionByRange("slice_start", ts)
+        placed.repartitionByRange("slice_start", ts)
         .sortWithinPartitions("slice_start", ts)
-        .write.partitionBy("slice_start").mode("append").parquet(folder)
+        .write.partitionBy(folders).mode("append").parquet(folder)
     )
 
 
