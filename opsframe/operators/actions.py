@@ -116,92 +116,99 @@ def _split_call(block: Column) -> tuple[Column, Column, Column]:
     return both, name, strip(inside)
 
 
+def _bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    A plain projection is merged into later ones, and a filter on its result is rewritten onto its
+    input, which would repeat these regular expressions many times over. A one-row generator keeps
+    the values as they are.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def _with_tokens(df: DataFrame) -> DataFrame:
     tokens = F.regexp_extract_all("args_text", F.lit(f"((?:{_NAME})?{_VALUE})"), F.lit(1))
-    return (
-        df.withColumn("tokens", tokens)
-        .withColumn("positional", F.filter("tokens", lambda t: ~t.rlike("^" + _NAME)))
-        .withColumn("keywords", F.filter("tokens", lambda t: t.rlike("^" + _NAME)))
-    )
+    named = "^" + _NAME
+    return _bind(df, tokens=tokens).withColumns({
+        "positional": F.filter("tokens", lambda t: ~t.rlike(named)),
+        "keywords": F.filter("tokens", lambda t: t.rlike(named)),
+    }).drop("tokens")
 
 
-def extract_actions(messages: DataFrame, strict: bool = False) -> DataFrame:
-    """Assistant messages with ``api_name, args_text, command, positional, keywords, context,
-    parse_status``.
+def parse_calls(df: DataFrame, content: Column, strict: bool = False) -> DataFrame:
+    """Adds ``api_name, args_text, command, positional, keywords, context, parse_status`` read from
+    ``content``; rows where it is NULL get NULLs.
 
     Exactly one closed block is required. ``positional`` and ``keywords`` hold argument tokens as
     written; ``command`` is the unquoted shell text. ``strict`` rejects an indented closing fence.
     """
-    closed = F.regexp_extract_all("content", F.lit(_CLOSED_STRICT if strict else _CLOSED), F.lit(1))
-    both, name, inside = _split_call(F.col("block"))
+    closed = F.regexp_extract_all(
+        "_content", F.lit(_CLOSED_STRICT if strict else _CLOSED), F.lit(1)
+    )
+    both, name, inside = _split_call(F.col("_block"))
+    shell = F.col("api_name") == SHELL
+    no_arguments = F.col("args_text") == ""
     bare = F.when(
         F.col("args_text").startswith("command="),
         strip(F.replace("args_text", F.lit("command="), F.lit(""))),
     ).otherwise(F.col("args_text"))
-    quoted = lambda q: F.col("bare").startswith(q) & F.col("bare").endswith(q)
-    peeled = F.when(quoted('"'), F.regexp_replace("bare", r'^"+|"+$', "")).when(
-        quoted("'"), F.regexp_replace("bare", r"^'+|'+$", "")
+    quoted = lambda q: F.col("_bare").startswith(q) & F.col("_bare").endswith(q)
+    peeled = F.when(quoted('"'), F.regexp_replace("_bare", r'^"+|"+$', "")).when(
+        quoted("'"), F.regexp_replace("_bare", r"^'+|'+$", "")
     )
     unescaped = F.replace(
         F.replace(peeled, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")
     )
-    shell = F.col("api_name") == SHELL
-    no_arguments = F.col("args_text") == ""
     status = (
-        F.when(~F.col("one_block"), "bad_block")
-        .when(~F.col("is_call"), "no_call")
+        F.when(F.col("_content").isNull(), F.lit(None))
+        .when(~F.col("_one_block"), "bad_block")
+        .when(~F.col("_is_call"), "no_call")
         .when(no_arguments, "ok")
         .when(shell, F.when(F.col("command").isNull(), "bad_quotes").otherwise("ok"))
         .when(F.col("args_text").rlike(_ARGUMENTS), "ok")
         .otherwise("unsupported")
     )
-    ready = (
-        messages.filter(F.col("role") == "assistant")
-        .withColumn("one_block", F.size(closed) == 1)
-        .withColumn("block", _fenced(F.col("content")))
-        .withColumn("is_call", both)
-        .withColumn("api_name", name)
-        .withColumn("args_text", inside)
-        .withColumn("bare", bare)
-        .withColumn("command", F.when(shell & ~no_arguments, unescaped))
-        .withColumn("parse_status", status)
-        .withColumn("context", _context(F.col("content")))
-    )
-    return _with_tokens(ready).drop("one_block", "block", "is_call", "bare", "tokens")
+    read = _bind(df.withColumn("_content", content), _block=_fenced(F.col("_content")), _one_block=F.size(closed) == 1)
+    called = _bind(read, _is_call=both, api_name=name, args_text=inside)
+    worded = _bind(called, _bare=F.when(shell & ~no_arguments, bare))
+    spoken = _bind(worded, command=unescaped)
+    judged = _bind(spoken, parse_status=status, context=_context(F.col("_content")))
+    return _with_tokens(judged).drop("_content", "_block", "_one_block", "_is_call", "_bare")
+
+
+def extract_actions(messages: DataFrame, strict: bool = False) -> DataFrame:
+    """Assistant messages with the columns of ``parse_calls``."""
+    return parse_calls(messages.filter(F.col("role") == "assistant"), F.col("content"), strict)
 
 
 def onboarding_actions(messages: DataFrame) -> DataFrame:
     """Lenient form: a bare ``submit`` counts, anything that is no ``submit(...)`` is a shell command."""
-    fenced = _fenced(F.col("content"))
-    both, _, inside = _split_call(F.col("block"))
-    trimmed = strip(F.col("block"))
+    both, _, inside = _split_call(F.col("_block"))
+    trimmed = strip(F.col("_block"))
     bare_submit = trimmed == SUBMIT
     call = trimmed.startswith(SUBMIT + "(")
-    ready = (
-        messages.filter(F.col("role") == "assistant")
-        .withColumn("_fenced", fenced)
-        .withColumn(
-            "block",
-            F.when(F.col("_fenced") == "", strip(F.col("content"))).otherwise(F.col("_fenced")),
-        )
-        .withColumn("api_name", F.when(bare_submit | call, SUBMIT).otherwise(SHELL))
-        .withColumn(
-            "args_text",
-            F.when(bare_submit, "None").when(call & both, inside).otherwise(F.lit("")),
-        )
-        .withColumn(
-            "command",
-            F.when(F.col("api_name") == SHELL, F.regexp_replace("block", r"^[` \n]+|[` \n]+$", "")),
-        )
-        .withColumn(
-            "parse_status",
-            F.when((F.col("args_text") == "") | F.col("args_text").rlike(_ARGUMENTS), "ok").otherwise(
-                "unsupported"
-            ),
-        )
-        .withColumn("context", _context(F.col("content")))
+    ours = messages.filter(F.col("role") == "assistant")
+    fenced = _bind(ours, _fenced=_fenced(F.col("content")))
+    read = _bind(
+        fenced,
+        _block=F.when(F.col("_fenced") == "", strip(F.col("content"))).otherwise(F.col("_fenced")),
+    )
+    named = _bind(
+        read,
+        api_name=F.when(bare_submit | call, SUBMIT).otherwise(SHELL),
+        args_text=F.when(bare_submit, "None").when(call & both, inside).otherwise(F.lit("")),
+    )
+    understood = (F.col("args_text") == "") | F.col("args_text").rlike(_ARGUMENTS)
+    judged = _bind(
+        named,
+        command=F.when(
+            F.col("api_name") == SHELL, F.regexp_replace("_block", r"^[` \n]+|[` \n]+$", "")
+        ),
+        parse_status=F.when(understood, "ok").otherwise("unsupported"),
+        context=_context(F.col("content")),
     )
-    return _with_tokens(ready).drop("_fenced", "block", "tokens")
+    return _with_tokens(judged).drop("_fenced", "_block")
 
 
 def solution(positional: Column) -> Column:
@@ -229,19 +236,23 @@ def solution(positional: Column) -> Column:
     )
 
 
+def is_submit() -> Column:
+    return (F.col("parse_status") == "ok") & (F.col("api_name") == SUBMIT)
+
+
+def with_solution(df: DataFrame) -> DataFrame:
+    """Adds ``sol_kind, sol_text, sol_list, sol_map`` read from ``positional`` (NULL: nothing sent)."""
+    sent = F.when(F.col("positional").isNotNull(), solution(F.col("positional")))
+    parts = {"sol_kind": "kind", "sol_text": "text", "sol_list": "items", "sol_map": "pairs"}
+    bound = _bind(df, _sent=sent)
+    return bound.withColumns({name: F.col("_sent")[part] for name, part in parts.items()}).drop(
+        "_sent", "positional"
+    )
+
+
 def submitted_solution(actions: DataFrame) -> DataFrame:
     """Last well-formed ``submit`` of each session; pre-aggregated, one row per session travels."""
-    submits = actions.filter((F.col("parse_status") == "ok") & (F.col("api_name") == SUBMIT))
-    return (
-        submits.groupBy("session_id")
-        .agg(F.max("turn").alias("submit_turn"), F.max_by("positional", "turn").alias("positional"))
-        .withColumn("s", solution(F.col("positional")))
-        .select(
-            "session_id",
-            "submit_turn",
-            F.col("s.kind").alias("sol_kind"),
-            F.col("s.text").alias("sol_text"),
-            F.col("s.items").alias("sol_list"),
-            F.col("s.pairs").alias("sol_map"),
-        )
+    last = actions.filter(is_submit()).groupBy("session_id").agg(
+        F.max("turn").alias("submit_turn"), F.max_by("positional", "turn").alias("positional")
     )
+    return with_solution(last)

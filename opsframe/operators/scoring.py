@@ -13,9 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.match import exact_match, exact_match_ci
-from opsframe.functions.sessions import task_time
-from opsframe.operators.actions import extract_actions, submitted_solution
-from opsframe.operators.sessions import explode_sessions, usage
+from opsframe.functions.sessions import ASSISTANT, estimate_tokens, task_time
+from opsframe.operators.actions import SUBMIT, is_submit, parse_calls, with_solution
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -105,6 +104,42 @@ def unknown_problems(submissions: DataFrame, problems: DataFrame) -> DataFrame:
     return submissions.join(F.broadcast(problems.select("problem_id")), "problem_id", "left_anti")
 
 
+def _chars(trace: Column, ours: bool) -> Column:
+    """Total length of one side's messages."""
+    mine = F.filter(trace, lambda m: (m["role"] == ASSISTANT) == F.lit(ours))
+    return F.aggregate(
+        mine, F.lit(0).cast("long"), lambda total, m: total + F.coalesce(F.length(m["content"]), F.lit(0))
+    )
+
+
+def solved_sessions(sessions: DataFrame) -> DataFrame:
+    """Nested sessions with steps, token estimates and the last well-formed submission.
+
+    The sessions are read once. Counts come from the array in place; only messages that can be a
+    submission leave it, and of those one row per session goes through the exchange.
+    """
+    trace = F.col("trace")
+    can_submit = F.filter(
+        trace, lambda m: (m["role"] == ASSISTANT) & m["content"].contains(SUBMIT)
+    )
+    keys = [
+        "session_id", "agent", "problem_id", "start_time", "end_time",
+        "steps", "in_tokens", "out_tokens",
+    ]
+    counted = sessions.select(
+        *keys[:5],
+        F.size(F.filter(trace, lambda m: m["role"] == ASSISTANT)).cast("long").alias("steps"),
+        estimate_tokens(_chars(trace, False)).alias("in_tokens"),
+        estimate_tokens(_chars(trace, True)).alias("out_tokens"),
+        F.posexplode_outer(can_submit).alias("turn", "message"),
+    )
+    parsed = parse_calls(counted, F.col("message.content"))
+    last = parsed.groupBy(*keys).agg(
+        F.max_by("positional", F.when(is_submit(), F.col("turn"))).alias("positional")
+    )
+    return with_solution(last)
+
+
 def evaluate(
     sessions: DataFrame, problems: DataFrame, mitigation: DataFrame | None = None
 ) -> DataFrame:
@@ -113,12 +148,7 @@ def evaluate(
     ``mitigation`` is ``(session_id, success)`` from the recovery checks; without it the success of
     mitigation sessions is NULL, since it is not in the transcript.
     """
-    messages = explode_sessions(sessions)
-    solved = (
-        sessions.select("session_id", "agent", "problem_id", "start_time", "end_time")
-        .join(usage(messages), "session_id", "left")
-        .join(submitted_solution(extract_actions(messages)), "session_id", "left")
-    )
+    solved = solved_sessions(sessions)
     known = score_join(solved, problems)
     task = F.col("task")
     loc = score_localization(known).withColumnRenamed("success", "loc_success")

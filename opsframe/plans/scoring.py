@@ -133,7 +133,7 @@ _EVALUATE_SQL = f"""
              WHEN 1 THEN CASE WHEN expected = 'No' THEN 'Correct' ELSE 'Incorrect' END
              ELSE 'Invalid Format' END END AS detection_accuracy,
         CASE WHEN p.task = 'localization' THEN CASE WHEN o_orderkey % 5 = 2 AND component IN ('user-service', 'geo')
-             THEN 50.0 ELSE 0.0 END END AS localization_accuracy,
+             THEN 50.0::DOUBLE ELSE 0.0::DOUBLE END END AS localization_accuracy,
         CASE WHEN p.task = 'localization' THEN o_orderkey % 5 = 2 AND component IN ('user-service', 'geo') END AS is_subset,
         CASE WHEN p.task = 'analysis' THEN o_orderkey % 5 = 3 AND system_level = 'Virtualization' END AS system_level_correct,
         CASE WHEN p.task = 'analysis' THEN o_orderkey % 5 = 3 AND fault_type = 'Misconfiguration' END AS fault_type_correct,
