@@ -124,7 +124,7 @@ def score_unknown_problems(spark, sf):
 
 
 _EVALUATE_SQL = f"""
-    SELECT s.session_id, s.agent, s.problem_id, p.task, 2 AS steps,
+    SELECT s.session_id, s.agent, s.problem_id, p.task, CAST(2 AS BIGINT) AS steps,
         CAST(ceil((5 + 2 + 5) / 4.0) AS BIGINT) AS in_tokens,
         CAST(ceil((len(look) + len(done)) / 4.0) AS BIGINT) AS out_tokens,
         round(end_time - start_time, 6) AS task_time,

@@ -51,11 +51,11 @@ def read_logs_sliced(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
-def write_session_results(results: DataFrame, folder: str) -> None:
-    """Append results as JSON by agent and model; a model name's slashes become underscores."""
+def write_session_results(results: DataFrame, folder: str, mode: str = "append") -> None:
+    """Write results as JSON by agent and model; a model name's slashes become underscores."""
     (
         results.withColumn("model_safe", F.regexp_replace("model", "/", "_"))
         .repartitionByRange("agent", "model_safe", "session_id")
         .sortWithinPartitions("agent", "model_safe")
-        .write.partitionBy("agent", "model_safe").mode("append").json(folder)
+        .write.partitionBy("agent", "model_safe").mode(mode).json(folder)
     )
