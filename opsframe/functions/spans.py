@@ -21,11 +21,8 @@ def parent_span(references: Column) -> Column:
 
 
 def _is_true(value: Column) -> Column:
-    """Boolean true or the number 1, but never text."""
-    kind = F.schema_of_variant(value)
-    truth = F.when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
-    one = F.when(kind.rlike("^(BIGINT|DOUBLE|DECIMAL)"), F.try_variant_get(value, "$", "double") == 1)
-    return F.coalesce(truth, one, F.lit(False))
+    """Boolean true or the number 1, but never text (which prints with quotes)."""
+    return F.coalesce(F.to_json(value).rlike(r"^(?:true|1(?:\.0+)?(?:E0)?)$"), F.lit(False))
 
 
 def has_error(tags: Column) -> Column:

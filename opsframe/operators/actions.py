@@ -15,7 +15,6 @@ from opsframe.functions.match import strip
 SHELL = "exec_shell"
 SUBMIT = "submit"
 
-_FENCE = "```"
 _CLOSED_STRICT = r"(?sU)```\s*\n(.*?)\n```"
 # The closing fence may be indented with its block.
 _CLOSED = r"(?sU)```\s*\n(.*?)\n[ \t]*```"
@@ -42,18 +41,9 @@ def _let(value: Column, body) -> Column:
 
 def _fenced(content: Column) -> Column:
     """Lines between the first two lines that carry a fence; empty without two of them."""
-
-    def between(lines: Column) -> Column:
-        marks = F.filter(
-            F.transform(lines, lambda text, i: F.when(text.contains(_FENCE), i)),
-            lambda i: i.isNotNull(),
-        )
-        cut = lambda m: F.when(
-            F.size(m) >= 2, F.array_join(F.slice(lines, m[0] + 2, m[1] - m[0] - 1), "\n")
-        ).otherwise("")
-        return _let(marks, cut)
-
-    return _let(F.split(content, "\n", -1), between)
+    # Up to the next fence, then back to the end of the line before it.
+    opened = F.regexp_extract(content, r"(?s)```[^\n]*\n(.*?)```", 1)
+    return F.regexp_extract(opened, r"(?s)^(.*)\n", 1)
 
 
 def _context(content: Column) -> Column:
@@ -171,10 +161,13 @@ def parse_calls(df: DataFrame, content: Column, strict: bool = False) -> DataFra
     )
     read = _bind(df.withColumn("_content", content), _block=_fenced(F.col("_content")), _one_block=F.size(closed) == 1)
     called = _bind(read, _is_call=both, api_name=name, args_text=inside)
-    worded = _bind(called, _bare=F.when(shell & ~no_arguments, bare))
-    spoken = _bind(worded, command=unescaped)
-    judged = _bind(spoken, parse_status=status, context=_context(F.col("_content")))
-    return _with_tokens(judged).drop("_content", "_block", "_one_block", "_is_call", "_bare")
+    spoken = called.withColumn("_bare", F.when(shell & ~no_arguments, bare)).withColumn(
+        "command", unescaped
+    )
+    judged = _with_tokens(_bind(spoken, parse_status=status))
+    # Not bound: left out of the plan where nobody asks for it.
+    explained = judged.withColumn("context", _context(F.col("_content")))
+    return explained.drop("_content", "_block", "_one_block", "_is_call", "_bare")
 
 
 def extract_actions(messages: DataFrame, strict: bool = False) -> DataFrame:
@@ -206,9 +199,9 @@ def onboarding_actions(messages: DataFrame) -> DataFrame:
             F.col("api_name") == SHELL, F.regexp_replace("_block", r"^[` \n]+|[` \n]+$", "")
         ),
         parse_status=F.when(understood, "ok").otherwise("unsupported"),
-        context=_context(F.col("content")),
     )
-    return _with_tokens(judged).drop("_fenced", "_block")
+    explained = _with_tokens(judged).withColumn("context", _context(F.col("content")))
+    return explained.drop("_fenced", "_block")
 
 
 def solution(positional: Column) -> Column:

@@ -68,8 +68,8 @@ def _grid(cell_s: int, range_s: int, step_s: int) -> Column:
     ends = F.col("cell") * cell_s
     first = F.ceil(ends / step_s).cast("long")
     last = F.floor((ends - cell_s + range_s) / step_s).cast("long")
-    points = F.filter(F.sequence(first, F.greatest(first, last)), lambda k: k <= last)
-    return F.explode(F.transform(points, lambda k: k * step_s))
+    points = F.sequence(first * step_s, last * step_s, F.lit(step_s).cast("long"))
+    return F.explode(F.when(last >= first, points))
 
 
 def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int) -> DataFrame:
@@ -99,6 +99,7 @@ def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int) -> DataFr
         "inner",
         F.col("head.us").alias("first_us"),
         F.col("tail.us").alias("last_us"),
+        F.col("tail.value").alias("last_value"),
         F.when(F.col("before").isNotNull(), bridge).alias("bridge"),
         F.when(F.col("n") > 1, F.col("tail.inc")).otherwise(
             F.when(F.col("before").isNotNull(), bridge)
@@ -120,20 +121,39 @@ def rate(
     """
     cell_s = _check(range_s, step_s)
     spread = _fragments(samples, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
-    # The bridge into the first cell of a window starts outside it, so it is taken off again.
-    total = F.sum("inner") + F.coalesce(F.sum("bridge"), F.lit(0.0))
-    lead_in = F.coalesce(F.min_by("bridge", "cell"), F.lit(0.0))
     return (
         spread.groupBy(*series, "t")
-        .agg(
-            (total - lead_in).alias("increase"),
-            (F.max("last_us") - F.min("first_us")).alias("span_us"),
-        )
+        .agg(*_rate_parts())
         .filter(F.col("span_us") > 0)
-        .select(*series, "t", (F.col("increase") * MICROS / F.col("span_us")).alias("value"))
+        .select(*series, "t", _rate_value().alias("value"))
     )
 
 
+def _rate_parts() -> list[Column]:
+    # The bridge into the first cell of a window starts outside it, so it is taken off again.
+    total = F.sum("inner") + F.coalesce(F.sum("bridge"), F.lit(0.0))
+    lead_in = F.coalesce(F.min_by("bridge", "cell"), F.lit(0.0))
+    span = F.max("last_us") - F.min("first_us")
+    return [(total - lead_in).alias("increase"), span.alias("span_us")]
+
+
+def _rate_value() -> Column:
+    return F.col("increase") * MICROS / F.col("span_us")
+
+
+def _latest_parts(*names: str) -> list[Column]:
+    return [F.max_by(name, "cell").alias(name) for name in names]
+
+
+def _irate_valid(range_s: int) -> Column:
+    opens = (F.col("t") - range_s) * MICROS
+    return (F.col("prev_us") > opens) & (F.col("last_us") > F.col("prev_us"))
+
+
+def _irate_value() -> Column:
+    return F.col("last_inc") * MICROS / (F.col("last_us") - F.col("prev_us"))
+
+
 def irate(
     samples: DataFrame,
     series: Sequence[str],
@@ -143,14 +163,11 @@ def irate(
     """Per-second rate from the last two samples of each window."""
     cell_s = _check(range_s, step_s)
     spread = _fragments(samples, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
-    latest = [F.max_by(name, "cell").alias(name) for name in ("last_us", "prev_us", "last_inc")]
-    gap = F.col("last_us") - F.col("prev_us")
-    opens = (F.col("t") - range_s) * MICROS
     return (
         spread.groupBy(*series, "t")
-        .agg(*latest)
-        .filter((F.col("prev_us") > opens) & (gap > 0))
-        .select(*series, "t", (F.col("last_inc") * MICROS / gap).alias("value"))
+        .agg(*_latest_parts("last_us", "prev_us", "last_inc"))
+        .filter(_irate_valid(range_s))
+        .select(*series, "t", _irate_value().alias("value"))
     )
 
 
@@ -182,24 +199,30 @@ def query_range(
     step_s: int = DEFAULT_STEP,
 ) -> DataFrame:
     """Each metric by its own family: ``irate`` for network counters, ``rate`` for other counters,
-    the latest value for gauges.
+    the latest value for gauges; all of them in one pass.
 
     ``samples`` adds ``metric, namespace, interface``. As in the query forms it stands for, network
     counters are matched on their interface and the others on their namespace. Values have three
     decimals.
     """
-    series = ["metric", "pod"]
+    series = ["family", "metric", "pod"]
+    cell_s = _check(range_s, step_s)
     family = fm.metric_family(F.col("metric"))
-    here = F.col("namespace") == namespace
-    network = samples.filter((family == "network") & (F.col("interface") == fm.RATED_INTERFACE))
-    counters = samples.filter((family == "counter") & here)
-    gauges = samples.filter((family == "gauge") & here)
-    answers = (
-        irate(network, series, range_s, step_s)
-        .unionByName(rate(counters, series, range_s, step_s))
-        .unionByName(gauge_at(gauges, series, range_s, step_s))
+    wanted = F.when(family == "network", F.col("interface") == fm.RATED_INTERFACE).otherwise(
+        F.col("namespace") == namespace
+    )
+    chosen = samples.filter(wanted).withColumn("family", family)
+    spread = _fragments(chosen, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
+    folded = spread.groupBy(*series, "t").agg(
+        *_rate_parts(), *_latest_parts("last_value", "last_us", "prev_us", "last_inc")
+    )
+    value = (
+        F.when(F.col("family") == "gauge", F.col("last_value"))
+        .when(F.col("family") == "network", F.when(_irate_valid(range_s), _irate_value()))
+        .when(F.col("span_us") > 0, _rate_value())
     )
-    return answers.withColumn("value", fm.round3(F.col("value")))
+    answers = folded.select("metric", "pod", "t", fm.round3(value).alias("value"))
+    return answers.filter(F.col("value").isNotNull())
 
 
 def export_metrics(
