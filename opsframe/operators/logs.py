@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.logs import has_error_text, normalize_message
-from opsframe.functions.time import MICROS, epoch_micros, parse_landed
+from opsframe.functions.time import MICROS, parse_landed
 from opsframe.operators.ordered import first_n
 
 SLICE_ROWS = 7_500
@@ -117,10 +117,8 @@ def select_days(logs: DataFrame, start: datetime, end: datetime, day: str = "day
 
 
 def first_n_per_day(
-    logs: DataFrame, n: int = SLICE_ROWS, ts: str = "ts", tie: str = "log_id", slice_s: int = 300
+    logs: DataFrame, n: int = SLICE_ROWS, ts: str = "ts", tie: str = "log_id"
 ) -> DataFrame:
-    """The ``n`` oldest logs of each day. Days are split in slices, so a full day is many tasks."""
-    at = F.col(ts).cast("timestamp")
-    slice_no: Column = F.floor(epoch_micros(at) / F.lit(slice_s * MICROS))
-    dated = logs.withColumn("day", F.date_format(at, "yyyy-MM-dd"))
-    return first_n(dated, ["day"], [F.col(ts), F.col(tie)], slice_no, n)
+    """The ``n`` oldest logs of each day."""
+    dated = logs.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd"))
+    return first_n(dated, ["day"], [F.col(ts), F.col(tie)], n)

@@ -7,7 +7,8 @@ Rates work on *cells*: slices of ``gcd(step, range)`` seconds, so every grid win
 number of cells. A first exchange on (series, cell) folds each cell to one fragment (first sample,
 last sample, reset-adjusted increase); fragments are then joined up per series. The heaviest series
 is thereby spread over as many tasks as it has cells, and what is grouped by series alone is
-bounded by time span / cell length, not by samples.
+bounded by time span / cell length, not by samples. Where one cell of one series is itself too much
+for a task, ``parts`` folds it in that many pieces.
 """
 
 from __future__ import annotations
@@ -72,30 +73,32 @@ def _grid(cell_s: int, range_s: int, step_s: int) -> Column:
     return F.explode(F.when(last >= first, points))
 
 
-def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int) -> DataFrame:
-    """One row per (series, cell), with the step from the previous cell's last sample added."""
+def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int, parts: int) -> DataFrame:
+    """One row per (series, piece of a cell), with the step from the piece before added."""
+    if parts < 1 or (cell_s * MICROS) % parts:
+        raise ValueError("parts must divide the cell")
     placed = samples.select(
         *series, epoch_micros(F.col("ts")).alias("us"), "sample_id", "value"
-    ).withColumn("cell", _cell(F.col("us"), cell_s * MICROS))
-    inside = Window.partitionBy(*series, "cell").orderBy("us", "sample_id")
+    ).withColumn("piece", _cell(F.col("us"), cell_s * MICROS // parts))
+    inside = Window.partitionBy(*series, "piece").orderBy("us", "sample_id")
     increase = lambda now, before: F.when(now >= before, now - before).otherwise(now)
     stepped = placed.withColumn("prev", F.lag(F.struct("us", "value")).over(inside)).withColumn(
         "inc", increase(F.col("value"), F.col("prev.value"))
     )
     point = F.struct("us", "sample_id", "value", "inc", F.col("prev.us").alias("prev_us"))
-    folded = stepped.groupBy(*series, "cell").agg(
+    folded = stepped.groupBy(*series, "piece").agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.when(F.col("prev").isNotNull(), F.col("inc"))), F.lit(0.0)).alias("inner"),
         F.min_by(point, F.struct("us", "sample_id")).alias("head"),
         F.max_by(point, F.struct("us", "sample_id")).alias("tail"),
     )
-    along = Window.partitionBy(*series).orderBy("cell")
+    along = Window.partitionBy(*series).orderBy("piece")
     linked = folded.withColumn("before", F.lag("tail").over(along))
     bridge = increase(F.col("head.value"), F.col("before.value"))
     return linked.select(
         *series,
-        "cell",
-        "n",
+        "piece",
+        F.ceil(F.col("piece") / parts).cast("long").alias("cell"),
         "inner",
         F.col("head.us").alias("first_us"),
         F.col("tail.us").alias("last_us"),
@@ -113,6 +116,7 @@ def rate(
     series: Sequence[str],
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
+    parts: int = 1,
 ) -> DataFrame:
     """Per-second counter rate at each multiple of ``step_s``.
 
@@ -120,7 +124,7 @@ def rate(
     first and the last of them; a window needs two samples at different times. No extrapolation.
     """
     cell_s = _check(range_s, step_s)
-    spread = _fragments(samples, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
+    spread = _fragments(samples, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
     return (
         spread.groupBy(*series, "t")
         .agg(*_rate_parts())
@@ -132,7 +136,7 @@ def rate(
 def _rate_parts() -> list[Column]:
     # The bridge into the first cell of a window starts outside it, so it is taken off again.
     total = F.sum("inner") + F.coalesce(F.sum("bridge"), F.lit(0.0))
-    lead_in = F.coalesce(F.min_by("bridge", "cell"), F.lit(0.0))
+    lead_in = F.coalesce(F.min_by("bridge", "piece"), F.lit(0.0))
     span = F.max("last_us") - F.min("first_us")
     return [(total - lead_in).alias("increase"), span.alias("span_us")]
 
@@ -142,7 +146,7 @@ def _rate_value() -> Column:
 
 
 def _latest_parts(*names: str) -> list[Column]:
-    return [F.max_by(name, "cell").alias(name) for name in names]
+    return [F.max_by(name, "piece").alias(name) for name in names]
 
 
 def _irate_valid(range_s: int) -> Column:
@@ -159,10 +163,11 @@ def irate(
     series: Sequence[str],
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
+    parts: int = 1,
 ) -> DataFrame:
     """Per-second rate from the last two samples of each window."""
     cell_s = _check(range_s, step_s)
-    spread = _fragments(samples, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
+    spread = _fragments(samples, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
     return (
         spread.groupBy(*series, "t")
         .agg(*_latest_parts("last_us", "prev_us", "last_inc"))
@@ -197,6 +202,7 @@ def query_range(
     namespace: str,
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
+    parts: int = 1,
 ) -> DataFrame:
     """Each metric by its own family: ``irate`` for network counters, ``rate`` for other counters,
     the latest value for gauges; all of them in one pass.
@@ -212,7 +218,7 @@ def query_range(
         F.col("namespace") == namespace
     )
     chosen = samples.filter(wanted).withColumn("family", family)
-    spread = _fragments(chosen, series, cell_s).withColumn("t", _grid(cell_s, range_s, step_s))
+    spread = _fragments(chosen, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
     folded = spread.groupBy(*series, "t").agg(
         *_rate_parts(), *_latest_parts("last_value", "last_us", "prev_us", "last_inc")
     )

@@ -118,7 +118,7 @@ LINES_SQL = """
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stream per user, numbered in time order day by day; some lines have no timestamp."""
+    """One stream per user, numbered in time order hour by hour; some lines have no timestamp."""
     text = F.when(
         F.expr("event_id % 9 = 0"), F.concat(F.lit("event="), "event_type")
     ).otherwise(
@@ -132,7 +132,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("stream"), "ts", "event_id", text.alias("line")
     )
     numbered = number_rows(
-        rows, ["stream"], [F.col("ts"), F.col("event_id")], F.to_date("ts")
+        rows, ["stream"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts")
     )
     return numbered.select("stream", "seq", "line")
 

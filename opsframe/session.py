@@ -11,6 +11,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Top-n per group is cut before the exchange up to this n (the largest slice limit is 7,500).
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
