@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from opsframe import schemas
 from opsframe.operators.ordered import number_rows
@@ -59,28 +60,26 @@ def read_trace_dump(spark: SparkSession, path: str) -> DataFrame:
 
 def read_log_hits(spark: SparkSession, path: str) -> DataFrame:
     """Search pages ``{"hits": {"hits": [...]}}``, one per line, to single hits."""
-    page = f"hits STRUCT<hits: ARRAY<STRUCT<{_as_fields(schemas.LOG_HIT)}>>>"
+    hits = T.StructType().add("hits", T.ArrayType(T.StructType.fromDDL(schemas.LOG_HIT)))
+    page = T.StructType().add("hits", hits)
     return spark.read.schema(page).json(path).select(F.inline("hits.hits"))
 
 
-def _as_fields(ddl: str) -> str:
-    """Top-level ``name TYPE`` pairs of a DDL schema as struct fields."""
-    from pyspark.sql.types import StructType
-
-    inner = StructType.fromDDL(ddl).simpleString()
-    return inner[len("struct<"):-1]
-
-
-def read_sessions(spark: SparkSession, path: str, corrupt: bool = False) -> DataFrame:
-    """Session files, one JSON object each; unreadable files are left out, or returned instead."""
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Session files, one JSON object each; files that are no JSON are left out."""
     schema = f"{schemas.SESSION}, _corrupt_record STRING"
     landed = spark.read.schema(schema).option("multiLine", True).json(path)
-    if corrupt:
-        broken = landed.withColumn("file", F.col("_metadata.file_path"))
-        return broken.filter(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
     return landed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
+def unreadable_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """The files left out, with their text."""
+    files = spark.read.text(path, wholetext=True)
+    return files.filter(F.try_parse_json("value").isNull()).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
+    )
+
+
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.KPI_TABLE).option("header", True).csv(path)
 
