@@ -1,5 +1,6 @@
-"""Writers. Rows are range-partitioned before a partitioned write, so a hot value is spread over
-several tasks and files, and each task writes few folders."""
+"""Writers. Rows are rebalanced by folder before a partitioned write: each task writes few folders,
+a folder with too many rows is split over several tasks and files, and small ones are put together.
+Unlike a range partitioning this needs no sampling pass over the input."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ def write_metrics(table: DataFrame, folder: str, fmt: str = "parquet") -> None:
     """Append the KPI table, one folder per metric, each file in time order."""
     (
         table.withColumn("kpi", F.split_part("kpi_name", F.lit("."), F.lit(1)))
-        .repartitionByRange("kpi", "timestamp")
+        .hint("rebalance", F.col("kpi"))
         .sortWithinPartitions("kpi", "timestamp")
         .write.partitionBy("kpi").mode("append").format(fmt).option("header", True).save(folder)
     )
@@ -40,8 +41,8 @@ def write_logs_sliced(
     if folder_per == "day":
         placed = placed.withColumn("slice_day", F.substring("slice_start", 1, 8))
     (
-        placed.repartitionByRange("slice_start", ts)
-        .sortWithinPartitions("slice_start", ts)
+        placed.hint("rebalance", F.col(folders))
+        .sortWithinPartitions(folders, "slice_start", ts)
         .write.partitionBy(folders).mode("append").parquet(folder)
     )
 
@@ -55,7 +56,7 @@ def write_session_results(results: DataFrame, folder: str, mode: str = "append")
     """Write results as JSON by agent and model; a model name's slashes become underscores."""
     (
         results.withColumn("model_safe", F.regexp_replace("model", "/", "_"))
-        .repartitionByRange("agent", "model_safe", "session_id")
+        .hint("rebalance", F.col("agent"), F.col("model_safe"))
         .sortWithinPartitions("agent", "model_safe")
         .write.partitionBy("agent", "model_safe").mode(mode).json(folder)
     )
