@@ -106,146 +106,185 @@ def _split_call(block: Column) -> tuple[Column, Column, Column]:
     return both, name, strip(inside)
 
 
-def _bind(df: DataFrame, **columns: Column) -> DataFrame:
-    """Add columns that are computed once per row.
+def _tokens(args_text: Column) -> Column:
+    return F.regexp_extract_all(args_text, F.lit(f"((?:{_NAME})?{_VALUE})"), F.lit(1))
+
+
+def _understood(args_text: Column) -> Column:
+    return (args_text == "") | args_text.rlike(_ARGUMENTS)
+
+
+def _shell_text(args_text: Column) -> Column:
+    """Text of the one quoted argument of a shell call; NULL when it is not quoted."""
+    bare = F.when(
+        args_text.startswith("command="),
+        strip(F.replace(args_text, F.lit("command="), F.lit(""))),
+    ).otherwise(args_text)
+
+    def unquote(text: Column) -> Column:
+        quoted = lambda q: text.startswith(q) & text.endswith(q)
+        peeled = F.when(quoted('"'), F.regexp_replace(text, r'^"+|"+$', "")).when(
+            quoted("'"), F.regexp_replace(text, r"^'+|'+$", "")
+        )
+        return F.replace(
+            F.replace(peeled, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")
+        )
+
+    return _let(bare, unquote)
+
+
+def _arguments(tokens: Column) -> tuple[Column, Column]:
+    """(positional, keyword) tokens."""
+    named = lambda t: t.rlike("^" + _NAME)
+    return F.filter(tokens, lambda t: ~named(t)), F.filter(tokens, named)
 
-    A plain projection is merged into later ones, and a filter on its result is rewritten onto its
-    input, which would repeat these regular expressions many times over. A one-row generator keeps
-    the values as they are.
+
+def parse_call(content: Column, strict: bool = False) -> Column:
+    """``struct<parse_status, api_name, args_text, command, tokens>`` of an agent message.
+
+    Exactly one closed block is required. ``tokens`` are the arguments as written, ``command`` is
+    the unquoted shell text. ``strict`` rejects an indented closing fence.
     """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
+    pattern = _CLOSED_STRICT if strict else _CLOSED
+    one_block = F.size(F.regexp_extract_all(content, F.lit(pattern), F.lit(1))) == 1
+
+    def call(block: Column) -> Column:
+        both, name, inside = _split_call(block)
+        return F.struct(both.alias("both"), name.alias("name"), inside.alias("inside"))
+
+    def result(c: Column) -> Column:
+        bare = c["inside"] == ""
+        shell = c["name"] == SHELL
+        command = F.when(shell & ~bare, _shell_text(c["inside"]))
+        status = (
+            F.when(~one_block, "bad_block")
+            .when(~c["both"], "no_call")
+            .when(bare, "ok")
+            .when(shell, F.when(command.isNull(), "bad_quotes").otherwise("ok"))
+            .when(_understood(c["inside"]), "ok")
+            .otherwise("unsupported")
+        )
+        return F.struct(
+            status.alias("parse_status"),
+            c["name"].alias("api_name"),
+            c["inside"].alias("args_text"),
+            command.alias("command"),
+            _tokens(c["inside"]).alias("tokens"),
+        )
 
+    return _let(_let(_fenced(content), call), result)
+
+
+def parse_lenient(content: Column) -> Column:
+    """As ``parse_call``, but a bare ``submit`` counts and anything that is no ``submit(...)`` is a
+    shell command."""
+
+    def result(block: Column) -> Column:
+        both, _, inside = _split_call(block)
+        trimmed = strip(block)
+        bare, call = trimmed == SUBMIT, trimmed.startswith(SUBMIT + "(")
+        args_text = F.when(bare, "None").when(call & both, inside).otherwise(F.lit(""))
+        command = F.when(~(bare | call), F.regexp_replace(block, r"^[` \n]+|[` \n]+$", ""))
+        return F.struct(
+            F.when(_understood(args_text), "ok").otherwise("unsupported").alias("parse_status"),
+            F.when(bare | call, SUBMIT).otherwise(SHELL).alias("api_name"),
+            args_text.alias("args_text"),
+            command.alias("command"),
+            _tokens(args_text).alias("tokens"),
+        )
 
-def _with_tokens(df: DataFrame) -> DataFrame:
-    tokens = F.regexp_extract_all("args_text", F.lit(f"((?:{_NAME})?{_VALUE})"), F.lit(1))
-    named = "^" + _NAME
-    return _bind(df, tokens=tokens).withColumns({
-        "positional": F.filter("tokens", lambda t: ~t.rlike(named)),
-        "keywords": F.filter("tokens", lambda t: t.rlike(named)),
-    }).drop("tokens")
+    whole = lambda block: F.when(block == "", strip(content)).otherwise(block)
+    return _let(_let(_fenced(content), whole), result)
 
 
-def parse_calls(df: DataFrame, content: Column, strict: bool = False) -> DataFrame:
-    """Adds ``api_name, args_text, command, positional, keywords, context, parse_status`` read from
-    ``content``; rows where it is NULL get NULLs.
+def _bind(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
 
-    Exactly one closed block is required. ``positional`` and ``keywords`` hold argument tokens as
-    written; ``command`` is the unquoted shell text. ``strict`` rejects an indented closing fence.
+    A filter on a projected value is rewritten onto its input, which would parse each message once
+    for every use. A one-row generator keeps the values as they are.
     """
-    closed = F.regexp_extract_all(
-        "_content", F.lit(_CLOSED_STRICT if strict else _CLOSED), F.lit(1)
-    )
-    both, name, inside = _split_call(F.col("_block"))
-    shell = F.col("api_name") == SHELL
-    no_arguments = F.col("args_text") == ""
-    bare = F.when(
-        F.col("args_text").startswith("command="),
-        strip(F.replace("args_text", F.lit("command="), F.lit(""))),
-    ).otherwise(F.col("args_text"))
-    quoted = lambda q: F.col("_bare").startswith(q) & F.col("_bare").endswith(q)
-    peeled = F.when(quoted('"'), F.regexp_replace("_bare", r'^"+|"+$', "")).when(
-        quoted("'"), F.regexp_replace("_bare", r"^'+|'+$", "")
-    )
-    unescaped = F.replace(
-        F.replace(peeled, F.lit('\\"'), F.lit('"')), F.lit("\\'"), F.lit("'")
-    )
-    status = (
-        F.when(F.col("_content").isNull(), F.lit(None))
-        .when(~F.col("_one_block"), "bad_block")
-        .when(~F.col("_is_call"), "no_call")
-        .when(no_arguments, "ok")
-        .when(shell, F.when(F.col("command").isNull(), "bad_quotes").otherwise("ok"))
-        .when(F.col("args_text").rlike(_ARGUMENTS), "ok")
-        .otherwise("unsupported")
-    )
-    read = _bind(df.withColumn("_content", content), _block=_fenced(F.col("_content")), _one_block=F.size(closed) == 1)
-    called = _bind(read, _is_call=both, api_name=name, args_text=inside)
-    spoken = called.withColumn("_bare", F.when(shell & ~no_arguments, bare)).withColumn(
-        "command", unescaped
-    )
-    judged = _with_tokens(_bind(spoken, parse_status=status))
-    # Not bound: left out of the plan where nobody asks for it.
-    explained = judged.withColumn("context", _context(F.col("_content")))
-    return explained.drop("_content", "_block", "_one_block", "_is_call", "_bare")
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
+def _actions(messages: DataFrame, parse) -> DataFrame:
+    ours = messages.filter(F.col("role") == "assistant")
+    parsed = _bind(ours, _call=parse(F.col("content"))).select("*", "_call.*")
+    positional, keywords = _arguments(F.col("tokens"))
+    return parsed.withColumns({
+        "positional": positional, "keywords": keywords, "context": _context(F.col("content")),
+    }).drop("_call", "tokens")
 
 
 def extract_actions(messages: DataFrame, strict: bool = False) -> DataFrame:
-    """Assistant messages with the columns of ``parse_calls``."""
-    return parse_calls(messages.filter(F.col("role") == "assistant"), F.col("content"), strict)
+    """Assistant messages with ``api_name, args_text, command, positional, keywords, context,
+    parse_status``."""
+    return _actions(messages, lambda content: parse_call(content, strict))
 
 
 def onboarding_actions(messages: DataFrame) -> DataFrame:
-    """Lenient form: a bare ``submit`` counts, anything that is no ``submit(...)`` is a shell command."""
-    both, _, inside = _split_call(F.col("_block"))
-    trimmed = strip(F.col("_block"))
-    bare_submit = trimmed == SUBMIT
-    call = trimmed.startswith(SUBMIT + "(")
-    ours = messages.filter(F.col("role") == "assistant")
-    fenced = _bind(ours, _fenced=_fenced(F.col("content")))
-    read = _bind(
-        fenced,
-        _block=F.when(F.col("_fenced") == "", strip(F.col("content"))).otherwise(F.col("_fenced")),
-    )
-    named = _bind(
-        read,
-        api_name=F.when(bare_submit | call, SUBMIT).otherwise(SHELL),
-        args_text=F.when(bare_submit, "None").when(call & both, inside).otherwise(F.lit("")),
-    )
-    understood = (F.col("args_text") == "") | F.col("args_text").rlike(_ARGUMENTS)
-    judged = _bind(
-        named,
-        command=F.when(
-            F.col("api_name") == SHELL, F.regexp_replace("_block", r"^[` \n]+|[` \n]+$", "")
-        ),
-        parse_status=F.when(understood, "ok").otherwise("unsupported"),
-    )
-    explained = _with_tokens(judged).withColumn("context", _context(F.col("content")))
-    return explained.drop("_fenced", "_block")
+    """Lenient form of ``extract_actions``."""
+    return _actions(messages, parse_lenient)
 
 
 def solution(positional: Column) -> Column:
-    """One positional argument is the solution itself; none or several are a list of them."""
-    only = positional[0]
-    kind = _kind(only)
-    return (
-        F.when(
-            F.size(positional) == 1,
-            F.struct(
-                kind.alias("kind"),
-                F.when(kind.isin("text", "number", "bool"), _unquote(only)).alias("text"),
-                F.when(kind == "list", _atoms(only)).alias("items"),
-                F.when(kind == "map", _pairs(only)).alias("pairs"),
-            ),
+    """``struct<kind, text, items, pairs>``: one positional argument is the solution itself; none or
+    several are a list of them."""
+    no_text = F.lit(None).cast("string")
+    no_pairs = F.lit(None).cast("map<string,string>")
+
+    def build(kind, text, items, pairs) -> Column:
+        return F.struct(
+            kind.alias("kind"), text.alias("text"), items.alias("items"), pairs.alias("pairs")
         )
-        .otherwise(
-            F.struct(
-                F.lit("list").alias("kind"),
-                F.lit(None).cast("string").alias("text"),
-                F.transform(positional, _unquote).alias("items"),
-                F.lit(None).cast("map<string,string>").alias("pairs"),
+
+    def single(token: Column) -> Column:
+        def by_kind(kind: Column) -> Column:
+            return build(
+                kind,
+                F.when(kind.isin("text", "number", "bool"), _unquote(token)),
+                F.when(kind == "list", _atoms(token)),
+                F.when(kind == "map", _pairs(token)),
             )
-        )
-    )
 
+        return _let(_kind(token), by_kind)
+
+    def choose(tokens: Column) -> Column:
+        many = build(F.lit("list"), no_text, F.transform(tokens, _unquote), no_pairs)
+        return F.when(F.size(tokens) == 1, _let(tokens[0], single)).otherwise(many)
 
-def is_submit() -> Column:
-    return (F.col("parse_status") == "ok") & (F.col("api_name") == SUBMIT)
+    return _let(positional, choose)
 
 
-def with_solution(df: DataFrame) -> DataFrame:
-    """Adds ``sol_kind, sol_text, sol_list, sol_map`` read from ``positional`` (NULL: nothing sent)."""
-    sent = F.when(F.col("positional").isNotNull(), solution(F.col("positional")))
+def _with_solution(df: DataFrame, positional: Column) -> DataFrame:
+    """Adds ``sol_kind, sol_text, sol_list, sol_map``; all NULL where nothing was sent."""
+    sent = F.when(positional.isNotNull(), solution(positional))
     parts = {"sol_kind": "kind", "sol_text": "text", "sol_list": "items", "sol_map": "pairs"}
     bound = _bind(df, _sent=sent)
-    return bound.withColumns({name: F.col("_sent")[part] for name, part in parts.items()}).drop(
-        "_sent", "positional"
-    )
+    return bound.withColumns({name: F.col("_sent")[part] for name, part in parts.items()}).drop("_sent")
+
+
+def _is_submit(call: Column) -> Column:
+    return (call["parse_status"] == "ok") & (call["api_name"] == SUBMIT)
 
 
 def submitted_solution(actions: DataFrame) -> DataFrame:
     """Last well-formed ``submit`` of each session; pre-aggregated, one row per session travels."""
-    last = actions.filter(is_submit()).groupBy("session_id").agg(
+    submits = actions.filter((F.col("parse_status") == "ok") & (F.col("api_name") == SUBMIT))
+    last = submits.groupBy("session_id").agg(
         F.max("turn").alias("submit_turn"), F.max_by("positional", "turn").alias("positional")
     )
-    return with_solution(last)
+    return _with_solution(last, F.col("positional")).drop("positional")
+
+
+def session_solution(sessions: DataFrame) -> DataFrame:
+    """Nested sessions with the solution last submitted; found in the row itself, no exchange."""
+    candidates = F.filter(
+        "trace", lambda m: (m["role"] == "assistant") & m["content"].contains(SUBMIT)
+    )
+    calls = F.filter(F.transform(candidates, lambda m: parse_call(m["content"])), _is_submit)
+    bound = _bind(sessions, _last=F.try_element_at(calls, F.lit(-1)))
+    positional = F.when(F.col("_last").isNotNull(), _arguments(F.col("_last.tokens"))[0])
+    return _with_solution(bound.withColumn("_positional", positional), F.col("_positional")).drop(
+        "_last", "_positional"
+    )

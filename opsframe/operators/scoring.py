@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from opsframe.functions.match import exact_match, exact_match_ci
 from opsframe.functions.sessions import ASSISTANT, estimate_tokens, task_time
-from opsframe.operators.actions import SUBMIT, is_submit, parse_calls, with_solution
+from opsframe.operators.actions import session_solution
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -113,31 +113,18 @@ def _chars(trace: Column, ours: bool) -> Column:
 
 
 def solved_sessions(sessions: DataFrame) -> DataFrame:
-    """Nested sessions with steps, token estimates and the last well-formed submission.
+    """Nested sessions with steps, token estimates and the solution last submitted.
 
-    The sessions are read once. Counts come from the array in place; only messages that can be a
-    submission leave it, and of those one row per session goes through the exchange.
+    All of it is read from the session's own array, so nothing is exchanged.
     """
     trace = F.col("trace")
-    can_submit = F.filter(
-        trace, lambda m: (m["role"] == ASSISTANT) & m["content"].contains(SUBMIT)
-    )
-    keys = [
+    return session_solution(sessions).select(
         "session_id", "agent", "problem_id", "start_time", "end_time",
-        "steps", "in_tokens", "out_tokens",
-    ]
-    counted = sessions.select(
-        *keys[:5],
         F.size(F.filter(trace, lambda m: m["role"] == ASSISTANT)).cast("long").alias("steps"),
         estimate_tokens(_chars(trace, False)).alias("in_tokens"),
         estimate_tokens(_chars(trace, True)).alias("out_tokens"),
-        F.posexplode_outer(can_submit).alias("turn", "message"),
-    )
-    parsed = parse_calls(counted, F.col("message.content"))
-    last = parsed.groupBy(*keys).agg(
-        F.max_by("positional", F.when(is_submit(), F.col("turn"))).alias("positional")
+        "sol_kind", "sol_text", "sol_list", "sol_map",
     )
-    return with_solution(last)
 
 
 def evaluate(

@@ -32,7 +32,7 @@ _SAMPLE = f"""
       AS interface,
     ts, event_id AS sample_id, value"""
 SAMPLES_SQL = f"SELECT {_SAMPLE} FROM events".replace("AS string", "AS VARCHAR")
-INVENTORY_SQL = f"SELECT DISTINCT {_POD} AS pod FROM events WHERE user_id % 7 <> 0".replace(
+INVENTORY_SQL = f"SELECT DISTINCT {_POD} AS pod FROM events WHERE value > 180".replace(
     "AS string", "AS VARCHAR"
 )
 
@@ -55,7 +55,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").filter("user_id % 7 <> 0")
+    """Pods that reported a high value at least once."""
+    events = table(spark, sf_dir, "events").filter("value > 180")
     return events.select(F.expr(_POD).alias("pod")).distinct()
 
 

@@ -196,17 +196,18 @@ def namespace_health(spark, sf):
     return oh.namespace_health(statuses(spark, sf), _spaces(spark, sf))
 
 
-# Pods with an odd supplier number in part 0 mod 5 have no statuses yet.
-_PENDING = "l_partkey % 5 = 0 AND l_suppkey % 41 = 0"
+# Rows of a high quantity are pods that are listed but have reported no status.
+_REPORTED = "l_quantity < 45"
 _READY_SQL = f"""
     SELECT namespace, coalesce(all_ready, false) AS all_ready FROM ({_SPACES_SQL}) LEFT JOIN (
-      SELECT namespace, bool_and(ready AND NOT ({_PENDING})) AS all_ready FROM ({STATUSES_SQL})
-      GROUP BY namespace) USING (namespace)"""
+      SELECT namespace, bool_and(pod_ready) AS all_ready FROM (
+        SELECT namespace, pod, coalesce(bool_and(ready) FILTER (WHERE {_REPORTED}), false) AS pod_ready
+        FROM ({STATUSES_SQL}) GROUP BY namespace, pod) GROUP BY namespace) USING (namespace)"""
 
 
 def _readiness(spark, sf):
     rows = statuses(spark, sf)
-    return oh.readiness(rows.filter(f"NOT ({_PENDING})"), rows, _spaces(spark, sf))
+    return oh.readiness(rows.filter(_REPORTED), rows, _spaces(spark, sf))
 
 
 @query("namespace_readiness", "A7", _READY_SQL)

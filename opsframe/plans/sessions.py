@@ -179,11 +179,15 @@ def action_onboarding(spark, sf):
 
 
 @query("problem_parts", "P19", f"""
-    SELECT s.session_id, p.fault, p.task, p.idx FROM ({SESSIONS_SQL}) s JOIN ({CATALOGUE_SQL}) p USING (problem_id)""")
+    SELECT s.session_id, coalesce(p.fault, '') AS fault, p.task, p.idx
+    FROM ({SESSIONS_SQL}) s LEFT JOIN ({CATALOGUE_SQL}) p USING (problem_id)""")
 def problem_id_parts(spark, sf):
     parts = problem_parts(F.col("problem_id"))
-    known = sessions(spark, sf).filter(~F.col("problem_id").startswith("unknown-"))
-    return known.withColumn("p", parts).select("session_id", "p.fault", "p.task", "p.idx")
+    return sessions(spark, sf).withColumn("p", parts).select(
+        "session_id", "p.fault", "p.task",
+        # Ids outside the catalogue end in a number as well.
+        F.when(F.col("p.task").isNotNull(), F.col("p.idx")).alias("idx"),
+    )
 
 
 # --- usage and history -----------------------------------------------------------------------
@@ -233,9 +237,6 @@ def history_trim(spark, sf):
 
 # --- completed work and caches ---------------------------------------------------------------
 
-_HALF = "session_id NOT LIKE '%7'"
-
-
 @query("sessions_completed", "A12", f"""
     SELECT DISTINCT agent, model, problem_id FROM ({SESSIONS_SQL})""")
 def sessions_completed(spark, sf):
@@ -266,11 +267,11 @@ def _requests(spark, sf):
 
 
 def _cache(spark, sf):
-    stored = _requests(spark, sf).filter("turn % 3 = 0")
+    stored = _requests(spark, sf).filter("role = 'user'")
     return stored.groupBy("payload_key").agg(F.min(F.concat(F.lit("re: "), "content")).alias("response"))
 
 
-_CACHE_SQL = f"SELECT role, content, min('re: ' || content) AS response FROM ({MESSAGES_SQL}) WHERE turn % 3 = 0 GROUP BY role, content"
+_CACHE_SQL = f"SELECT role, content, min('re: ' || content) AS response FROM ({MESSAGES_SQL}) WHERE role = 'user' GROUP BY role, content"
 
 
 @query("cache_lookup", "J5", f"""

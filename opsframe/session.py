@@ -51,6 +51,6 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so later passes do not recompute earlier ones."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
