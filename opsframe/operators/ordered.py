@@ -53,6 +53,34 @@ def running_total(
     )
 
 
+def with_previous(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    values: Sequence[str],
+    name: str = "previous",
+) -> DataFrame:
+    """Adds ``name``, a struct of the row before's ``values`` in its key (NULL on the first).
+
+    ``bucket`` must not decrease along the order. Inside a bucket this is a plain lag; the first row
+    of a bucket takes the last one of the bucket before from a table with one row per bucket.
+    """
+    keys = list(keys)
+    slotted = df.withColumn("_bucket", bucket)
+    picked = F.struct(*values)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    last = slotted.groupBy(*keys, "_bucket").agg(F.max_by(picked, F.struct(*order)).alias("_last"))
+    edges = last.select(*keys, "_bucket", F.lag("_last").over(along).alias("_edge"))
+    local = slotted.withColumn("_inside", F.lag(picked).over(inside))
+    return (
+        local.join(edges, [*keys, "_bucket"])
+        .withColumn(name, F.coalesce("_inside", "_edge"))
+        .drop("_bucket", "_inside", "_edge")
+    )
+
+
 def number_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column, name: str = "seq"
 ) -> DataFrame:

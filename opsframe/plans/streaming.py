@@ -11,7 +11,7 @@ from opsframe.plans.registry import query, table
 from opsframe.plans.scoring import _EVALUATE_SQL
 from opsframe.session import scratch_path
 from opsframe.sources.readers import stream_source
-from opsframe.streaming import jobs, slices, stateful
+from opsframe.streaming import jobs, slices, stateful, wide
 
 
 def _tail(spark, df, label):
@@ -61,13 +61,24 @@ def stream_compress(spark, sf):
     return spark.read.parquet(out).unionByName(rest)
 
 
-@query("stream_counter_rate", "R4", """
+@query("stream_compress_wide", "R3", _pass_sql(LINES_SQL))
+def stream_compress_wide(spark, sf):
+    root = scratch_path(spark, "wide-lines")
+    wide.stream_to(_tail(spark, log_lines(spark, sf), "lines"), wide.compress_batch(root))
+    done = wide.finished(spark, root, "stream STRING, seq LONG, line STRING")
+    return done.unionByName(wide.still_held(spark, root))
+
+
+_RATES_SQL = """
     SELECT series, us, sample_id, round(CASE WHEN value >= before THEN value - before ELSE value END
              * 1000000 / (us - before_us), 6) AS rate
     FROM (SELECT event_type || user_id % 10 AS series, epoch_us(ts) AS us, event_id AS sample_id, value,
                  lag(value) OVER s AS before, lag(epoch_us(ts)) OVER s AS before_us FROM events
           WINDOW s AS (PARTITION BY event_type, user_id % 10 ORDER BY ts, event_id))
-    WHERE us > before_us""")
+    WHERE us > before_us"""
+
+
+@query("stream_counter_rate", "R4", _RATES_SQL)
 def stream_counter_rate(spark, sf):
     stateful.use_state_store(spark)
     samples = table(spark, sf, "events").selectExpr(
@@ -79,6 +90,18 @@ def stream_counter_rate(spark, sf):
     return spark.read.parquet(out).withColumn("rate", F.round("rate", 6))
 
 
+@query("stream_counter_rate_wide", "R4", _RATES_SQL)
+def stream_counter_rate_wide(spark, sf):
+    samples = table(spark, sf, "events").selectExpr(
+        "concat(event_type, user_id % 10) AS series", "unix_micros(cast(ts AS timestamp)) AS us",
+        "event_id AS sample_id", "value",
+    )
+    root = scratch_path(spark, "wide-rates")
+    wide.stream_to(_tail(spark, samples, "samples"), wide.rate_batch(root))
+    rates = wide.finished(spark, root, "series STRING, us LONG, sample_id LONG, rate DOUBLE")
+    return rates.withColumn("rate", F.round("rate", 6))
+
+
 @query("stream_eval", "R5 C9 K4", f"""
     SELECT session_id, agent, problem_id, steps, success FROM ({_EVALUATE_SQL})""")
 def stream_eval(spark, sf):

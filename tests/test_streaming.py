@@ -9,7 +9,7 @@ from opsframe.operators.compress import compress_lines
 from opsframe.plans.adapters import log_lines
 from opsframe.plans.registry import table
 from opsframe.sources.readers import stream_source
-from opsframe.streaming import jobs, slices, stateful
+from opsframe.streaming import jobs, slices, stateful, wide
 
 
 def _run_in_parts(spark, tmp_path, parts, make, mode="append"):
@@ -84,3 +84,24 @@ def test_slices_over_batches(spark, tmp_path):
     want = rows.groupBy((F.floor(F.unix_seconds("ts") / 300) * 300).alias("slice_start"), "pod_name").agg(
         F.count(F.lit(1)).alias("n")).filter(F.col("slice_start") + 300 <= closed)
     assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_wide_forms_over_batches(spark, sf_dir, tmp_path):
+    lines = log_lines(spark, sf_dir).cache()
+    samples = table(spark, sf_dir, "events").selectExpr(
+        "event_type AS series", "unix_micros(cast(ts AS timestamp)) AS us", "event_id AS sample_id", "value").cache()
+    cuts = [(0, 3), (3, 4), (4, 10**6)]
+    days = ["us < 1704844800000000", "us >= 1704844800000000 AND us < 1705708800000000", "us >= 1705708800000000"]
+    for n in range(3):
+        lines.filter(f"seq >= {cuts[n][0]} AND seq < {cuts[n][1]}").coalesce(1).write.mode("append").parquet(str(tmp_path / "l"))
+        samples.filter(days[n]).coalesce(1).write.mode("append").parquet(str(tmp_path / "s"))
+        for name, df, write in (("l", lines, wide.compress_batch(str(tmp_path / "lo"), 2)), ("s", samples, wide.rate_batch(str(tmp_path / "so")))):
+            source = stream_source(spark, str(tmp_path / name), df.schema, "parquet", max_files=1)
+            wide.stream_to(source, write, str(tmp_path / f"{name}p"))
+    got = wide.finished(spark, str(tmp_path / "lo"), "stream STRING, seq LONG, line STRING").unionByName(wide.still_held(spark, str(tmp_path / "lo")))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, compress_lines(lines).collect()))
+    order = Window.partitionBy("series").orderBy("us", "sample_id")
+    want = samples.withColumn("p", F.lag(F.struct("us", "value")).over(order)).filter("us > p.us").select(
+        "sample_id", (F.expr("if(value >= p.value, value - p.value, value)") * 1000000 / F.expr("us - p.us")).alias("rate"))
+    rounded = lambda df: sorted((r.sample_id, round(r.rate, 9)) for r in df.collect())
+    assert rounded(wide.finished(spark, str(tmp_path / "so"), "series STRING, us LONG, sample_id LONG, rate DOUBLE")) == rounded(want)
