@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 DEFAULT_ZONE = "Asia/Shanghai"
 MICROS = 1_000_000
@@ -20,6 +23,16 @@ def to_ts(value: Column, kind: str) -> Column:
     raise ValueError(f"unknown timestamp kind: {kind}")
 
 
+def bound(value, like: DataType) -> Column:
+    """A range bound in the type of the column it is compared with, so that the scan gets the filter.
+
+    A naive ``datetime`` is read in the session zone, not in that of the driver's machine.
+    """
+    if isinstance(value, datetime):
+        return F.lit(value.isoformat(sep=" ")).cast(like)
+    return F.lit(value)
+
+
 def in_zone(ts: Column, zone: str = DEFAULT_ZONE, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Wall-clock text of an instant in a named zone (session zone is UTC)."""
     return F.date_format(F.from_utc_timestamp(ts, zone), pattern)

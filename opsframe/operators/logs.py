@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from opsframe.functions.logs import has_error_text, normalize_message
-from opsframe.functions.time import MICROS, parse_landed
+from opsframe.functions.time import MICROS, bound, parse_landed
 from opsframe.operators.ordered import first_n
 
 SLICE_ROWS = 7_500
@@ -87,9 +88,12 @@ def log_volume(logs: DataFrame, now: datetime, period: str, ts: str = "ts") -> D
             F.count(F.lit(1)).alias("log_count")
         ).limit(0)
     days, unit = VOLUME_PERIODS[period]
-    since = F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS")
-    # Also stated on the raw column, which a scan can use.
-    recent = logs.filter((at >= since) & (F.date_trunc("hour", at) >= since))
+    since = now - timedelta(days=days)
+    # The first condition follows from the second, and is one the scan can use.
+    recent = logs.filter(
+        (F.col(ts) >= bound(since, logs.schema[ts].dataType))
+        & (F.date_trunc("hour", at) >= bound(since, TimestampType()))
+    )
     return recent.groupBy(F.date_trunc(unit, at).alias("date")).agg(
         F.count(F.lit(1)).alias("log_count")
     )

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions import metrics as fm
-from opsframe.functions.time import MICROS, epoch_micros, epoch_seconds
+from opsframe.functions.time import MICROS, bound, epoch_micros, epoch_seconds
 
 DEFAULT_RANGE = 300
 DEFAULT_STEP = 60
@@ -31,9 +31,10 @@ def time_range(
     df: DataFrame, column: str, start, end, closed: str = "left"
 ) -> DataFrame:
     """Rows in ``[start, end)``; ``closed="both"`` also keeps the end point."""
-    ts = F.col(column)
-    upper = {"left": ts < F.lit(end), "both": ts <= F.lit(end)}[closed]
-    return df.filter((ts >= F.lit(start)) & upper)
+    ts, kind = F.col(column), df.schema[column].dataType
+    last = bound(end, kind)
+    upper = {"left": ts < last, "both": ts <= last}[closed]
+    return df.filter((ts >= bound(start, kind)) & upper)
 
 
 def exclude_pods(

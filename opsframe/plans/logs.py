@@ -197,7 +197,7 @@ def log_sliced_write(spark, sf):
     UNION ALL SELECT event_id, 'late' FROM events WHERE ts >= TIMESTAMP '2024-01-08'""")
 def log_union_days(spark, sf):
     events = table(spark, sf, "events")
-    early = time_range(events, "ts", F.expr("TIMESTAMP_NTZ'1970-01-01'"), F.expr("TIMESTAMP_NTZ'2024-01-10'"))
+    early = time_range(events, "ts", datetime(1970, 1, 1), datetime(2024, 1, 10))
     late = events.filter(F.col("ts") >= F.expr("TIMESTAMP_NTZ'2024-01-08'"))
     tag = lambda df, name: df.select("event_id", F.lit(name).alias("part"))
     return tag(early, "early").unionByName(tag(late, "late"))

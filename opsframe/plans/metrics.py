@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from opsframe.functions import metrics as fm
@@ -217,8 +219,7 @@ def time_in_zone(spark, sf):
     UNION ALL
     SELECT event_id, 'both' FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'""")
 def time_range(spark, sf):
-    # Bounds as expressions of the column's own type, so that the scan gets the filter.
-    lo, hi = F.expr("TIMESTAMP_NTZ'2024-01-05'"), F.expr("TIMESTAMP_NTZ'2024-01-20'")
+    lo, hi = datetime(2024, 1, 5), datetime(2024, 1, 20)
     events = table(spark, sf, "events")
     part = lambda closed: om.time_range(events, "ts", lo, hi, closed).select(
         "event_id", F.lit(closed).alias("closed")

@@ -49,3 +49,17 @@ def test_driver_entry(spark):
 
     assert driver.entry(spark).count() == 5501
     assert set(driver.queries()) >= set(driver.oracle_sql())
+
+
+@pytest.mark.parametrize("name,pushed", [
+    ("time_range", "GreaterThanOrEqual(ts,"), ("log_volume_day", "GreaterThanOrEqual(ts,"),
+    ("gpu_machine_load", "EqualTo(l_linestatus,F)"),
+])
+def test_filters_reach_the_scan(spark, name, pushed):
+    plan = CATALOG[name].build(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert pushed in plan
+
+
+def test_scans_read_only_what_is_used(spark):
+    plan = CATALOG["metric_rate_hourly"].build(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "props" not in plan.split("ReadSchema")[1]
