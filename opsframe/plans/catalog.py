@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from opsframe.plans import cluster, logs, metrics, scoring, sessions, streaming, traces  # noqa: F401
+from opsframe.plans import cluster, logs, metrics, scoring, sessions, sources, streaming, traces  # noqa: F401
 from opsframe.plans.registry import CATALOG, Build
 
 
