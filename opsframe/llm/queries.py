@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import chat, fingerprints, sharding
+from opsframe.llm import chat, fingerprints, packing, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -34,6 +34,16 @@ def _op3(spark, sf_dir):
     return sharding.shard_digest(sharding.shuffle_rows(table(spark, sf_dir, "documents")))
 
 
+@query("op5_bulk_best_fit")
+def _op5(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_compression_quality")
+def _op6(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
