@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import chat, fingerprints, packing, quality, sharding
+from opsframe.llm import bagminhash, chat, fingerprints, packing, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -34,6 +34,11 @@ def _op3(spark, sf_dir):
     return sharding.shard_digest(sharding.shuffle_rows(table(spark, sf_dir, "documents")))
 
 
+@query("op4_bagminhash")
+def _op4(spark, sf_dir):
+    return bagminhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 @query("op5_bulk_best_fit")
 def _op5(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
