@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bagminhash, chat, fingerprints, packing, quality, sharding
+from opsframe.llm import bagminhash, chat, fingerprints, packing, pii, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -79,3 +79,9 @@ def _op8(spark, sf_dir):
     )
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chat_digest(chat.with_examples(given.unionByName(probe)))
+
+
+@query("op10_weak_supervision_pii")
+def _op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.span_digest(pii.annotate(docs, pii.fit(docs)))
