@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bagminhash, chat, fingerprints, packing, pii, quality, sharding
+from opsframe.llm import bagminhash, chat, fingerprints, neighbours, packing, pii, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -81,6 +81,16 @@ def _op8(spark, sf_dir):
     return chat.chat_digest(chat.with_examples(given.unionByName(probe)))
 
 
+#: A fifth more pruning than exact search allows.
+FACTOR = 1.2
+
+
+@query("op9_vantage_points")
+def _op9(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 20 = 0"), factor=FACTOR)
+
+
 @query("op10_weak_supervision_pii")
 def _op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
