@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bagminhash, chat, fingerprints, neighbours, packing, pii, quality, sharding
+from opsframe.llm import bagminhash, chat, fingerprints, neighbours, packing, pieces, pii, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -49,6 +49,11 @@ def _op6(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op7_piece_transducer")
+def _op7(spark, sf_dir):
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
