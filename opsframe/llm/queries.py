@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bagminhash, chat, fingerprints, neighbours, packing, pieces, pii, quality, sharding
+from opsframe.llm import bagminhash, chat, fingerprints, neighbours, ngrams, packing, pieces, pii, quality, sharding
 from opsframe.llm.common import table
 from opsframe.session import configure
 
@@ -29,6 +29,11 @@ def _op1(spark, sf_dir):
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+@query("op2_deleted_interpolation")
+def _op2(spark, sf_dir):
+    return ngrams.score_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op3_two_pass_shuffle")
 def _op3(spark, sf_dir):
     return sharding.shard_digest(sharding.shuffle_rows(table(spark, sf_dir, "documents")))
