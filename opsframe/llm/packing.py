@@ -6,7 +6,7 @@ best fit for all of them at once. The sweep is a matching of brackets, and needs
 the counts of each size (at most two per possible length) give the height at which a size's brackets
 start, the rank of a document among its equals gives its own height, and a document is matched if
 the next bracket at its height is a gap. Then gaps shrink and the next round begins, until nothing
-fits; documents left over then open sequences of their own.
+fits; documents left over then open sequences of their own, laid end to end, and the rounds go on.
 """
 
 from __future__ import annotations
@@ -161,13 +161,44 @@ def _sweep(state: DataFrame) -> DataFrame:
     )
 
 
-def _opened(spark, first: int, count: int, capacity: int) -> DataFrame:
-    return spark.range(first, first + count).selectExpr(
+def _opened(spark, count: int, capacity: int) -> DataFrame:
+    return spark.range(count).selectExpr(
         "cast(null as long) item", "cast(null as long) size", "id seq", "cast(null as long) gap_before",
         f"cast({capacity} as long) gap",
     )
 
 
+def _laid_out(state: DataFrame, first: int, capacity: int) -> DataFrame:
+    """Opens sequences for documents that fit no gap: laid end to end by falling size, each stretch of
+    ``capacity`` is a sequence, and a document that crosses into the next one goes on waiting."""
+    waiting = state.filter("seq IS NULL").select("item", "size", F.pmod(F.xxhash64("item"), F.lit(SALTS)).alias("salt"))
+    place = ["size", "salt"]
+    before = Window.orderBy(F.desc("size"), "salt").rowsBetween(Window.unboundedPreceding, -1)
+    base = (  # at most SALTS rows per possible length
+        waiting.groupBy(*place).agg(F.sum("size").alias("held"))
+        .select(*place, F.coalesce(F.sum("held").over(before), F.lit(0)).alias("base"))
+    )
+    rank = F.row_number().over(Window.partitionBy(*place).orderBy("item"))
+    laid = (
+        waiting.withColumn("rank", rank).join(base, place)
+        .withColumn("start", F.col("base") + (F.col("rank") - 1) * F.col("size"))
+        .withColumn("stretch", F.expr(f"start div {capacity}"))
+        .withColumn("inside", F.expr(f"start % {capacity} + size <= {capacity}"))
+    )
+    whole = Window.partitionBy("stretch", "inside")
+    offset = F.col("start") - F.min("start").over(whole)
+    last = F.col("start") == F.max("start").over(whole)
+    placed = laid.select(
+        "item", "size", "inside", (F.col("stretch") + first).alias("_seq"), offset.alias("_offset"), last.alias("_last")
+    )
+    mine = lambda value: F.when(F.col("inside"), value)
+    end = F.lit(capacity) - F.col("_offset") - F.col("size")
+    return placed.select(
+        "item", "size", mine(F.col("_seq")).alias("seq"), mine(F.lit(capacity) - F.col("_offset")).alias("gap_before"),
+        mine(F.when(F.col("_last"), end).otherwise(0)).alias("gap"),
+    )
+
+
 def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``item``, ``seq``, ``offset`` for each (``item``, ``size``), sizes 1 to ``capacity``.
 
@@ -179,13 +210,13 @@ def best_fit(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     blank = F.lit(None).cast("long")
     left = items.select("item", "size", blank.alias("seq"), blank.alias("gap_before"), blank.alias("gap"))
     waiting, total = left.agg(F.count("item"), F.coalesce(F.sum("size"), F.lit(0))).first()
-    opened, placed, state = 0, [], left
-    moved = 0
+    opened, placed, moved = -(-total // capacity), [], 1
+    state = left.unionByName(_opened(spark, opened, capacity))
     while waiting:
-        if not moved:
-            more = -(-total // capacity)
-            state, opened = state.unionByName(_opened(spark, opened, more, capacity)), opened + more
-        state = landed(_sweep(state), "packing")
+        if moved:
+            state = landed(_sweep(state), "packing")
+        else:
+            state, opened = landed(_laid_out(state, opened, capacity), "packing"), opened - (-total // capacity)
         alone = F.col("seq").isNull()
         moved, waiting, total = state.agg(
             F.count("gap_before"), F.count(F.when(alone, F.col("item"))),

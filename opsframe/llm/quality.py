@@ -1,8 +1,9 @@
 """Compression classifier: which of two zstandard dictionaries, of good or of bad text, helps a text more.
 
-A dictionary is built from labelled texts of each class. A text is compressed once with either, and
-the difference of the two sizes over the text's length is its only feature; a logistic curve fitted
-on labelled texts that the dictionaries have not seen turns it into a score.
+A dictionary is built from labelled texts of each class. A text is compressed once with either; the
+difference of the two sizes over the text's length tells the classes apart. A logistic curve fitted
+on labelled texts that the dictionaries have not seen turns it into a score. The curve also sees how
+far the text compresses at all, since text that repeats itself leaves no difference to see.
 """
 
 from __future__ import annotations
@@ -26,41 +27,43 @@ class Model:
 
     good: bytes
     bad: bytes
-    slope: float
+    weights: tuple[float, float]
     offset: float
 
 
-def differences(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
-    """(size with the bad dictionary - size with the good one) / UTF-8 bytes; 0 for empty texts."""
+def features(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
+    """Per text: (size with the bad dictionary - size with the good one) / UTF-8 bytes, and the log of
+    the smaller size / UTF-8 bytes; both 0 for empty texts."""
     coders = []
     for content in (bad, good):
         held = zstandard.ZstdCompressionDict(content) if content else None
         if held:
             held.precompute_compress(level=LEVEL)
         coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_dict_id=False))
-    out = np.zeros(len(texts))
+    out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "replace")
         if raw:
-            out[i] = (len(coders[0].compress(raw)) - len(coders[1].compress(raw))) / len(raw)
+            with_bad, with_good = (len(coder.compress(raw)) for coder in coders)
+            out[i] = (with_bad - with_good) / len(raw), math.log(min(with_bad, with_good) / len(raw))
     return out
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, with targets drawn in as Platt does."""
-    ones, zeros = y.sum(), len(y) - y.sum()
-    aim = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
-    scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones(len(x))], 1)
-    weights = np.zeros(2)
+def logistic_fit(x: np.ndarray, y: np.ndarray, share: float, rounds: int = 60) -> tuple[tuple[float, ...], float]:
+    """Weights and offset of a logistic curve by Newton's method; classes count by ``share``, that of ones."""
+    middle, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
+    design = np.c_[(x - middle) / scale, np.ones(len(x))]
+    count = np.where(y == 1, share / max(y.sum(), 1), (1 - share) / max(len(y) - y.sum(), 1)) * len(y)
+    weights = np.zeros(design.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ weights, -30, 30)))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (aim - p))
-        weights += np.clip(step, -5, 5)
+        hessian = (design * (count * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(weights))
+        step = np.linalg.solve(hessian, design.T @ (count * (y - p)) - 1e-3 * weights)
+        weights += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(weights[0] / scale), float(weights[1])
+    plain = weights[:-1] / scale
+    return tuple(map(float, plain)), float(weights[-1] - plain @ middle)
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
@@ -86,12 +89,15 @@ def train(
 
     ``allowed`` is a condition on ``doc_id``. Every other row of a class's sample trains its
     dictionary, the others the curve. Rows without id, label or text are not used. Without labelled
-    text of both classes the score is the share of good labels (one half without any).
+    text of both classes the score is the share of good labels (one half without any). In the curve
+    the classes weigh as they do among all allowed labels.
     """
     ids = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     if allowed is not None:
         ids = ids.filter(allowed)
     ids = ids.groupBy("doc_id").agg(F.max("quality").alias("quality")).withColumn("_h", F.xxhash64("doc_id"))
+    ones, labelled = ids.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("quality")).first()
+    share = (ones + 1) / (labelled + 2)
     chosen = [ids.filter(F.col("quality") == q).orderBy("_h", "doc_id").limit(per_class) for q in (0, 1)]
     # At most 2 x per_class rows of two numbers, so both the broadcast and the answer are bounded.
     sample = (
@@ -105,28 +111,27 @@ def train(
     )
     texts = {q: [r.text for r in sample if r.quality == q] for q in (0, 1)}
     if not texts[0] or not texts[1]:
-        share = (len(texts[1]) + 1) / (len(texts[0]) + len(texts[1]) + 2)
-        return Model(b"", b"", 0.0, math.log(share / (1 - share)))
+        return Model(b"", b"", (0.0, 0.0), math.log(share / (1 - share)))
     good, bad = (_dictionary(texts[q][::2], dictionary_bytes) for q in (1, 0))
     if not good or not bad:
         good = bad = b""
     held = {q: texts[q][1::2] or texts[q] for q in (0, 1)}
-    x = differences(held[0] + held[1], good, bad)
-    return Model(good, bad, *logistic_fit(x, np.repeat([0.0, 1.0], [len(held[0]), len(held[1])])))
+    x = features(held[0] + held[1], good, bad)
+    return Model(good, bad, *logistic_fit(x, np.repeat([0.0, 1.0], [len(held[0]), len(held[1])]), share))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: better text) in place of any such column.
 
-    Null and empty texts have the difference 0, so they get the score of a text which neither
-    dictionary helps. Equal texts have equal scores. The score depends on the text alone.
+    Null and empty texts have features 0, as a text which neither dictionary helps nor zstandard
+    shortens. Equal texts have equal scores. The score depends on the text alone.
     """
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = differences(batch.fillna("").tolist(), model.good, model.bad)
-            z = np.clip(model.slope * x + model.offset, -700, 700)
+            x = features(batch.fillna("").tolist(), model.good, model.bad)
+            z = np.clip(x @ np.array(model.weights) + model.offset, -700, 700)
             yield pd.Series(1 / (1 + np.exp(-z)))
 
     return docs.withColumn("score", rate(F.col(text)))
