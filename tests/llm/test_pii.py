@@ -1,0 +1,97 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from opsframe.llm import pii
+
+BASE = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def holds(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    return {
+        "email": True, "ip": kind != "ip" or all(int(p) <= 255 for p in found.split(".")),
+        "card": 16 <= len(digits) <= 19 and luhn(digits), "phone": 8 <= len(digits) <= 15,
+    }[kind]
+
+
+def spans_by_hand(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k in BASE for m in re.finditer(BASE[k], text or "") if holds(k, m[0])]
+
+
+def check(df):
+    for r in pii.span_digest(pii.annotate(df, pii.fit(df))).join(df.select("doc_id", "text"), "doc_id").collect():
+        wanted = spans_by_hand(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(wanted).encode()).hexdigest(), (r.text[:200], wanted)
+        assert set(wanted) <= set(filter(None, r.spans.split(",")))
+        assert [r[f"n_{k}"] for k in BASE] == [sum(w.startswith(k + ":") for w in wanted) for k in BASE]
+        listed = [(list(BASE).index(s.split(":")[0]), int(s.split(":")[1])) for s in r.spans.split(",") if s]
+        assert listed == sorted(listed)
+
+
+def test_whole_table(docs):
+    check(docs)
+
+
+def test_random_texts(spark):
+    rng = random.Random(8)
+    parts = ["a@b.c", "@", "x_y", ".", "..", "-", " ", "+1 ", "(", ")", "4111 1111 1111 1111", "1.2.3.4", "256", "0", "9" * 17, "é", "😀",
+             "_d@e.f-g.h", "%", "+49 30 1234567", "12", "3"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))) for i in range(1500)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_odd_and_hostile_texts(spark, odd, none):
+    check(odd)
+    assert pii.span_digest(pii.annotate(none, pii.fit(none))).count() == 0
+    hostile = ["1 " * 20_000, "a" * 100_000, "a.b" * 20_000 + "@", "9" * 50_000, "1.2" * 20_000, "+1" + " (" * 20_000, "a@b.c " * 3000, "dot " * 5000 + "@ +1 "]
+    check(spark.createDataFrame(list(enumerate(hostile)), "doc_id long, text string"))
+    wide = odd.withColumns({"pii": F.lit(1), "_pii": F.lit(2), "_pii_email": F.lit(3), "kind": F.lit(4)})
+    assert pii.annotate(wide, pii.fit(wide)).count() == odd.count()
+
+
+def test_the_method_adds_spans(spark):
+    rows = [(i, f"call me: phone 202-555-{i:04d} or mail at jo{i}@ex.com now") for i in range(60)]
+    rows += [(100, "write to jane (at) example (dot) com please"), (101, "the host fe80:0:0:0:1:2:3:4 login"), (102, "nothing dot here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.span_digest(pii.annotate(df, pii.fit(df))).collect()}
+    assert got[5] == "email:39:49,phone:15:27"
+    assert got[100].startswith("email:9:") and got[101] == "ip:9:29" and got[102] == ""
+
+
+def test_em_finds_the_reliable_labeler():
+    """Labelers with known reliabilities vote on spans drawn at random; EM puts them in order."""
+    rng = random.Random(11)
+    sure = (0.95, 0.9, 0.75, 0.65, 0.55)
+    counts = {}
+    for _ in range(4000):
+        true = rng.random() < 0.5
+        votes = tuple((1 if (rng.random() < p) == true else -1) for p in sure)
+        counts[votes] = counts.get(votes, 0) + 1
+    _, rates = pii.estimate([(0, v, float(n)) for v, n in counts.items()])
+    found = [rates[j, 1, 1] for j in range(5)]
+    assert found[0] > found[2] > found[4] and abs(found[0] - 0.95) < 0.05
+
+
+def test_mask(spark):
+    schema = "text string, pii array<struct<kind:string,start:int,end:int,strict:boolean>>"
+    df = spark.createDataFrame([
+        ("é23456789", [("ip", 4, 7, True), ("email", 2, 5, True)]), ("abc", []), ("", []), (None, []),
+        ("abcdef", [("card", 0, 6, True), ("phone", 1, 2, True)]),
+    ], schema)
+    assert [r[0] for r in df.select(pii.mask(F.col("text"), F.col("pii"))).collect()] == ["é2[EMAIL]89", "abc", "", None, "[CARD]"]
