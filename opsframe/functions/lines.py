@@ -44,12 +44,16 @@ def masked_key(line: Column, pattern: str = TIMESTAMP_PATTERN) -> Column:
     doubled; a start mark is always followed by a space. NULL when the line has no timestamp.
     """
     safe = F.replace(line, F.lit(_MARK), F.lit(_MARK * 2))
-    found = timestamps(safe, pattern)
-    texts = F.split(safe, _UNICODE + pattern, -1)
+    parts = F.struct(
+        F.split(safe, _UNICODE + pattern, -1).alias("texts"), timestamps(safe, pattern).alias("found")
+    )
 
-    def piece(text: Column, i: Column) -> Column:
-        width = F.length(F.get(found, i))
-        blank = F.concat(F.lit(_MARK), F.repeat(F.lit(" "), width - 1))
+    def piece(text: Column, stamp: Column) -> Column:
+        blank = F.concat(F.lit(_MARK), F.repeat(F.lit(" "), F.length(stamp) - 1))
         return F.concat(text, F.coalesce(blank, F.lit("")))
 
-    return F.when(F.size(found) > 0, F.array_join(F.transform(texts, piece), ""))
+    def joined(p: Column) -> Column:
+        return F.when(F.size(p["found"]) > 0, F.array_join(F.zip_with(p["texts"], p["found"], piece), ""))
+
+    # The one-element array binds both scans of the line, so each is made once.
+    return F.transform(F.array(parts), joined)[0]

@@ -1,33 +1,34 @@
 """Log compression: neighbouring blocks that differ only in their timestamps collapse.
 
-Lines are ``(stream, seq, line)`` with ``seq`` dense and 0-based in each stream, as the readers
-produce them. A block goes away when the *next* block has the same masked key, so the last of a run
+Lines are ``(stream, seq, line)`` with ``seq`` in their order in each stream. A block goes away when the *next* block has the same masked key, so the last of a run
 survives; that makes the pass a comparison of direct neighbours, which splits at any point of a
 stream as long as each part can see one row of the next.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opsframe.functions.lines import TIMESTAMP_PATTERN, masked_key
-from opsframe.operators.ordered import LINES_PER_BUCKET, number_rows, split_with_next
+from opsframe.operators.ordered import LINES_PER_BUCKET, number_rows, with_next
 from opsframe.session import cut_lineage
 
 
 def compress_lines(
     lines: DataFrame, pattern: str = TIMESTAMP_PATTERN, lines_per_bucket: int = LINES_PER_BUCKET
 ) -> DataFrame:
-    """One pass over single lines (or ready-made blocks); surviving rows keep their ``seq``."""
-    order = Window.partitionBy("stream", "_bucket").orderBy("seq")
-    return (
-        split_with_next(lines.select("stream", "seq", "line"), "stream", "seq", lines_per_bucket)
-        .withColumn("_key", masked_key(F.col("line"), pattern))
-        .withColumn("_same", F.col("_key") == F.lead("_key").over(order))
-        .filter(~F.col("_guest") & ~F.coalesce("_same", F.lit(False)))
-        .select("stream", "seq", "line")
+    """One pass over single lines (or ready-made blocks); surviving rows keep their ``seq``.
+
+    ``seq`` only has to order the lines of a stream, gaps do not matter; ``lines_per_bucket`` is how
+    far a bucket reaches and does not change the answer.
+    """
+    following = with_next(
+        lines.select("stream", "seq", "line"), ["stream"], "seq", F.floor(F.col("seq") / lines_per_bucket),
+        "line", lambda line: masked_key(line, pattern), "_key",
     )
+    same = F.coalesce(F.col("_key_own") == F.col("_key"), F.lit(False))
+    return following.filter(~same).select("stream", "seq", "line")
 
 
 def renumber(lines: DataFrame, lines_per_bucket: int = LINES_PER_BUCKET) -> DataFrame:

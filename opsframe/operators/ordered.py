@@ -7,7 +7,7 @@ tied together with one pre-aggregated row each.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,13 @@ LINES_PER_BUCKET = 65_536
 SALTS = 256
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` in which NULL meets NULL; the keys come out once."""
+    other = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    met = [left[key].eqNullSafe(other[f"_right_{key}"]) for key in keys]
+    return left.join(other, met).drop(*(f"_right_{key}" for key in keys))
+
+
 def running_total(
     df: DataFrame,
     keys: Sequence[str],
@@ -47,7 +54,7 @@ def running_total(
     )
     local = slotted.withColumn("_inside", F.sum(value).over(inside))
     return (
-        local.join(base, [*keys, "_bucket"])
+        join_null_safe(local, base, [*keys, "_bucket"])
         .withColumn(name, F.col("_inside") + F.col("_base"))
         .drop("_bucket", "_inside", "_base")
     )
@@ -75,7 +82,7 @@ def with_previous(
     edges = last.select(*keys, "_bucket", F.lag("_last").over(along).alias("_edge"))
     local = slotted.withColumn("_inside", F.lag(picked).over(inside))
     return (
-        local.join(edges, [*keys, "_bucket"])
+        join_null_safe(local, edges, [*keys, "_bucket"])
         .withColumn(name, F.coalesce("_inside", "_edge"))
         .drop("_bucket", "_inside", "_edge")
     )
@@ -102,19 +109,31 @@ def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int)
     return salted.drop("_salt")
 
 
-def split_with_next(
-    df: DataFrame, key: str, seq: str, lines_per_bucket: int = LINES_PER_BUCKET
+def with_next(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    bucket: Column,
+    value: str,
+    found: Callable[[Column], Column],
+    name: str = "next",
 ) -> DataFrame:
-    """Split each key in buckets of consecutive ``seq``, each also holding the row that follows it.
+    """Adds ``name``: ``found(value)`` of the row after in its key (NULL on the last).
 
-    ``seq`` must be dense. Adds ``_bucket`` and ``_guest`` (true on the borrowed row). One exchange;
-    a neighbour window over (key, ``_bucket``) then needs no further one.
+    ``bucket`` must not decrease along the order; which buckets or numbers are present does not
+    matter. Inside a bucket this is a plain lead, after one exchange; the last row of a bucket takes
+    the first one of the next bucket there is from a table with one row per bucket.
     """
-    own = F.floor(F.col(seq) / lines_per_bucket)
-    opens = (F.col(seq) % lines_per_bucket == 0) & (F.col(seq) > 0)
-    homes = F.when(opens, F.array(own, own - 1)).otherwise(F.array(own))
-    return (
-        df.withColumn("_bucket", F.explode(homes))
-        .withColumn("_guest", F.col("_bucket") != own)
-        .repartition(key, "_bucket")
-    )
+    keys = list(keys)
+    slotted = df.withColumn("_bucket", bucket)
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(order)
+    along = Window.partitionBy(*keys).orderBy("_bucket")
+    first = slotted.groupBy(*keys, "_bucket").agg(F.min_by(F.struct(value), F.struct(order)).alias("_first"))
+    edges = first.select(*keys, "_bucket", F.lead("_first").over(along).alias("_edge"))
+    local = slotted.withColumn(name, found(F.col(value)))
+    local = local.withColumn("_inside", F.lead(F.struct(name)).over(inside))
+    joined = join_null_safe(local, edges, [*keys, "_bucket"])
+    return joined.withColumns({
+        f"{name}_own": F.col(name),
+        name: F.when(F.col("_inside").isNotNull(), F.col(f"_inside.{name}")).otherwise(found(F.col(f"_edge.{value}"))),
+    }).drop("_bucket", "_inside", "_edge")

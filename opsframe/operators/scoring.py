@@ -7,7 +7,7 @@ solution and the problem's truth; further ones can be put in ``SCORERS``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,13 +95,13 @@ SCORERS: dict[str, Scorer] = {
 
 
 def score_join(submissions: DataFrame, problems: DataFrame) -> DataFrame:
-    """Submissions with the truth of their problem. The catalogue is a literal of fixed size."""
-    return submissions.join(F.broadcast(problems), "problem_id")
+    """Submissions with the truth of their problem."""
+    return submissions.join(problems, "problem_id")
 
 
 def unknown_problems(submissions: DataFrame, problems: DataFrame) -> DataFrame:
     """Submissions whose problem id is not in the catalogue."""
-    return submissions.join(F.broadcast(problems.select("problem_id")), "problem_id", "left_anti")
+    return submissions.join(problems.select("problem_id"), "problem_id", "left_anti")
 
 
 def _chars(trace: Column, ours: bool) -> Column:
@@ -112,14 +112,14 @@ def _chars(trace: Column, ours: bool) -> Column:
     )
 
 
-def solved_sessions(sessions: DataFrame) -> DataFrame:
+def solved_sessions(sessions: DataFrame, envelope: Sequence[str] = ()) -> DataFrame:
     """Nested sessions with steps, token estimates and the solution last submitted.
 
     All of it is read from the session's own array, so nothing is exchanged.
     """
     trace = F.col("trace")
     return session_solution(sessions).select(
-        "session_id", "agent", "problem_id", "start_time", "end_time",
+        "session_id", "agent", "problem_id", "start_time", "end_time", *envelope,
         F.size(F.filter(trace, lambda m: m["role"] == ASSISTANT)).cast("long").alias("steps"),
         estimate_tokens(_chars(trace, False)).alias("in_tokens"),
         estimate_tokens(_chars(trace, True)).alias("out_tokens"),
@@ -128,14 +128,19 @@ def solved_sessions(sessions: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    sessions: DataFrame, problems: DataFrame, mitigation: DataFrame | None = None
+    sessions: DataFrame,
+    problems: DataFrame,
+    mitigation: DataFrame | None = None,
+    envelope: Sequence[str] = (),
 ) -> DataFrame:
-    """Nested sessions to one result row each.
+    """Nested sessions of known problems to one result row each; ``unknown_problems`` has the others.
+
+    Columns named in ``envelope`` are carried along.
 
     ``mitigation`` is ``(session_id, success)`` from the recovery checks; without it the success of
     mitigation sessions is NULL, since it is not in the transcript.
     """
-    solved = solved_sessions(sessions)
+    solved = solved_sessions(sessions, envelope)
     known = score_join(solved, problems)
     task = F.col("task")
     loc = score_localization(known).withColumnRenamed("success", "loc_success")
@@ -154,7 +159,7 @@ def evaluate(
     ]
     only = lambda name, column: F.when(task == name, F.col(column))
     return scored.select(
-        "session_id", "agent", "problem_id", "task",
+        "session_id", "agent", "problem_id", *envelope, "task",
         "steps", "in_tokens", "out_tokens", *times,
         only("detection", "accuracy").alias("detection_accuracy"),
         only("localization", "loc_accuracy").alias("localization_accuracy"),

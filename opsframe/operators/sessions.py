@@ -164,13 +164,14 @@ def remaining_problems(problems: DataFrame, sessions: DataFrame, agent: str, mod
 
 
 def payload_key(payload: Column) -> Column:
-    """Digest of the canonical text of a request."""
-    return F.sha2(F.to_json(payload), 256)
+    """Digest of the canonical text of a request; a NULL field differs from a missing one."""
+    return F.sha2(F.to_json(payload, {"ignoreNullFields": "false"}), 256)
 
 
 def cached_responses(requests: DataFrame, cache: DataFrame) -> DataFrame:
-    """Requests with their cached response (NULL on a miss). The cache has one row per key."""
-    return requests.join(cache.select("payload_key", "response"), "payload_key", "left")
+    """Requests with their cached response (NULL on a miss); of several for a key the smallest."""
+    one = cache.groupBy("payload_key").agg(F.min("response").alias("response"))
+    return requests.join(one, "payload_key", "left")
 
 
 def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:

@@ -34,6 +34,13 @@ LOG_HIT = """
         kubernetes: STRUCT<pod: STRUCT<name: STRING>, container: STRUCT<name: STRING>,
                            namespace: STRING, node: STRUCT<name: STRING>>>
 """
+LOG_HIT_FIELDS = """
+    _id: STRING,
+    _source: STRUCT<
+        `@timestamp`: STRING, message: STRING,
+        kubernetes: STRUCT<pod: STRUCT<name: STRING>, container: STRUCT<name: STRING>,
+                           namespace: STRING, node: STRUCT<name: STRING>>>
+"""
 LOG_TABLE = """
     log_id STRING, timestamp DOUBLE, date STRING, pod_name STRING, container_name STRING,
     namespace STRING, node_name STRING, message STRING

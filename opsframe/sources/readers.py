@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from opsframe import schemas
 from opsframe.operators.ordered import number_rows
@@ -40,6 +39,7 @@ def explode_metric_dump(dump: DataFrame) -> DataFrame:
             label("namespace").alias("namespace"),
             label("interface").alias("interface"),
             F.col("metric").alias("labels"),
+            F.xxhash64(F.array_sort(F.map_entries("metric"))).alias("series_id"),
             F.timestamp_seconds("timestamp").alias("ts"),
             F.col("sample_id").cast("long").alias("sample_id"),
             F.col("point")[1].try_cast("double").alias("value"),
@@ -47,37 +47,72 @@ def explode_metric_dump(dump: DataFrame) -> DataFrame:
     )
 
 
+_PAGE = f"hits STRUCT<hits: ARRAY<STRUCT<{schemas.LOG_HIT_FIELDS}>>>"
+
+
+def _landed_json(spark: SparkSession, path: str, schema: str, whole_files: bool = False) -> DataFrame:
+    """JSON rows with ``_corrupt_record``: the text of a row that is cut short or has a wrong type."""
+    read = spark.read.schema(f"{schema}, _corrupt_record STRING")
+    return read.option("multiLine", whole_files).json(path)
+
+
+def _unread(landed: DataFrame) -> Column:
+    """True on rows that could not be read whole.
+
+    A field is only checked if it is read, so all declared ones are looked at; otherwise it would
+    depend on the columns a query selects whether a row counts as readable.
+    """
+    declared = [c for c in landed.columns if c != "_corrupt_record"]
+    parsed = F.length(F.coalesce(F.to_json(F.struct(*declared)), F.lit(""))) >= 0
+    return F.when(F.col("_corrupt_record").isNotNull(), parsed).otherwise(False)
+
+
+def _readable(landed: DataFrame) -> DataFrame:
+    return landed.filter(~_unread(landed)).drop("_corrupt_record")
+
+
+def _rejected(landed: DataFrame) -> DataFrame:
+    """``file`` and ``text`` of the rows that are not in the readable part."""
+    return landed.filter(_unread(landed)).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_corrupt_record").alias("text")
+    )
+
+
 def read_metric_dump(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line: ``{"metric": {labels}, "values": [[ts, "value"], ...]}``."""
-    return explode_metric_dump(spark.read.schema(schemas.METRIC_DUMP).json(path))
+    return explode_metric_dump(_readable(_landed_json(spark, path, schemas.METRIC_DUMP)))
+
+
+def rejected_metric_dump(spark: SparkSession, path: str) -> DataFrame:
+    return _rejected(_landed_json(spark, path, schemas.METRIC_DUMP))
 
 
 def read_trace_dump(spark: SparkSession, path: str) -> DataFrame:
     """Trace-API responses, one per file, to raw traces."""
-    landed = spark.read.schema(schemas.TRACE_RESPONSE).option("multiLine", True).json(path)
-    return landed.select(F.inline("data"))
+    return _readable(_landed_json(spark, path, schemas.TRACE_RESPONSE, True)).select(F.inline("data"))
+
+
+def rejected_trace_dump(spark: SparkSession, path: str) -> DataFrame:
+    return _rejected(_landed_json(spark, path, schemas.TRACE_RESPONSE, True))
 
 
 def read_log_hits(spark: SparkSession, path: str) -> DataFrame:
     """Search pages ``{"hits": {"hits": [...]}}``, one per line, to single hits."""
-    hits = T.StructType().add("hits", T.ArrayType(T.StructType.fromDDL(schemas.LOG_HIT)))
-    page = T.StructType().add("hits", hits)
-    return spark.read.schema(page).json(path).select(F.inline("hits.hits"))
+    return _readable(_landed_json(spark, path, _PAGE)).select(F.inline("hits.hits"))
+
+
+def rejected_log_pages(spark: SparkSession, path: str) -> DataFrame:
+    return _rejected(_landed_json(spark, path, _PAGE))
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """Session files, one JSON object each; files that are no JSON are left out."""
-    schema = f"{schemas.SESSION}, _corrupt_record STRING"
-    landed = spark.read.schema(schema).option("multiLine", True).json(path)
-    return landed.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    """Session files, one JSON object each; ``unreadable_sessions`` has all others."""
+    return _readable(_landed_json(spark, path, schemas.SESSION, True))
 
 
 def unreadable_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """The files left out, with their text."""
-    files = spark.read.text(path, wholetext=True)
-    return files.filter(F.try_parse_json("value").isNull()).select(
-        F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")
-    )
+    """The files left out, with their text: no JSON, cut short, or with a field of a wrong type."""
+    return _rejected(_landed_json(spark, path, schemas.SESSION, True))
 
 
 def read_metrics_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from opsframe.functions.problems import problem_catalogue
-from opsframe.operators.scoring import evaluate
+from opsframe.operators.scoring import evaluate, unknown_problems
 from opsframe.session import scratch_path
 from opsframe.sources.sinks import write_session_results
 
@@ -50,13 +50,16 @@ def run_batches(
 def stream_eval(sessions: DataFrame, folder: str, checkpoint: str | None = None) -> StreamingQuery:
     """Score sessions as they land and write the results by agent and model.
 
-    Each micro-batch replaces its own folder, so a retried batch does not write twice.
+    Each micro-batch replaces its own folder, so a retried batch does not write twice. Sessions of
+    unknown problems are written beside the results, to ``<folder>-unknown``.
     """
 
     def score(batch: DataFrame, batch_id: int) -> None:
-        results = evaluate(batch, problem_catalogue(batch.sparkSession))
-        named = results.join(batch.select("session_id", "model"), "session_id")
-        write_session_results(named, f"{folder}/batch={batch_id}", mode="overwrite")
+        problems = problem_catalogue(batch.sparkSession)
+        results = evaluate(batch, problems, envelope=("model",))
+        write_session_results(results, f"{folder}/batch={batch_id}", mode="overwrite")
+        unknown = unknown_problems(batch.select("session_id", "agent", "model", "problem_id"), problems)
+        unknown.write.mode("overwrite").parquet(f"{folder.rstrip('/')}-unknown/batch={batch_id}")
 
     return run_batches(sessions, score, checkpoint)
 

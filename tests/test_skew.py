@@ -32,7 +32,19 @@ def test_compression(spark):
     same = F.split_part("line", F.lit(" "), F.lit(1)) == F.lead(F.split_part("line", F.lit(" "), F.lit(1))).over(w)
     want = lines.withColumn("same", same).filter("same IS NULL OR NOT same").drop("same")
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    assert _largest_task(oo.split_with_next(lines, "stream", "seq", 1_000), ["stream", "_bucket"]) <= 1_001
+    buckets = lines.withColumn("_bucket", F.floor(F.col("seq") / 1_000))
+    assert _largest_task(buckets, ["stream", "_bucket"]) <= 1_000
+    thinned = lines.filter("seq % 1000 > 2 AND seq % 7 <> 0")
+    whole = oc.compress_lines(thinned)
+    for size in (2, 5):
+        part = oc.compress_lines(thinned, lines_per_bucket=size)
+        assert part.exceptAll(whole).count() == 0 and whole.exceptAll(part).count() == 0
+
+
+def test_null_keys_are_kept(spark):
+    rows = spark.createDataFrame([(None, 1), (None, 5), ("a", 2), ("a", None)], "stream string, seq long")
+    numbered = oo.number_rows(rows, ["stream"], [F.col("seq")], F.floor(F.col("seq") / 2), "place").collect()
+    assert sorted((r.stream or "", r.place) for r in numbered) == [("", 0), ("", 1), ("a", 0), ("a", 1)]
 
 
 def test_numbering_and_running_totals(spark):
