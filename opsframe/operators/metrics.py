@@ -18,6 +18,7 @@ from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from opsframe.functions import metrics as fm
 from opsframe.functions.time import MICROS, bound, epoch_micros, epoch_seconds
@@ -112,20 +113,43 @@ def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int, parts: in
     )
 
 
+def _reaching(samples: DataFrame, start, end, range_s: int) -> DataFrame:
+    """The samples that grid points from ``start`` to ``end`` look at; the bound reaches the scan."""
+    if start is None:
+        return samples
+    ts, kind = F.col("ts"), samples.schema["ts"].dataType
+    opens = (bound(start, kind).cast(kind) - F.expr(f"INTERVAL {range_s} SECONDS")).cast(kind)
+    return samples.filter((ts >= opens) & (ts <= bound(end, kind)))
+
+
+def _asked(answers: DataFrame, start, end) -> DataFrame:
+    """Grid points from ``start`` to ``end``, both included."""
+    if start is None:
+        return answers
+    at = lambda value: epoch_seconds(bound(value, TimestampType()).cast("timestamp"))
+    return answers.filter((F.col("t") >= at(start)) & (F.col("t") <= at(end)))
+
+
 def rate(
     samples: DataFrame,
     series: Sequence[str],
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
     parts: int = 1,
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Per-second counter rate at each multiple of ``step_s``.
 
     Reset-adjusted increase over the samples in ``(t - range, t]`` divided by the time between the
     first and the last of them; a window needs two samples at different times. No extrapolation.
+    With ``start`` and ``end`` the answer has the grid points between them, both included.
     """
     cell_s = _check(range_s, step_s)
-    spread = _fragments(samples, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
+    near = _reaching(samples, start, end, range_s)
+    spread = _asked(
+        _fragments(near, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
+    )
     return (
         spread.groupBy(*series, "t")
         .agg(*_rate_parts())
@@ -165,10 +189,15 @@ def irate(
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
     parts: int = 1,
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Per-second rate from the last two samples of each window."""
     cell_s = _check(range_s, step_s)
-    spread = _fragments(samples, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
+    near = _reaching(samples, start, end, range_s)
+    spread = _asked(
+        _fragments(near, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
+    )
     return (
         spread.groupBy(*series, "t")
         .agg(*_latest_parts("last_us", "prev_us", "last_inc"))
@@ -182,17 +211,19 @@ def gauge_at(
     series: Sequence[str],
     lookback_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Latest sample in ``(t - lookback, t]`` at each multiple of ``step_s``."""
     cell_s = _check(lookback_s, step_s)
     latest = (
-        samples.withColumn("us", epoch_micros(F.col("ts")))
+        _reaching(samples, start, end, lookback_s).withColumn("us", epoch_micros(F.col("ts")))
         .withColumn("cell", _cell(F.col("us"), cell_s * MICROS))
         .groupBy(*series, "cell")
         .agg(F.max_by("value", F.struct("us", "sample_id")).alias("value"))
     )
     return (
-        latest.withColumn("t", _grid(cell_s, lookback_s, step_s))
+        _asked(latest.withColumn("t", _grid(cell_s, lookback_s, step_s)), start, end)
         .groupBy(*series, "t")
         .agg(F.max_by("value", "cell").alias("value"))
     )
@@ -204,22 +235,29 @@ def query_range(
     range_s: int = DEFAULT_RANGE,
     step_s: int = DEFAULT_STEP,
     parts: int = 1,
+    start=None,
+    end=None,
 ) -> DataFrame:
     """Each metric by its own family: ``irate`` for network counters, ``rate`` for other counters,
     the latest value for gauges; all of them in one pass.
 
-    ``samples`` adds ``metric, namespace, interface``. As in the query forms it stands for, network
+    ``samples`` adds ``metric, namespace, interface``, and ``series_id`` where a pod may have several
+    series of a metric (the readers make it from all labels): there is one answer per series then,
+    and sums over a pod are taken of these. ``start`` and ``end`` bound the grid points. As in the query forms it stands for, network
     counters are matched on their interface and the others on their namespace. Values have three
     decimals.
     """
-    series = ["family", "metric", "pod"]
+    named = ["metric", "pod", *(c for c in ("series_id",) if c in samples.columns)]
+    series = ["family", *named]
     cell_s = _check(range_s, step_s)
     family = fm.metric_family(F.col("metric"))
     wanted = F.when(family == "network", F.col("interface") == fm.RATED_INTERFACE).otherwise(
         F.col("namespace") == namespace
     )
-    chosen = samples.filter(wanted).withColumn("family", family)
-    spread = _fragments(chosen, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s))
+    chosen = _reaching(samples, start, end, range_s).filter(wanted).withColumn("family", family)
+    spread = _asked(
+        _fragments(chosen, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
+    )
     folded = spread.groupBy(*series, "t").agg(
         *_rate_parts(), *_latest_parts("last_value", "last_us", "prev_us", "last_inc")
     )
@@ -228,7 +266,7 @@ def query_range(
         .when(F.col("family") == "network", F.when(_irate_valid(range_s), _irate_value()))
         .when(F.col("span_us") > 0, _rate_value())
     )
-    answers = folded.select("metric", "pod", "t", fm.round3(value).alias("value"))
+    answers = folded.select(*named, "t", fm.round3(value).alias("value"))
     return answers.filter(F.col("value").isNotNull())
 
 

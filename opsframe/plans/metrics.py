@@ -87,22 +87,46 @@ _BY_POD = _STEPS_SQL.replace("PARTITION BY event_type, shard", "PARTITION BY met
 )
 
 
-@query("metric_query_range", "E1 E2 E3 P6 P10", f"""WITH {_window_sql(DAY, HOUR, "metric, pod, family", _BY_POD)},
-    w AS (SELECT metric, pod, family, t, max(us) - min(us) AS span_us,
+_BY_SERIES = _BY_POD.replace("PARTITION BY metric, pod", "PARTITION BY metric, pod, series_id").replace(
+    "FROM (SELECT *, CASE WHEN metric", "FROM (SELECT *, sample_id % 2 AS series_id, CASE WHEN metric"
+)
+
+
+def _range_sql(series: str, source: str, condition: str = "true") -> str:
+    return f"""WITH {_window_sql(DAY, HOUR, f"{series}, family", source)},
+    w AS (SELECT {series}, family, t, max(us) - min(us) AS span_us,
                  coalesce(sum(inc), 0) - coalesce(min_by(coalesce(inc, 0), (us, sample_id)), 0) AS increase,
                  arg_max(value, (us, sample_id)) AS latest, arg_max(us, (us, sample_id)) AS last_us,
                  arg_max(coalesce(prev_us, -1), (us, sample_id)) AS prev_us,
                  arg_max(coalesce(inc, 0), (us, sample_id)) AS last_inc
           FROM member GROUP BY ALL)
-    SELECT metric, pod, t, round(CASE family WHEN 'gauge' THEN latest
+    SELECT {series}, t, round(CASE family WHEN 'gauge' THEN latest
              WHEN 'counter' THEN increase * 1000000 / span_us
              ELSE last_inc * 1000000 / (last_us - prev_us) END, 3) AS value
-    FROM w WHERE family = 'gauge' OR (family = 'counter' AND span_us > 0)
-       OR (family = 'network' AND prev_us > (t - {DAY}) * 1000000 AND last_us > prev_us)""")
+    FROM w WHERE {condition} AND (family = 'gauge' OR (family = 'counter' AND span_us > 0)
+       OR (family = 'network' AND prev_us > (t - {DAY}) * 1000000 AND last_us > prev_us))"""
+
+
+@query("metric_query_range", "E1 E2 E3 P6 P10", _range_sql("metric, pod", _BY_POD))
 def metric_query_range(spark, sf):
     return om.query_range(samples(spark, sf), "shop", DAY, HOUR)
 
 
+@query("metric_query_range_series", "E1 E2 E3", _range_sql("metric, pod, series_id", _BY_SERIES))
+def metric_query_range_series(spark, sf):
+    """Two series of each metric in a pod; taken as one, every switch would look like a reset."""
+    two = samples(spark, sf).withColumn("series_id", F.col("sample_id") % 2)
+    return om.query_range(two, "shop", DAY, HOUR)
+
+
+@query("metric_query_range_bounds", "E1 E2 E3", _range_sql(
+    "metric, pod", _BY_POD, "t BETWEEN epoch(TIMESTAMP '2024-01-10 06:00:00') AND epoch(TIMESTAMP '2024-01-12 00:00:00')"))
+def metric_query_range_bounds(spark, sf):
+    return om.query_range(
+        samples(spark, sf), "shop", DAY, HOUR, start=datetime(2024, 1, 10, 6), end=datetime(2024, 1, 12)
+    )
+
+
 _EXPORT_SQL = f"""
     SELECT CAST(floor(epoch_us(ts) / 1000000.0) AS BIGINT) AS timestamp, instance || '.' || pod AS cmdb_id,
            CASE WHEN metric LIKE 'container_network%' AND interface IS NOT NULL
