@@ -21,7 +21,7 @@ def _job_details(spark, sf):
     return oc.job_details(*[gpu(spark, sf, name) for name in ("job", "task", "instance")])
 
 
-@query("gpu_job_details", "J6 S6", _JOB_DETAILS_SQL)
+@query("gpu_job_details", "J6", _JOB_DETAILS_SQL)
 def gpu_job_details(spark, sf):
     return _job_details(spark, sf)
 

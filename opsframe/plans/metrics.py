@@ -49,7 +49,7 @@ def _rate_sql(range_s: int, step_s: int) -> str:
     WHERE span_us > 0"""
 
 
-@query("metric_rate_hourly", "E1 S1", _rate_sql(DAY, HOUR))
+@query("metric_rate_hourly", "E1", _rate_sql(DAY, HOUR))
 def metric_rate_hourly(spark, sf):
     out = om.rate(samples(spark, sf), SERIES, DAY, HOUR)
     return out.withColumn("value", F.round("value", 6))
@@ -142,7 +142,7 @@ def metric_export(spark, sf):
     return om.export_metrics(samples(spark, sf), inventory(spark, sf), sort=True)
 
 
-@query("metric_write", "K1 S5", _EXPORT_SQL)
+@query("metric_write", "K1", _EXPORT_SQL)
 def metric_write(spark, sf):
     folder = scratch_path(spark, "metrics")
     write_metrics(om.export_metrics(samples(spark, sf), inventory(spark, sf)), folder)

@@ -30,7 +30,7 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query("session_explode", "N6 S4", DOCUMENT_MESSAGES_SQL)
+@query("session_explode", "N6", DOCUMENT_MESSAGES_SQL)
 def session_explode(spark, sf):
     return os_.explode_sessions(document_sessions(spark, sf))
 

@@ -6,20 +6,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from opsframe import schemas
-from opsframe.operators import cluster as oc, logs as ol
+from opsframe.operators import cluster as oc, logs as ol, metrics as om, sessions as os_, traces as ot
 from opsframe.plans.adapters import (
+    DOCUMENT_MESSAGES_SQL,
     LINES_SQL,
     LOG_HITS_SQL,
     SAMPLES_SQL,
+    SPANS_SQL,
+    document_sessions,
     gpu,
+    inventory,
     log_hits,
     log_lines,
+    raw_traces,
     samples,
 )
 from opsframe.plans.cluster import _JOB_DETAILS_SQL
+from opsframe.plans.metrics import _EXPORT_SQL
 from opsframe.plans.registry import query
 from opsframe.session import scratch_path
 from opsframe.sources import readers
+from opsframe.sources.sinks import write_metrics
 
 
 @query("source_metric_dump", "S1", f"""
@@ -65,6 +72,42 @@ def source_gpu_trace(spark, sf):
     return oc.job_details(tables["job"], tables["task"], tables["instance"])
 
 
+def _documents(df, folder, whole, files: int = 16, broken: tuple[str, ...] = ()) -> None:
+    """One JSON document per file: ``whole`` of the rows that share a file; and some that are none."""
+    split = df.withColumn("_file", F.pmod(F.xxhash64(df.columns[0]), F.lit(files)))
+    told = split.groupBy("_file").agg(F.to_json(whole).alias("value"))
+    bad = df.sparkSession.createDataFrame([(files + i, t) for i, t in enumerate(broken)], "_file long, value string")
+    told.unionByName(bad).repartition("_file").write.partitionBy("_file").text(folder)
+
+
+@query("source_trace_dump", "S2", SPANS_SQL)
+def source_trace_dump(spark, sf):
+    folder = scratch_path(spark, "trace-dump")
+    traces = raw_traces(spark, sf)
+    _documents(traces, folder, F.struct(F.collect_list(F.struct(*traces.columns)).alias("data")), broken=('{"data": [{"tr',))
+    return ot.flatten_spans(readers.read_trace_dump(spark, folder))
+
+
+@query("source_sessions", "S4", DOCUMENT_MESSAGES_SQL)
+def source_sessions(spark, sf):
+    """One file per session; files that are cut short or hold a wrong type are left out."""
+    folder = scratch_path(spark, "sessions")
+    rows = document_sessions(spark, sf)
+    told = rows.select(F.col("session_id").alias("_file"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    bad = spark.createDataFrame(
+        [("cut", '{"session_id": "cu'), ("typed", '{"session_id": "typed", "start_time": "noon"}')], told.schema
+    )
+    told.unionByName(bad).repartition("_file").write.partitionBy("_file").text(folder)
+    return os_.explode_sessions(readers.read_sessions(spark, folder))
+
+
+@query("source_metrics_csv", "S5", _EXPORT_SQL)
+def source_metrics_csv(spark, sf):
+    folder = scratch_path(spark, "metrics-csv")
+    write_metrics(om.export_metrics(samples(spark, sf), inventory(spark, sf)), folder, "csv")
+    return readers.read_metrics_csv(spark, folder).drop("kpi")
+
+
 @query("source_log_text", "S8", f"""
     SELECT line, count(*) AS lines FROM ({LINES_SQL}) GROUP BY line""")
 def source_log_text(spark, sf):

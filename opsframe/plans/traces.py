@@ -20,7 +20,7 @@ _DEDUPED_SQL = f"""
 SINCE, UNTIL = 883_612_800_000_000, 978_307_200_000_000
 
 
-@query("span_table", "N1 N2 N3 N4 N5 S2", SPANS_SQL)
+@query("span_table", "N1 N2 N3 N4 N5", SPANS_SQL)
 def span_table(spark, sf):
     return ot.flatten_spans(raw_traces(spark, sf))
 

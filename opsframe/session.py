@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,17 @@ def build_session(app: str = "opsframe", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, whose Python workers import it by name."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.join(tempfile.mkdtemp(prefix="spark-"), "opsframe")
+    spark.sparkContext.addPyFile(shutil.make_archive(name, "zip", root, "opsframe"))
 
 
 def configure(spark: SparkSession) -> SparkSession:

@@ -23,8 +23,16 @@ def stream_log_slices(
     )
 
 
-def stream_dedupe(logs: DataFrame, keys: Sequence[str] = ("log_id",), delay: str = "10 minutes") -> DataFrame:
-    """Rows repeated at the closed ends of neighbouring pulls, kept once."""
+def stream_dedupe(
+    logs: DataFrame, keys: Sequence[str] = ("log_id",), delay: str | None = None
+) -> DataFrame:
+    """Rows repeated at the closed ends of neighbouring pulls, kept once.
+
+    Every key comes out once whatever the order of arrival; the keys seen are kept for that. With
+    ``delay`` they are forgotten after so long, and rows that arrive later than that are dropped.
+    """
+    if delay is None:
+        return logs.dropDuplicates(list(keys))
     return logs.withWatermark("ts", delay).dropDuplicatesWithinWatermark(list(keys))
 
 

@@ -49,8 +49,8 @@ class _HoldLine(StatefulProcessor):
         repeat = batch["mask"].notna() & (batch["mask"] == following)
         done = batch[~repeat].iloc[:-1] if not repeat.iloc[-1] else batch[~repeat]
         last = batch.iloc[-1]
-        mask = None if pd.isna(last["mask"]) else str(last["mask"])
-        self.pending.update((int(last["seq"]), str(last["line"]), mask))
+        line, mask = (None if pd.isna(last[c]) else str(last[c]) for c in ("line", "mask"))
+        self.pending.update((int(last["seq"]), line, mask))
         self._arm(timerValues)
         yield done[["seq", "line"]].assign(stream=key[0])[["stream", "seq", "line"]]
 
@@ -105,7 +105,9 @@ class _LastSample(StatefulProcessor):
         out = pd.DataFrame({
             "series": key[0], "us": us, "sample_id": batch["sample_id"], "rate": rise * MICROS / gap,
         })
-        self.last.update((int(us.iloc[-1]), float(value.iloc[-1])))
+        # A late sample is rated against nothing newer, and never takes the place of a newer one.
+        if not self.last.exists() or int(us.iloc[-1]) >= held_us:
+            self.last.update((int(us.iloc[-1]), float(value.iloc[-1])))
         yield out[gap > 0]
 
     def close(self) -> None:

@@ -75,6 +75,13 @@ def test_dedupe_over_batches(spark, tmp_path):
     assert out.count() == 300
 
 
+def test_dedupe_keeps_every_id_whatever_the_order(spark, tmp_path):
+    rows = spark.range(1000).select(F.concat(F.lit("log-"), "id").alias("log_id"), F.timestamp_seconds(F.col("id") * 60 + 1_700_000_000).alias("ts"))
+    parts = [rows.filter(F.pmod(F.xxhash64("log_id"), F.lit(3)) == n) for n in (2, 0, 1)] * 2
+    out, _ = _run_in_parts(spark, tmp_path, parts, slices.stream_dedupe)
+    assert out.count() == 1000 and out.select("log_id").distinct().count() == 1000
+
+
 def test_slices_over_batches(spark, tmp_path):
     rows = spark.range(4000).select(
         F.timestamp_seconds(F.col("id") * 2 + 1_700_000_000).alias("ts"), F.concat(F.lit("p"), F.col("id") % 3).alias("pod_name"))
