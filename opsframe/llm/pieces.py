@@ -5,8 +5,8 @@ and in place of blanks. The *piece* transducer has an arc for each piece that st
 and for characters without a piece a chain of byte arcs (*byte fallback*). The *neighbour* acceptor
 lets one piece follow another only if the model's merges, run over the two, end in just these two:
 of all segmentations only the one that the merges produce passes it. A text is composed with them
-and the path of least weight is taken, by relaxing states (position, last piece) in the tropical
-semiring, with the negative score of a piece as its weight.
+and the path of least weight is taken, by relaxing the states after each character in the tropical semiring, with
+the negative score of a piece as its weight.
 
 No piece reaches across the start of a word, so a text is composed word by word, and the path of a
 word is kept by the worker for its next occurrence.
@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 MARK = "▁"
 #: Paths of words (in each of two generations, the older one going as a new one begins) and answers
-#: of the neighbour acceptor that a worker keeps.
-KEPT_WORDS, KEPT_PAIRS = 200_000, 600_000
+#: of the neighbour acceptor and states that a worker keeps.
+KEPT_WORDS, KEPT_PAIRS, KEPT_STATES, KEPT_LENGTH = 150_000, 300_000, 400_000, 64
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 
 
@@ -87,10 +87,12 @@ class Transducer:
         if len(self.bytes) != 256 or any(MARK in piece.lstrip(MARK) for piece in self.ids):
             raise ValueError("the model needs byte pieces, and pieces that stay inside a word")
         self.prefix = MARK if rules.get(3, 1) else ""
-        #: The id of each start of a piece (-1 if it is none itself), and the characters that stand side
-        #: by side in one; a path parts at all others.
-        self.starts = {piece[:n]: -1 for piece in self.ids for n in range(1, len(piece))} | self.ids
+        #: The id of each end of a piece (-1 if it is none itself), and the characters that stand side by
+        #: side in one; a path parts at all others.
+        self.ends = {piece[n:]: -1 for piece in self.ids for n in range(1, len(piece))} | self.ids
         self.beside = {piece[i : i + 2] for piece in self.ids for i in range(len(piece) - 1)}
+        #: The state after each start of a word: least weight and last piece.
+        self.states: dict[str, tuple[float, str]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -152,64 +154,84 @@ class Transducer:
                 break
         return True
 
-    def shortest_path(self, word: str) -> list[int]:
-        """Ids of the least path through a run of characters that all have pieces."""
-        starts, weight, pairs, size = self.starts, self.weight, self.pairs, len(word)
-        for broken in (np.inf, 1e12):  # the second time, a broken pair costs instead of ending the path
-            states: list[dict[str, tuple[float, tuple]]] = [{} for _ in range(size + 1)]
-            states[0][""] = (0.0, ())
-            for at in range(size):
-                here = states[at]
-                if not here:
+    def relax(self, word: str, end: int, states: list[tuple[float, str]]) -> tuple[float, str]:
+        """The state after ``end`` characters: the least over all last pieces."""
+        pairs, ends, costs = self.pairs, self.ends, self.weight
+        for broken in (None, 1e12):  # where no piece may follow, a broken pair costs instead
+            best, last = np.inf, ""
+            for start in range(end - 1, -1, -1):
+                piece = word[start:end]
+                number = ends.get(piece)
+                if number is None:
+                    break
+                if number < 0:
                     continue
-                for end in range(at + 1, size + 1):
-                    piece = word[at:end]
-                    number = starts.get(piece)
-                    if number is None:
-                        break
-                    if number < 0:
+                weight, before = states[start]
+                allowed = pairs.get((before, piece))
+                if allowed is None:
+                    allowed = self.neighbours(before, piece)
+                if not allowed:
+                    if broken is None:
                         continue
-                    for last, (cost, path) in here.items():
-                        allowed = pairs.get((last, piece))
-                        if allowed is None:
-                            allowed = self.neighbours(last, piece)
-                        if not allowed:
-                            if broken == np.inf:
-                                continue
-                            cost += broken
-                        total = cost + weight[number]
-                        known = states[end].get(piece)
-                        if known is None or total < known[0]:
-                            states[end][piece] = (total, (path, number))
-            if states[-1]:
-                _, path = min(states[-1].values())
-                ids = []
-                while path:
-                    path, number = path
-                    ids.append(number)
-                return ids[::-1]
-        # Some character has no piece of its own: its bytes stand for it.
-        return [n for char in word for n in self.part(char)]
+                    weight += broken
+                weight += costs[number]
+                if weight < best:
+                    best, last = weight, piece
+            if last:
+                return best, last
+        raise ValueError(f"no piece ends {word[:end]!r}")
+
+    def shortest_path(self, word: str) -> list[int]:
+        """Ids of the least path through a run of characters that all have pieces.
+
+        A state depends on the start of the word alone, so words with a common start share theirs.
+        """
+        if len(self.states) > KEPT_STATES:
+            self.states = {}
+        states = [(0.0, "")]
+        for end in range(1, len(word) + 1):
+            start = word[:end] if end <= KEPT_LENGTH else None
+            state = self.states.get(start)
+            if state is None:
+                state = self.relax(word, end, states)
+                if start is not None:
+                    self.states[start] = state
+            states.append(state)
+        ids, end = [], len(word)
+        while end:
+            piece = states[end][1]
+            ids.append(self.ids[piece])
+            end -= len(piece)
+        return ids[::-1]
 
     def part(self, word: str) -> tuple[int, ...]:
-        path = self.known.get(word) or self.older.get(word)
+        path = self.known.get(word)
+        if path is not None:
+            return path
+        path = self.older.get(word)
         if path is None:
             if len(word) == 1:
                 number = self.ids.get(word)
                 path = (number,) if number is not None else tuple(self.bytes[b] for b in word.encode("utf-8", "replace"))
             else:
-                path = tuple(self.shortest_path(word))
+                path = tuple(self.shortest_path(word)) if all(c in self.ids for c in word) else tuple(
+                    n for char in word for n in self.part(char)
+                )
         self.keep(word, path)
         return path
 
     def keep(self, word: str, path: tuple[int, ...]) -> None:
-        if len(word) <= 64:
+        if len(word) <= KEPT_LENGTH:
             if len(self.known) >= KEPT_WORDS:
                 self.known, self.older = {}, self.known
             self.known[word] = path
 
     def compose(self, word: str) -> tuple[int, ...]:
         """The path through a word: it parts where no piece holds the two characters side by side."""
+        path = self.older.get(word)
+        if path is not None:
+            self.keep(word, path)
+            return path
         ids: list[int] = []
         start = 0
         for at in range(1, len(word)):
@@ -218,15 +240,16 @@ class Transducer:
                 start = at
         if not start:
             return self.part(word)
-        return (*ids, *self.part(word[start:]))
+        path = (*ids, *self.part(word[start:]))
+        self.keep(word, path)
+        return path
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
         for word in WORD.findall(self.normalise(text)):
             path = self.known.get(word)
             if path is None:
-                path = self.older.get(word) or self.compose(word)
-                self.keep(word, path)
+                path = self.compose(word)
             ids += path
         return ids
 
@@ -267,7 +290,7 @@ def encode(df: DataFrame, text: str = "text", name: str = "ids", path: str = MOD
 
     def change(texts: pa.Array) -> pa.Array:
         coder = transducer(path)
-        lists = [None if t is None else np.array(coder.encode(t), dtype=np.int32) for t in texts.to_pylist()]
+        lists = [None if t is None else np.array(coder.encode(t), dtype=np.int32) for t in (x.as_py() for x in texts)]
         ends = np.cumsum([0, *(0 if x is None else len(x) for x in lists)], dtype=np.int32)
         values = np.concatenate([np.zeros(0, np.int32), *(x for x in lists if x is not None)])
         mask = pa.array([x is None for x in lists], pa.bool_())
@@ -285,7 +308,12 @@ def decode(df: DataFrame, ids: str = "ids", name: str = "text", path: str = MODE
 
     def change(lists: pa.Array) -> pa.Array:
         coder = transducer(path)
-        return pa.array([None if x is None else coder.decode(x) for x in lists.to_pylist()], pa.string())
+        ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        valid = lists.is_valid().to_pylist()
+        # One document's ids at a time become Python numbers.
+        return pa.array(
+            [coder.decode(values[a:b].tolist()) if ok else None for ok, a, b in zip(valid, ends, ends[1:])], pa.string()
+        )
 
     return _mapped(df, ids, name, T.StringType(), change)
 
