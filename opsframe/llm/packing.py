@@ -32,6 +32,10 @@ CACHE_WORDS = 400_000
 #: Equal sizes are ranked in so many parts, so that no task ranks all documents of one length.
 SALTS = 16
 
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: How byte-level vocabularies write bytes: printed ones as they are, the rest from 256 on.
+BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 _coders: dict[str, "Coder"] = {}
 
 
@@ -47,6 +51,7 @@ class Coder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[str, list[int]] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -61,7 +66,17 @@ class Coder:
                 plain.update((word[:-1], word[-1]))
             else:
                 plain.add(word)
-        fresh = [word for word in plain if word not in self.known]
+        fresh = []
+        for word in plain:
+            if word in self.known:
+                continue
+            if word.isalpha() and max(word) < "\u0130":
+                # Letters that stay as they are but for their case: only the merges are left to do.
+                letters = word.lower()
+                seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+                self.known[word] = [piece.id for piece in self.merges(seen)]
+            else:
+                fresh.append(word)
         for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
             self.known[word] = code.ids
         for word in joined:
