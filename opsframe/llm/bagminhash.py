@@ -31,10 +31,12 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 SLOTS = BANDS * ROWS
 #: Signatures with fewer equal slots than this share cannot belong to a pair of the wanted
-#: similarity, but for a chance of about one in a million (five standard deviations).
-MARGIN = 5
-#: Centres taken from a bucket at a time.
-CENTRES = 64
+#: similarity, but for a chance of 3 in 100,000 (four standard deviations).
+MARGIN = 4
+#: Partners from the largest class of a bucket that its other members are tried with first.
+PARTNERS = 4
+#: Centres taken from a bucket in the first round; each further round takes so many times as many.
+CENTRES = 8
 #: Shingles handled at once in a Python worker.
 CHUNK = 400_000
 
@@ -68,9 +70,9 @@ def bag(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(shingles(hashes), return_counts=True)
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact weighted Jaccard similarity of the bags of two texts; 0 if either has no words."""
-    (ka, ca), (kb, cb) = bag(a), bag(b)
+def overlap(a, b) -> float:
+    """Exact weighted Jaccard similarity of two bags; 0 if either is empty."""
+    (ka, ca), (kb, cb) = a, b
     if not len(ka) or not len(kb):
         return 0.0
     _, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
@@ -157,7 +159,13 @@ def _equal_slots(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.DoubleType())
 def _overlap(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([overlap(np.asarray(x), np.asarray(y)) for x, y in zip(a, b)], dtype="float64")
+    out, seen, last = [], b"", None
+    for x, y in zip(a, b):  # sorted by the second text, so its bag often serves again
+        y = np.asarray(y)
+        if y.tobytes() != seen:
+            seen, last = y.tobytes(), bag(y)
+        out.append(overlap(bag(np.asarray(x)), last))
+    return pd.Series(out, dtype="float64")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -227,10 +235,20 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     buckets = sketch.select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = landed(buckets.join(shared.select("bucket", "centre"), "bucket"), "buckets")
+    # The texts in question, fetched once; always by exchange, as they grow with the input.
+    wanted = sketch.join(members.select(F.col("node").alias("row")).distinct(), "row", "left_semi")
+    whole = landed(
+        docs.select("doc_id", "text")
+        .join(wanted.select("row", F.col("doc_id").alias("id"), "k1").hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")))
+        .filter(F.xxhash64(words(F.col("text"))) == F.col("k1"))  # an id may stand for several texts
+        .dropDuplicates(["row"]).select("row", "text"),
+        "members",
+    )
     edges = _verified(
-        docs, sketch, members.filter("node <> centre").selectExpr("node as a", "centre as b").distinct(), similarity
+        whole, sketch, members.filter("node <> centre").selectExpr("node as a", "centre as b").distinct(), similarity
     )
     used = landed(members.filter("node = centre").select("bucket", "node"), "centres")
+    first, share = True, CENTRES
     while True:
         labels = components(edges)
         labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn(
@@ -242,39 +260,43 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
         ).filter("labels > 1")
         inside = landed(labelled.join(open_buckets.select("bucket", "largest"), "bucket"), "open")
         waiting = inside.filter("label <> largest").join(used, ["bucket", "node"], "left_anti")
+        pair = [F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")]
+        if first:
+            # A few members of the largest class link most of the others; these then need no
+            # comparison with the whole bucket.
+            first = False
+            drawn = inside.filter("label = largest").groupBy("bucket").agg(
+                *[F.min_by("node", F.xxhash64(F.lit(i), "node")).alias(f"p{i}") for i in range(PARTNERS)]
+            )
+            partners = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PARTNERS)))))
+            pairs = waiting.join(drawn.select("bucket", partners.alias("centre")), "bucket").select(*pair).distinct()
+            edges = edges.unionByName(_verified(whole, sketch, pairs, similarity))
+            continue
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        centres = landed(waiting.withColumn("turn", turn).filter(F.col("turn") <= CENTRES), "centres")
+        centres = landed(waiting.withColumn("turn", turn).filter(F.col("turn") <= share), "centres")
         if centres.isEmpty():
             return edges
         pairs = (
             inside.select("bucket", "node", "label")
             .join(centres.selectExpr("bucket", "node as centre", "label as its"), "bucket")
             .filter("label <> its")
-            .select(F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b"))
+            .select(*pair)
             .distinct()
         )
-        edges = edges.unionByName(_verified(docs, sketch, pairs, similarity))
+        edges = edges.unionByName(_verified(whole, sketch, pairs, similarity))
         used = used.unionByName(centres.select("bucket", "node"))
+        share *= CENTRES
 
 
-def _verified(docs: DataFrame, sketch: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def _verified(whole: DataFrame, sketch: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least the wanted similarity, by signature first and then by whole bags."""
-    side = lambda name: sketch.select(
-        F.col("row").alias(name), F.col("slots").alias(f"{name}_slots"), F.col("doc_id").alias(f"{name}_doc"),
-        F.col("k1").alias(f"{name}_k"),
-    )
+    side = lambda name: sketch.select(F.col("row").alias(name), F.col("slots").alias(f"{name}_slots"))
     least = SLOTS * similarity - MARGIN * (SLOTS * similarity * (1 - similarity)) ** 0.5
     likely = landed(
-        pairs.join(side("a"), "a").join(side("b"), "b").filter(_equal_slots("a_slots", "b_slots") >= least)
-        .drop("a_slots", "b_slots"), "likely",
-    )
-    ends = likely.selectExpr("inline(array(struct(a as row, a_doc as id, a_k as k), struct(b as row, b_doc as id, b_k as k)))").distinct()
-    whole = (  # the texts in question only; an id may stand for several texts
-        docs.select("doc_id", "text").join(ends, F.col("doc_id").eqNullSafe(F.col("id")))
-        .select("row", "k", words(F.col("text")).alias("words"))
-        .filter(F.xxhash64("words") == F.col("k"))
-        .dropDuplicates(["row"])
+        pairs.join(side("a"), "a").join(side("b"), "b")
+        .filter(_equal_slots("a_slots", "b_slots") >= least).select("a", "b"), "likely",
     )
-    text = lambda name: whole.select(F.col("row").alias(name), F.col("words").alias(f"{name}_words"))
-    near = likely.join(text("a"), "a").join(text("b"), "b").filter(_overlap("a_words", "b_words") >= similarity)
-    return landed(near.select("a", "b"), "edges")
+    text = lambda name: whole.select(F.col("row").alias(name), F.col("text").alias(f"{name}_text"))
+    near = likely.join(text("a"), "a").join(text("b"), "b").sortWithinPartitions("b")
+    alike = _overlap(words(F.col("a_text")), words(F.col("b_text")))
+    return landed(near.filter(alike >= similarity).select("a", "b"), "edges")
