@@ -1,9 +1,11 @@
 """Compression classifier: which of two zstandard dictionaries, of good or of bad text, helps a text more.
 
-A dictionary is built from labelled texts of each class. A text is compressed once with either; the
-difference of the two sizes over the text's length tells the classes apart. A logistic curve fitted
-on labelled texts that the dictionaries have not seen turns it into a score. The curve also sees how
-far the text compresses at all, since text that repeats itself leaves no difference to see.
+A dictionary is built from labelled texts of each class. A text is cut into short pieces, since a
+dictionary helps only until the text's own history serves better, and every piece is compressed with
+either; the difference of the two sizes, summed over all pieces, over the text's length tells the
+classes apart. A logistic curve fitted on labelled texts that the dictionaries have not seen turns it
+into a score. The curve also sees how far the text compresses at all, since text that repeats itself
+leaves no difference to see.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEVEL = 3
+#: Most bytes of a piece; below the usual length of a text, so that long texts are measured as short ones are.
+PIECE = 1024
+STRETCHES = 16
 
 
 @dataclass(frozen=True)
@@ -31,9 +36,15 @@ class Model:
     offset: float
 
 
+def pieces(raw: bytes) -> Iterator[bytes]:
+    """``raw`` in the fewest pieces of at most ``PIECE`` bytes, of nearly equal length."""
+    n = -(-len(raw) // PIECE)
+    return (raw[len(raw) * i // n : len(raw) * (i + 1) // n] for i in range(n))
+
+
 def features(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
     """Per text: (size with the bad dictionary - size with the good one) / UTF-8 bytes, and the log of
-    the smaller size / UTF-8 bytes; both 0 for empty texts."""
+    the smaller size / UTF-8 bytes; both 0 for empty texts. Sizes are sums over all pieces."""
     coders = []
     for content in (bad, good):
         held = zstandard.ZstdCompressionDict(content) if content else None
@@ -44,7 +55,10 @@ def features(texts: list[str], good: bytes, bad: bytes) -> np.ndarray:
     for i, text in enumerate(texts):
         raw = text.encode("utf-8", "replace")
         if raw:
-            with_bad, with_good = (len(coder.compress(raw)) for coder in coders)
+            with_bad = with_good = 0
+            for piece in pieces(raw):
+                with_bad += len(coders[0].compress(piece))
+                with_good += len(coders[1].compress(piece))
             out[i] = (with_bad - with_good) / len(raw), math.log(min(with_bad, with_good) / len(raw))
     return out
 
@@ -76,6 +90,14 @@ def _dictionary(texts: list[str], size: int) -> bytes:
         return b""
 
 
+def _stretches(longest: int) -> Column:
+    """The text, or of a longer one ``longest`` characters in evenly spaced stretches."""
+    each, chars = longest // STRETCHES, F.char_length("text")
+    start = lambda i: (i * (chars - each) / (STRETCHES - 1)).cast("int") + 1
+    spread = F.transform(F.sequence(F.lit(0), F.lit(STRETCHES - 1)), lambda i: F.substring("text", start(i), each))
+    return F.when(chars <= longest, F.col("text")).otherwise(F.array_join(spread, ""))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -85,10 +107,12 @@ def train(
     dictionary_bytes: int = 112_640,
 ) -> Model:
     """Fits on a bounded sample: the ``per_class`` labelled rows of each class with the smallest hash
-    of their id, without texts of over ``longest`` characters.
+    of their id.
 
     ``allowed`` is a condition on ``doc_id``. Every other row of a class's sample trains its
-    dictionary, the others the curve. Rows without id, label or text are not used. Without labelled
+    dictionary, to which a text of over ``longest`` characters lends ``STRETCHES`` even stretches of
+    that length together; the others train the curve, with their whole texts, whose features are
+    taken where the texts are. Rows without id, label or text are not used. Without labelled
     text of both classes the score is the share of good labels (one half without any). In the curve
     the classes weigh as they do among all allowed labels.
     """
@@ -99,24 +123,32 @@ def train(
     ones, labelled = ids.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count("quality")).first()
     share = (ones + 1) / (labelled + 2)
     chosen = [ids.filter(F.col("quality") == q).orderBy("_h", "doc_id").limit(per_class) for q in (0, 1)]
-    # At most 2 x per_class rows of two numbers, so both the broadcast and the answer are bounded.
-    sample = (
-        docs.select("doc_id", "text")
-        .filter(F.char_length("text").between(1, longest))
-        .join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
-        .groupBy("doc_id", "quality", "_h")
-        .agg(F.min("text").alias("text"))
-        .orderBy("_h", "doc_id")
-        .collect()
-    )
-    texts = {q: [r.text for r in sample if r.quality == q] for q in (0, 1)}
-    if not texts[0] or not texts[1]:
+    # At most 2 x per_class rows of three numbers, so both the broadcasts and the answers are bounded.
+    texts = docs.select("doc_id", "text").filter(F.char_length("text") > 0)
+    found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = found.select("doc_id", "quality", "_h").distinct().orderBy("_h", "doc_id").collect()
+    of = {q: [r.doc_id for r in rows if r.quality == q] for q in (0, 1)}
+    if not of[0] or not of[1]:
         return Model(b"", b"", (0.0, 0.0), math.log(share / (1 - share)))
-    good, bad = (_dictionary(texts[q][::2], dictionary_bytes) for q in (1, 0))
+
+    def sample(ids: list) -> DataFrame:
+        """One text per id: the least."""
+        listed = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
+        return texts.join(F.broadcast(listed), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    taught = dict(sample(of[0][::2] + of[1][::2]).select("doc_id", _stretches(longest)).collect())
+    good, bad = (_dictionary([taught[i] for i in of[q][::2]], dictionary_bytes) for q in (1, 0))
     if not good or not bad:
         good = bad = b""
-    held = {q: texts[q][1::2] or texts[q] for q in (0, 1)}
-    x = features(held[0] + held[1], good, bad)
+
+    @F.pandas_udf("array<double>")
+    def measured(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(list(features(batch.tolist(), good, bad)))
+
+    held = {q: of[q][1::2] or of[q] for q in (0, 1)}
+    told = dict(sample(held[0] + held[1]).select("doc_id", measured("text")).collect())
+    x = np.array([told[i] for i in held[0] + held[1]])
     return Model(good, bad, *logistic_fit(x, np.repeat([0.0, 1.0], [len(held[0]), len(held[1])]), share))
 
 

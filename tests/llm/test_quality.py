@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,3 +48,33 @@ def test_curve_against_gradient_descent():
         p = 1 / (1 + np.exp(-(x @ w + b)))
         w, b = w - 0.5 * (x.T @ (p - y)) / 400, b - 0.5 * (p - y).mean()
     assert np.allclose(weights, w, atol=0.05) and abs(offset - b) < 0.05
+
+
+def test_long_texts_are_scored_as_what_they_hold(spark, sf_dir):
+    big = sf_dir.replace("0.001", "0.1")
+    docs, labels = (spark.read.parquet(f"{big}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.train(docs, labels, quality.fold(3) != 1)
+    held = docs.join(labels, "doc_id").filter(quality.fold(3) == 1).orderBy("doc_id").collect()
+    fresh = lambda t: len(zlib.compress(t.encode())) > 0.3 * len(t.encode())
+    rows = []
+    for q in (0, 1):
+        whole = " ".join(r.text for r in held if r.quality == q and fresh(r.text))
+        whole = " ".join([whole] * (2_000_000 // len(whole) + 1))
+        rows += [(q, n, whole[:n]) for n in (2_000, 100_000, 450_000, 2_000_000)]
+    for r in quality.score(spark.createDataFrame(rows, "quality int, n int, text string"), model).collect():
+        assert abs(r.score - r.quality) < 0.1, (r.quality, r.n, r.score)
+
+
+def test_every_byte_is_in_one_piece():
+    for n in (1, 1023, 1024, 1025, 5000, 100_001):
+        raw = bytes(i % 251 for i in range(n))
+        cut = list(quality.pieces(raw))
+        assert b"".join(cut) == raw and max(map(len, cut)) <= quality.PIECE and min(map(len, cut)) > 0
+
+
+def test_long_labelled_texts_train(spark, sf_dir):
+    some = sf_dir.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{some}/{n}.parquet") for n in ("documents", "labels"))
+    longer = docs.filter(F.char_length("text") > 600)
+    model = quality.train(longer, labels, longest=512)
+    assert model.good and model.bad and model.weights[0] > 0
