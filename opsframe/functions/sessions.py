@@ -34,7 +34,9 @@ def render_message(role: Column, content: Column) -> Column:
 
 
 def render_trace(trace: Column) -> Column:
-    return F.array_join(F.transform(trace, lambda m: render_message(m["role"], m["content"])), "")
+    """All messages as text; empty for a transcript that is empty or NULL."""
+    rendered = F.transform(trace, lambda m: render_message(m["role"], m["content"]))
+    return F.coalesce(F.array_join(rendered, ""), F.lit(""))
 
 
 def summary_line(role: Column, content: Column, chars: int = 300) -> Column:
@@ -42,19 +44,22 @@ def summary_line(role: Column, content: Column, chars: int = 300) -> Column:
 
 
 def tail_summary(trace: Column, n: int = 5, chars: int = 300) -> Column:
-    """Last ``n`` messages, each cut to ``chars``, one per line."""
+    """Last ``n`` messages, each cut to ``chars``, one per line; empty for an empty or NULL transcript."""
     tail = F.slice(trace, F.greatest(F.size(trace) - n + 1, F.lit(1)), n)
-    return F.array_join(
-        F.transform(tail, lambda m: summary_line(m["role"], m["content"], chars)), "\n"
-    )
+    lines = F.transform(tail, lambda m: summary_line(m["role"], m["content"], chars))
+    return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
 
 
 def service_trace_view(trace: Column, system: Column, task: Column) -> Column:
-    """System and user message in front; a closing environment message is left out."""
+    """System and user message in front; a closing environment message is left out.
+
+    An empty or NULL transcript gives the two front messages.
+    """
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     last_role = F.try_element_at(trace, F.lit(-1))["role"]
     body = F.when(last_role == ENVIRONMENT, F.slice(trace, 1, F.size(trace) - 1)).otherwise(trace)
-    return F.concat(F.array(message("system", system), message("user", task)), body)
+    front = F.array(message("system", system), message("user", task))
+    return F.coalesce(F.concat(front, body), front)
 
 
 def judge_prompt(rendered: Column) -> Column:

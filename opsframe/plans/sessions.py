@@ -46,7 +46,7 @@ _FRONT_SQL = f"""'###system:' || chr(10) || '{SYSTEM}' || chr(10) || chr(10)
     FROM m GROUP BY session_id""")
 def session_service_view(spark, sf):
     view = fs.service_trace_view(F.col("trace"), F.lit(SYSTEM), F.lit(TASK))
-    return document_sessions(spark, sf).filter(F.size("trace") > 0).select(
+    return document_sessions(spark, sf).select(
         "session_id", fs.render_trace(view).alias("view")
     )
 
@@ -69,7 +69,7 @@ def message_service_view(spark, sf):
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS rn FROM ({DOCUMENT_MESSAGES_SQL}))
     WHERE rn <= 5 GROUP BY session_id""")
 def session_tail_summary(spark, sf):
-    return document_sessions(spark, sf).filter(F.size("trace") > 0).select(
+    return document_sessions(spark, sf).select(
         "session_id", fs.tail_summary(F.col("trace")).alias("summary")
     )
 
@@ -86,7 +86,7 @@ def message_tail_summary(spark, sf):
     SELECT session_id, string_agg({_RENDER}, '' ORDER BY turn) AS rendered
     FROM ({DOCUMENT_MESSAGES_SQL}) GROUP BY session_id""")
 def session_render(spark, sf):
-    return document_sessions(spark, sf).filter(F.size("trace") > 0).select(
+    return document_sessions(spark, sf).select(
         "session_id", fs.render_trace(F.col("trace")).alias("rendered")
     )
 
@@ -105,7 +105,7 @@ def message_render(spark, sf):
            replace({_sql_text(fs.JUDGE_TASK)}, '{{trace}}', string_agg({_RENDER}, '' ORDER BY turn)) AS "user"
     FROM ({DOCUMENT_MESSAGES_SQL}) GROUP BY session_id""")
 def judge_requests(spark, sf):
-    return os_.judge_requests(document_sessions(spark, sf).filter(F.size("trace") > 0))
+    return os_.judge_requests(document_sessions(spark, sf))
 
 
 _VERDICT = """CASE event_id % 5 WHEN 0 THEN 'Rating: [[' || cast(user_id % 10 AS {0}) || ']]'

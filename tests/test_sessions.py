@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from opsframe.functions import sessions as fs
 from opsframe.operators import actions as oa, sessions as os_
+from opsframe.plans import catalog  # noqa: F401
+from opsframe.plans.registry import CATALOG
 from opsframe.sources.readers import read_sessions, unreadable_sessions
 
 MESSAGES = "session_id STRING, turn LONG, role STRING, content STRING"
@@ -194,3 +196,17 @@ def test_remaining_and_cached(spark):
     cache = requests.filter("id = 1").select("payload_key", F.lit("r").alias("response"))
     assert {(r.id, r.response) for r in os_.cached_responses(requests, cache).collect()} == {(1, "r"), (2, None), (3, None)}
     assert [r.waiting for r in os_.cache_misses(requests, cache).collect()] == [2]
+
+
+@pytest.mark.parametrize("name,column,of_nothing", [
+    ("session_service_view", "view", "###system:\nYou operate a service.\n\n###user:\nFind the fault.\n\n"),
+    ("session_tail_summary", "summary", ""),
+    ("session_render", "rendered", ""),
+    ("judge_requests", "user", fs.JUDGE_TASK.replace("{trace}", "")),
+])
+def test_sessions_without_messages_are_kept(spark, tmp_path, name, column, of_nothing):
+    rows = [(1, "a\nb"), (2, ""), (3, None)]
+    spark.createDataFrame(rows, "doc_id LONG, text STRING").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.session_id: r[column] for r in CATALOG[name].build(spark, str(tmp_path)).collect()}
+    assert set(found) == {"1", "2", "3"}
+    assert found["2"] == found["3"] == of_nothing != found["1"]
