@@ -52,3 +52,28 @@ def test_empty_and_clashing(spark):
     wide = df.withColumns({c: F.lit(1) for c in ("examples", "_turns", "_written", "formatted", "target")})
     same = chat.chat_digest(chat.with_examples(df))
     assert chat.chat_digest(chat.with_examples(wide)).exceptAll(same).count() == 0
+
+
+def test_hot_conversation(spark):
+    """15,000 turns have 4 GB of examples, more than a row can hold."""
+    n = 15_000
+    text = lambda i: f"turn {i} " + "é<|" * 12
+    role = lambda i: "assistant" if i % 2 else "user"
+    rows = [(7, i, role(i), text(i)) for i in range(n)] + TURNS
+    found = {r.conv_id: r for r in chat.chat_digest(chat.with_examples(spark.createDataFrame(rows, SCHEMA))).collect()}
+    hot, told, end, chars = found[7], "", 0, 0
+    for i in range(n):
+        told += f"{role(i)}\n{text(i)}\n"
+        end += len(f"{chat.START}{role(i)}\n{text(i)}{chat.END}") + 12
+        chars += end if i % 2 else 0
+    assert len(found) == len({t[0] for t in TURNS}) + 1
+    assert hot.n_turns == n and hot.formatted_chars == chars > 3 << 30
+    assert hot.turns_sha256 == hashlib.sha256(told.encode()).hexdigest()
+    assert hot.loss_sha256 == hashlib.sha256("".join(text(i) for i in range(1, n, 2)).encode()).hexdigest()
+
+
+def test_parts_do_not_change_the_examples(spark, monkeypatch):
+    read = lambda: {(r.conv_id, r.example, *r[2:]) for r in chat.expand(spark.createDataFrame(TURNS, SCHEMA)).collect()}
+    whole = read()
+    monkeypatch.setattr(chat, "PER_PART", 50)
+    assert read() == whole and len(whole) == 9
