@@ -10,7 +10,7 @@ from pyspark.sql.types import TimestampType
 
 from opsframe.functions.logs import has_error_text, normalize_message
 from opsframe.functions.time import MICROS, bound, parse_landed
-from opsframe.operators.ordered import first_n
+from opsframe.operators.ordered import first_n, number_rows
 
 SLICE_ROWS = 7_500
 
@@ -126,3 +126,28 @@ def first_n_per_day(
     """The ``n`` oldest logs of each day."""
     dated = logs.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd"))
     return first_n(dated, ["day"], [F.col(ts), F.col(tie)], n)
+
+
+def _slice_start(ts: str, slice_length: str):
+    return F.window(F.col(ts).cast("timestamp"), slice_length)["start"]
+
+
+def first_n_per_slice(
+    logs: DataFrame, n: int = SLICE_ROWS, slice_length: str = "5 minutes", ts: str = "ts", tie: str = "log_id"
+) -> DataFrame:
+    """The ``n`` oldest logs of each slice of each day, so that no slice loses rows to an earlier one."""
+    dated = logs.withColumn("day", F.date_format(F.col(ts).cast("timestamp"), "yyyy-MM-dd")).withColumn(
+        "slice_start", _slice_start(ts, slice_length)
+    )
+    return first_n(dated, ["day", "slice_start"], [F.col(ts), F.col(tie)], n)
+
+
+def renumber_slices(
+    logs: DataFrame, slice_length: str = "5 minutes", ts: str = "ts", tie: str = "log_id"
+) -> DataFrame:
+    """Stacked slices with ``row``, dense from 0 over all of them in time order.
+
+    A slice is numbered on its own and starts after the counts of the slices before it, so only one
+    row per slice meets in one task.
+    """
+    return number_rows(logs, [], [F.col(ts), F.col(tie)], _slice_start(ts, slice_length), "row")

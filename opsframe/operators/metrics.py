@@ -271,16 +271,28 @@ def query_range(
 
 
 def export_metrics(
-    samples: DataFrame, inventory: DataFrame, start=None, end=None, sort: bool = False
+    samples: DataFrame,
+    inventory: DataFrame,
+    start=None,
+    end=None,
+    sort: bool = False,
+    step_s: int | None = None,
+    lookback_s: int = DEFAULT_RANGE,
 ) -> DataFrame:
     """KPI table of all allow-listed metrics of inventoried pods: raw values, three decimals.
 
-    ``sort`` asks for a global order by time; writers sort per file instead.
+    ``sort`` asks for a global order by time; writers sort per file instead. With ``step_s`` (as
+    ``EXPORT_STEP``) the rows lie on a grid, each with the latest value of its series in the
+    ``lookback_s`` seconds before; without it every sample is a row at its own time.
     """
-    window = samples if start is None else time_range(samples, "ts", start, end)
+    window = samples if start is None or step_s else time_range(samples, "ts", start, end)
     kept = in_inventory(exclude_pods(known_metrics(window)), inventory)
+    at = epoch_seconds(F.col("ts"))
+    if step_s:
+        series = ["metric", "pod", "instance", "interface", *(c for c in ("series_id",) if c in samples.columns)]
+        kept, at = gauge_at(kept, series, lookback_s, step_s, start, end), F.col("t")
     table = kept.select(
-        epoch_seconds(F.col("ts")).alias("timestamp"),
+        at.alias("timestamp"),
         fm.cmdb_id(F.col("instance"), F.col("pod")).alias("cmdb_id"),
         fm.kpi_name(F.col("metric"), F.col("interface")).alias("kpi_name"),
         fm.round3(F.col("value")).alias("value"),

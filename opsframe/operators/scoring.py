@@ -1,8 +1,9 @@
 """Scoring of submitted solutions against the ground truth.
 
 A solution is ``sol_kind`` (text, list, map, number, bool, none; NULL when nothing was submitted)
-with ``sol_text``, ``sol_list`` and ``sol_map``. A scorer adds columns to a table that has the
-solution and the problem's truth; further ones can be put in ``SCORERS``.
+with ``sol_text``, ``sol_list`` and ``sol_map``. A scorer adds columns, ``success`` among them, to a
+table that has the solution and the problem's truth. ``evaluate`` takes the scorer of each task from
+``SCORERS``, where further ones can be put.
 """
 
 from __future__ import annotations
@@ -87,8 +88,12 @@ def score_analysis(df: DataFrame) -> DataFrame:
     )
 
 
+def _detected(df: DataFrame) -> DataFrame:
+    return score_detection(df).withColumn("success", F.col("accuracy") == "Correct")
+
+
 SCORERS: dict[str, Scorer] = {
-    "detection": score_detection,
+    "detection": _detected,
     "localization": score_localization,
     "analysis": score_analysis,
 }
@@ -138,13 +143,16 @@ def evaluate(
     Columns named in ``envelope`` are carried along.
 
     ``mitigation`` is ``(session_id, success)`` from the recovery checks; without it the success of
-    mitigation sessions is NULL, since it is not in the transcript.
+    mitigation sessions is NULL, since it is not in the transcript. Every entry of ``SCORERS`` says the
+    success of the sessions of its task; the columns named here come from the three built-in ones.
     """
     solved = solved_sessions(sessions, envelope)
     known = score_join(solved, problems)
     task = F.col("task")
-    loc = score_localization(known).withColumnRenamed("success", "loc_success")
-    scored = score_analysis(score_detection(loc)).withColumnRenamed("success", "ana_success")
+    scored, success = known, F
+    for name, scorer in SCORERS.items():
+        scored = scorer(scored).withColumnRenamed("success", f"_success_{name}")
+        success = success.when(task == name, F.col(f"_success_{name}"))
     if mitigation is None:
         scored = scored.withColumn("mit_success", F.lit(None).cast("boolean"))
     else:
@@ -166,9 +174,5 @@ def evaluate(
         only("localization", "is_subset").alias("is_subset"),
         only("analysis", "system_level_correct").alias("system_level_correct"),
         only("analysis", "fault_type_correct").alias("fault_type_correct"),
-        F.when(task == "detection", F.col("accuracy") == "Correct")
-        .when(task == "localization", F.col("loc_success"))
-        .when(task == "analysis", F.col("ana_success"))
-        .otherwise(F.col("mit_success"))
-        .alias("success"),
+        success.otherwise(F.col("mit_success")).alias("success"),
     ).withColumn("task_time", task_time(*[F.col(c) for c in ("TTD", "TTL", "TTA", "TTM")]))

@@ -183,6 +183,24 @@ def log_first_per_day(spark, sf):
     return ol.first_n_per_day(logs(spark, sf), n=100).select("log_id", "day")
 
 
+@query("log_first_per_slice", "O2", f"""
+    SELECT log_id, day FROM (
+      SELECT log_id, strftime(ts, '%Y-%m-%d') AS day,
+             row_number() OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY ts, log_id) AS rn
+      FROM ({LOGS_SQL}))
+    WHERE rn <= 1""")
+def log_first_per_slice(spark, sf):
+    return ol.first_n_per_slice(logs(spark, sf), n=1).select("log_id", "day")
+
+
+@query("log_union_renumbered", "U1", f"""
+    SELECT log_id, row_number() OVER (ORDER BY ts, log_id) - 1 AS "row" FROM ({LOGS_SQL})""")
+def log_union_renumbered(spark, sf):
+    folder = scratch_path(spark, "stacked")
+    write_logs_sliced(logs(spark, sf).select("log_id", "ts"), folder)
+    return ol.renumber_slices(read_logs_sliced(spark, folder)).select("log_id", "row")
+
+
 @query("log_sliced_write", "K3 U1", f"""
     SELECT log_id, strftime(time_bucket(INTERVAL 5 MINUTE, ts), '%Y%m%dT%H%M%S') AS slice_start
     FROM ({LOGS_SQL})""")

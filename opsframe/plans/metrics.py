@@ -142,6 +142,22 @@ def metric_export(spark, sf):
     return om.export_metrics(samples(spark, sf), inventory(spark, sf), sort=True)
 
 
+@query("metric_export_grid", "E4", f"""
+    WITH k AS (
+      SELECT epoch_us(ts) AS us, sample_id, value, instance || '.' || pod AS cmdb_id,
+             CASE WHEN metric LIKE 'container_network%' AND interface IS NOT NULL
+                  THEN metric || '.' || interface ELSE metric END AS kpi_name
+      FROM ({SAMPLES_SQL})
+      WHERE metric IN ({_ALLOWED}) AND pod NOT LIKE 'loadgenerator-%' AND pod NOT LIKE 'redis-cart%'
+        AND pod IN ({INVENTORY_SQL})),
+    g AS (SELECT *, unnest(generate_series((us + 14999999) // 15000000 * 15,
+                                           (us + 299999999) // 15000000 * 15, 15)) AS timestamp FROM k)
+    SELECT timestamp, cmdb_id, kpi_name, round(arg_max(value, (us, sample_id)), 3) AS value
+    FROM g GROUP BY timestamp, cmdb_id, kpi_name""")
+def metric_export_grid(spark, sf):
+    return om.export_metrics(samples(spark, sf), inventory(spark, sf), step_s=om.EXPORT_STEP)
+
+
 @query("metric_write", "K1", _EXPORT_SQL)
 def metric_write(spark, sf):
     folder = scratch_path(spark, "metrics")

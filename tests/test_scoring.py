@@ -121,3 +121,13 @@ def test_training_job_shape(spark):
     task = spark.createDataFrame(rows, "job_name STRING, task_name STRING, inst_num INT, plan_cpu DOUBLE, plan_gpu DOUBLE")
     got = {r.job_name: tuple(r)[1:] for r in ocl.job_shape(task).collect()}
     assert got == {"bert_train_1": (2, 10, 8.0, 96.0, "parameter_server"), "solo": (1, 4, 2.0, 4.0, "all_reduce")}
+
+
+def test_evaluate_takes_its_rules_from_the_registry(spark, monkeypatch):
+    rows = [("d", "container_kill-detection"), ("m", "wrong_bin_usage-mitigation-1")]
+    sessions = spark.createDataFrame(
+        [(s, "agent", p, 1.0, 3.5, []) for s, p in rows],
+        "session_id STRING, agent STRING, problem_id STRING, start_time DOUBLE, end_time DOUBLE, trace ARRAY<STRUCT<role: STRING, content: STRING>>")
+    monkeypatch.setitem(osc.SCORERS, "mitigation", lambda df: df.withColumn("success", F.col("steps") == 0))
+    got = {r.session_id: r.success for r in osc.evaluate(sessions, problem_catalogue(spark)).collect()}
+    assert got == {"d": False, "m": True}

@@ -147,3 +147,12 @@ def test_day_partitions_are_pruned(spark, tmp_path):
     assert picked.count() == 20
     plan = picked._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(day" in plan
+
+
+def test_first_of_each_slice_and_dense_numbers(spark):
+    rows = [(f"l{i:02d}", i * 60) for i in range(12)] + [("z", 86_400 + 3600)]
+    df = spark.createDataFrame(rows, "log_id STRING, sec LONG").withColumn("ts", F.timestamp_seconds("sec"))
+    kept = {r.log_id for r in ol.first_n_per_slice(df, n=2).collect()}
+    assert kept == {"l00", "l01", "l05", "l06", "l10", "l11", "z"}
+    numbers = {r.log_id: r.row for r in ol.renumber_slices(df.repartition(5)).collect()}
+    assert numbers == {name: i for i, (name, _) in enumerate(rows)}
