@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.llm import bagminhash, chat, fingerprints, neighbours, ngrams, packing, pieces, pii, quality, sharding
 from opsframe.llm.common import table
-from opsframe.session import configure
+from opsframe.session import configure, scratch_path
 
 BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,7 +36,9 @@ def _op2(spark, sf_dir):
 
 @query("op3_two_pass_shuffle")
 def _op3(spark, sf_dir):
-    return sharding.shard_digest(sharding.shuffle_rows(table(spark, sf_dir, "documents")))
+    path, shuffled = scratch_path(spark, "shards"), sharding.shuffle_rows(table(spark, sf_dir, "documents"))
+    sharding.write_shards(shuffled, path)
+    return sharding.shard_digest(sharding.read_shards(spark, path, shuffled))
 
 
 @query("op4_bagminhash")

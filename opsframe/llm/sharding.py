@@ -1,6 +1,6 @@
 """Two-pass external shuffle: scatter rows over memory-sized buckets, then shuffle each bucket.
 
-Pass one sends each row to a bucket by a seeded hash of its key. Pass two numbers the rows of a
+Pass one sends each row to a bucket by a seeded hash of its key and text. Pass two numbers the rows of a
 bucket in a fixed order and permutes these numbers with a Fisher-Yates shuffle, whose draws are
 seeded hashes too. A bucket's place in the whole order comes from the sizes of those before it, so
 the global position is known without a global sort. All draws depend on the seed and the rows only:
@@ -9,7 +9,7 @@ a task that runs again after an executor is lost gives the same positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from opsframe.llm.common import text_or_empty
@@ -45,16 +45,16 @@ def shuffle_rows(
     Shards are consecutive stretches of the shuffled order, so their row counts differ by one at
     most. ``size`` is the text's UTF-8 bytes plus 1 (null text: 1). Columns of ``df`` of those names
     are replaced. Null and repeated keys are ordinary rows; rows that are equal in key and text are
-    interchangeable. ``key`` should be near unique, as all rows of one key share a bucket. An empty
-    table gives an empty result.
+    interchangeable. Rows of one key are spread by their texts; only rows that are equal in both share a
+    bucket. An empty table gives an empty result.
     """
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     held, rows = df.agg(F.sum(size), F.count(F.lit(1))).first()
     buckets = max(1, -(-(held or 0) // bucket_bytes), -(-rows // bucket_rows))
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(buckets)).cast("long")
+    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("long")
 
     before = Window.orderBy("_sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = (  # one row per bucket; reads the keys only
+    plan = (  # one row per bucket; reads keys and texts only
         df.select(bucket.alias("_sh_bucket"))
         .groupBy("_sh_bucket")
         .agg(F.count(F.lit(1)).cast("int").alias("_sh_n"))
@@ -88,6 +88,11 @@ def write_shards(shuffled: DataFrame, path: str) -> None:
     ordered.write.partitionBy("shard").parquet(path)
 
 
+def read_shards(spark: SparkSession, path: str, shuffled: DataFrame) -> DataFrame:
+    """The rows of ``write_shards``, with the columns of what was written."""
+    return spark.read.schema(shuffled.schema).parquet(path).select(shuffled.columns)
+
+
 def shard_digest(shuffled: DataFrame, text: str = "text") -> DataFrame:
     return shuffled.select(
         "doc_id",

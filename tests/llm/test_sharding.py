@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.llm import sharding
+from opsframe.llm import queries, sharding
 
 
 def test_fisher_yates_is_a_permutation_and_uniform(spark):
@@ -59,3 +59,25 @@ def test_hot_key(spark):
     hot = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
     rows = sharding.shuffle_rows(hot, bucket_rows=50).collect()
     assert len({(r.shard, r.slot) for r in rows}) == 900
+
+
+def test_one_key_with_many_texts_is_spread(spark):
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows = sharding.shuffle_rows(hot, bucket_rows=50).collect()
+    order = sorted(rows, key=lambda r: (r.shard, r.slot))
+    buckets = [r[0] for r in hot.select(F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(60))).collect()]
+    assert max(Counter(buckets).values()) < 100
+    at = {r.text: i for i, r in enumerate(order)}
+    by_bucket = defaultdict(list)
+    for i, b in enumerate(buckets):
+        by_bucket[b].append(at[str(i)])
+    # Each bucket is one stretch of the whole order, so no key fills one.
+    assert all(max(p) - min(p) == len(p) - 1 for p in by_bucket.values())
+
+
+def test_query_reads_its_shards_back(spark, sf_dir, docs):
+    out = queries.BUILDS["op3_two_pass_shuffle"](spark, sf_dir)
+    files = out.inputFiles()
+    assert files and all("/shards-" in f and "/shard=" in f for f in files)
+    same = sharding.shard_digest(sharding.shuffle_rows(docs))
+    assert out.exceptAll(same).count() == 0 and out.count() == docs.count()
