@@ -31,7 +31,7 @@ def _op1(spark, sf_dir):
 
 @query("op2_deleted_interpolation")
 def _op2(spark, sf_dir):
-    return ngrams.score_documents(table(spark, sf_dir, "documents"))
+    return ngrams.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 @query("op3_two_pass_shuffle")

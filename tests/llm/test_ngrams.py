@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opsframe.llm import ngrams
+from opsframe.llm import ngrams, queries
 
 
 def words_of(text):
@@ -121,3 +121,8 @@ def test_packing_and_em():
     right = ngrams.learn_weights([((0, 3), 1000.0, (-10.0, 0.0))], 2, 1e-4)
     wrong = ngrams.learn_weights([((0, 3), 1000.0, (-2.0, -math.inf))], 2, 1e-4)
     assert right[1][3] > 0.99 and wrong[1][3] < 0.01 and wrong[0][0] > 0.99
+
+
+def test_query_scores_with_two_words_of_context(spark, sf_dir, docs):
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(queries.BUILDS["op2_deleted_interpolation"](spark, sf_dir)) == rows(ngrams.score_documents(docs, order=3))
