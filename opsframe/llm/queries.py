@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsframe.llm import bagminhash, chat, fingerprints, neighbours, ngrams, packing, pieces, pii, quality, sharding
+from opsframe.llm import (
+    bagminhash,
+    chat,
+    fingerprints,
+    manifest,
+    neighbours,
+    ngrams,
+    packing,
+    pieces,
+    pii,
+    quality,
+    repeats,
+    sharding,
+    variants,
+)
 from opsframe.llm.common import table
 from opsframe.session import configure, scratch_path
 
@@ -107,3 +121,18 @@ def _op9(spark, sf_dir):
 def _op10(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.span_digest(pii.annotate(docs, pii.fit(docs)))
+
+
+@query("op11_octopus_manifest")
+def _op11(spark, sf_dir):
+    return manifest.proofs(table(spark, sf_dir, "documents"))
+
+
+@query("op12_frequency_trie")
+def _op12(spark, sf_dir):
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_suffix_array")
+def _op13(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))

@@ -9,9 +9,9 @@ from opsframe.llm import queries
 NATIVE = [n for n in queries.BUILDS if n.split("_")[0] in ("op1", "op3", "op8", "op10")]
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     found = driver.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in found if n.startswith("op")) == list(range(1, 14))
     assert "pipeline" in found and set(driver.oracle_sql()) <= set(found)
 
 
