@@ -48,11 +48,11 @@ class Sizes(NamedTuple):
     """How the work is cut; no result depends on it."""
 
     #: Bytes of text in a chunk, and of those hashed at once (less than 2 ** 20).
-    chunk: int = 4 << 20
-    segment: int = 1 << 19
+    chunk: int = 2 << 20
+    segment: int = 1 << 17
     #: Bytes of text for each bucket of the hash range, and of packed surroundings for each range.
-    bucket: int = 16 << 20
-    around: int = 2 << 20
+    bucket: int = 6 << 20
+    around: int = 1 << 20
     #: Different runs at one anchor beyond which each stretch is dealt by itself.
     hot: int = 1_000
 
@@ -108,7 +108,9 @@ def anchors(data: np.ndarray, owner: np.ndarray, segment: int):
             return _join(_join(_join(sixteen[p], sixteen[p + 16]), sixteen[p + 32]), two[p + 48])
 
         run = _join(_join(stretch(first), stretch(first + count - 1)), count.astype(np.uint64))
-        parts.append((at[start] + low, first + low, count, key[at[start]], run))
+        # Least hashes are small; mixed once more they fill the range evenly.
+        mixed = _join(key[at[start]], key[at[start]] >> np.uint64(32))
+        parts.append((at[start] + low, first + low, count, mixed, run))
     kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64)
     return tuple(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, kinds[i]) for i in range(5))
 
