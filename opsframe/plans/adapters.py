@@ -120,6 +120,11 @@ LINES_SQL = """
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream per user, numbered in time order hour by hour; some lines have no timestamp."""
+    return timed_lines(spark, sf_dir).drop("ts")
+
+
+def timed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``log_lines`` with the time of each line."""
     text = F.when(
         F.expr("event_id % 9 = 0"), F.concat(F.lit("event="), "event_type")
     ).otherwise(
@@ -135,7 +140,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = number_rows(
         rows, ["stream"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts")
     )
-    return numbered.select("stream", "seq", "line")
+    return numbered.select("stream", "seq", "line", F.col("ts").cast("timestamp").alias("ts"))
 
 
 # --- documents as texts and as sessions ------------------------------------------------------

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsframe.functions.logs import has_error_text
-from opsframe.plans.adapters import LINES_SQL, LOGS_SQL, log_lines, logs, sessions
+from opsframe.plans.adapters import LINES_SQL, LOGS_SQL, log_lines, logs, sessions, timed_lines
 from opsframe.plans.logs import _pass_sql
 from opsframe.plans.registry import query, table
 from opsframe.plans.scoring import _EVALUATE_SQL
 from opsframe.session import scratch_path
 from opsframe.sources.readers import stream_source
-from opsframe.streaming import jobs, slices, stateful, wide
+from opsframe.streaming import jobs, slices, stateful, timed, wide
 
 
 def _tail(spark, df, label):
@@ -21,6 +21,33 @@ def _tail(spark, df, label):
     return stream_source(spark, folder, df.schema, "parquet")
 
 
+#: Landings of a table in order of time, and files of each; a micro-batch takes the files of one.
+LANDINGS, FILES = 3, 2
+
+
+def _landings(df) -> list:
+    """``df`` cut in order of its ``ts``, in parts of about as many rows."""
+    at = [n / LANDINGS for n in range(1, LANDINGS)]
+    cuts = df.select(F.unix_micros("ts").cast("double").alias("us")).approxQuantile("us", at, 0.001)
+    place = sum(((F.unix_micros("ts") > int(c)).cast("int") for c in cuts), F.lit(0))
+    return [df.filter(place == n) for n in range(LANDINGS)]
+
+
+def _tail_in_turn(spark, parts: list, label: str):
+    """Land ``parts`` one after the other and tail them, a micro-batch for each."""
+    folder = scratch_path(spark, label)
+    for part in parts:
+        part.repartition(FILES).write.mode("append").parquet(folder)
+    return stream_source(spark, folder, parts[0].schema, "parquet", max_files=FILES)
+
+
+def _tick(df, after: str):
+    """A row without a key, so long after the last one."""
+    empty = [F.lit(None).cast(kind).alias(name) for name, kind in df.dtypes if name != "ts"]
+    last = df.agg((F.max("ts") + F.expr(f"INTERVAL '{after}'")).alias("ts"))
+    return last.select(*empty, "ts").select(*df.columns)
+
+
 @query("stream_log_slices", "R1 S11", """
     SELECT slice_start, pod_name, log_count FROM (
       SELECT epoch(time_bucket(INTERVAL 5 MINUTE, ts))::BIGINT AS slice_start,
@@ -48,6 +75,42 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(out).select("log_id")
 
 
+@query("stream_dedupe_bounded", "R2 S11", f"SELECT log_id, epoch_us(ts) AS us FROM ({LOGS_SQL})")
+def stream_dedupe_bounded(spark, sf):
+    out = scratch_path(spark, "deduped")
+    jobs.run_available(slices.stream_dedupe(_tail_in_turn(spark, pulls(spark, sf), "pulls"), delay=PULL_DELAY), out)
+    return spark.read.parquet(out).select("log_id", F.unix_micros("ts").alias("us"))
+
+
+PULL_DELAY = "2 days"
+
+
+def pulls(spark, sf) -> list:
+    """Pulls of a log in turn. Each repeats the last day of the pull before, whose ids are still
+    known, and a seventh of the first pull, most of which is so late that it is dropped as such."""
+    parts = _landings(logs(spark, sf).select("log_id", "ts", "event_id"))
+    repeated = [parts[0]]
+    for before, part in zip(parts, parts[1:]):
+        end = before.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("end"))
+        edge = before.join(F.broadcast(end), F.col("ts") >= F.col("end")).drop("end")
+        repeated.append(part.unionByName(edge).unionByName(parts[0].filter("event_id % 7 = 0")))
+    return [part.drop("event_id") for part in repeated]
+
+
+#: Longer than any silence of a stream in the test tables, so that a flush can't part two repeats.
+SILENCE = "3650 days"
+
+
+@query("stream_compress_flushed", "R3 S11", _pass_sql(LINES_SQL))
+def stream_compress_flushed(spark, sf):
+    stateful.use_state_store(spark)
+    lines = timed_lines(spark, sf)
+    source = _tail_in_turn(spark, [*_landings(lines), _tick(lines, "3700 days")], "lines")
+    out = scratch_path(spark, "compressed")
+    jobs.run_available(timed.stream_compress_flushed(source, SILENCE), out)
+    return spark.read.parquet(out)
+
+
 @query("stream_compress", "R3", _pass_sql(LINES_SQL))
 def stream_compress(spark, sf):
     stateful.use_state_store(spark)
@@ -125,3 +188,15 @@ def stream_first_error(spark, sf):
     return answers.join(F.broadcast(newest), "batch").select(
         "pod_name", F.unix_micros("since").alias("since")
     )
+
+
+@query("stream_first_error_once", "R6 S11", f"""
+    SELECT pod_name, min(epoch_us(ts)) AS since FROM ({LOGS_SQL})
+    WHERE contains(lower(message), 'error') GROUP BY pod_name""")
+def stream_first_error_once(spark, sf):
+    stateful.use_state_store(spark)
+    rows = logs(spark, sf).select("pod_name", "message", "ts")
+    source = _tail_in_turn(spark, [*_landings(rows), _tick(rows, "3700 days")], "messages")
+    out = scratch_path(spark, "told")
+    jobs.run_available(timed.first_true_once(source, ["pod_name"], has_error_text(F.col("message")), SILENCE), out)
+    return spark.read.parquet(out).select("pod_name", F.unix_micros("since").alias("since"))

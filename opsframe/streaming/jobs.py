@@ -73,3 +73,8 @@ def keep_latest(folder: str) -> Callable[[DataFrame, int], None]:
         )
 
     return write
+
+
+def state_rows(spark, checkpoint: str, **options: str) -> DataFrame:
+    """What a stream keeps between micro-batches, as of its last one."""
+    return spark.read.format("statestore").options(path=checkpoint, **options).load()
