@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -120,6 +120,33 @@ def select_days(logs: DataFrame, start: datetime, end: datetime, day: str = "day
     return logs.filter(F.col(day).between(F.lit(start.date()), F.lit(end.date())))
 
 
+def logs_of_spans(logs: DataFrame, spans: DataFrame, ts: str = "ts", day: str = "day") -> DataFrame:
+    """Logs inside any of the intervals (``start``, ``end``, closed), of day folders found at run time.
+
+    The days come from the intervals themselves, which may be the answer of another query. Joined on
+    the folder column, the scan lists and reads only these days once they are known. Intervals are cut
+    by the hour and overlapping ones merged, so that a log comes out once and meets those of its hour.
+    """
+    whole, hour = F.expr("INTERVAL 1 HOUR"), F.col("_hour")
+    hours = F.sequence(F.date_trunc("hour", "day_start"), F.date_trunc("hour", "day_end"), whole)
+    cut = expand_days(spans).withColumn("_hour", F.explode(hours)).select(
+        F.col("day").cast("date").alias(day),
+        "_hour",
+        F.greatest("day_start", hour).alias("_from"),
+        F.least("day_end", hour + whole - F.expr("INTERVAL 1 MICROSECOND")).alias("_to"),
+    ).distinct()
+    order = Window.partitionBy(day, "_hour").orderBy("_from", "_to")
+    reached = F.max("_to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parted = cut.withColumn("_new", (reached.isNull() | (F.col("_from") > reached)).cast("int"))
+    parted = parted.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = parted.groupBy(day, "_hour", "_run").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"))
+    wanted = merged.groupBy(day, "_hour").agg(F.collect_list(F.struct("_from", "_to")).alias("_spans"))
+    at = F.col(ts).cast("timestamp")
+    inside = F.exists("_spans", lambda s: (at >= s["_from"]) & (at <= s["_to"]))
+    placed = logs.withColumn("_hour", F.date_trunc("hour", at))
+    return placed.join(wanted, [day, "_hour"]).filter(inside).select(*logs.columns)
+
+
 def first_n_per_day(
     logs: DataFrame, n: int = SLICE_ROWS, ts: str = "ts", tie: str = "log_id"
 ) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsframe.functions import sessions as fs
+from opsframe.functions.results import split_results
 from opsframe.operators.ordered import running_total
 
 TURNS_PER_BUCKET = 1_024
@@ -105,6 +106,26 @@ def usage(messages: DataFrame, counter: Callable[[Column], Column] | None = None
     )
 
 
+def usage_of_sessions(sessions: DataFrame, counter: Callable[[Column], Column]) -> DataFrame:
+    """Steps and tokens of nested sessions, each side counted as one joined text.
+
+    Tokens can reach over the end of a message, so this can be a few less than ``usage`` gives for
+    the same messages one by one. Row-local: a session is not exploded.
+    """
+
+    def joined(keep: Callable[[Column], Column]) -> Column:
+        said = F.transform(F.filter("trace", lambda m: keep(m["role"])), lambda m: F.coalesce(m["content"], F.lit("")))
+        return F.coalesce(F.array_join(said, ""), F.lit(""))
+
+    ours = lambda role: F.coalesce(role == fs.ASSISTANT, F.lit(False))
+    return sessions.select(
+        "session_id",
+        F.coalesce(F.size(F.filter("trace", lambda m: ours(m["role"]))), F.lit(0)).cast("long").alias("steps"),
+        counter(joined(lambda role: ~ours(role))).alias("in_tokens"),
+        counter(joined(ours)).alias("out_tokens"),
+    )
+
+
 def durations(sessions: DataFrame) -> DataFrame:
     """Adds duration, task time (first of TTD, TTL, TTA, TTM) and overhead (the rest)."""
     return (
@@ -118,11 +139,13 @@ def trim_history(
     messages: DataFrame,
     max_tokens: int = HISTORY_LIMITS[0],
     tokens: Callable[[Column], Column] | None = None,
+    cut: Callable[[Column, int], Column] | None = None,
 ) -> DataFrame:
     """Newest messages that fit the limit; the newest always stays, cut when it alone is too long.
 
     Costs are positive, so "running cost within the limit" stops at the first message that does not
-    fit. With the estimate a cut keeps ``4 * (max_tokens - 4)`` characters.
+    fit. With the estimate a cut keeps ``4 * (max_tokens - 4)`` characters; ``cut(text, n)`` gives the
+    text of the first ``n`` tokens instead and is asked only of messages that are too long.
     """
     count = tokens or (lambda text: fs.estimate_tokens(F.length(text)))
     priced = messages.withColumn(
@@ -138,13 +161,14 @@ def trim_history(
         descending=True,
     )
     newest = F.col("running_cost") == F.col("cost")
-    room = (max_tokens - fs.TOKENS_PER_MESSAGE) * 4
+    room = max_tokens - fs.TOKENS_PER_MESSAGE
     fits = F.col("running_cost") <= max_tokens
+    shortened = F.substring("content", 1, room * 4) if cut is None else cut(F.when(~fits, F.col("content")), room)
     return summed.filter(fits | newest).select(
         "session_id",
         "turn",
         "role",
-        F.when(fits, F.col("content")).otherwise(F.substring("content", 1, room)).alias("content"),
+        F.when(fits, F.col("content")).otherwise(shortened).alias("content"),
         "running_cost",
     )
 
@@ -187,6 +211,12 @@ def session_table(sessions: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def results_table(sessions: DataFrame) -> DataFrame:
+    """One flat row per session: its envelope, the declared results as columns, others in ``rest``."""
+    envelope = [c for c in sessions.columns if c not in ("trace", "results")]
+    return sessions.select(*envelope, split_results(F.col("results")).alias("_results")).select(*envelope, "_results.*")
+
+
 def scorecard(scored: DataFrame) -> DataFrame:
     """Sessions, successes and mean effort by agent and task, with subtotals (NULL = all)."""
     return scored.rollup("agent", "task").agg(

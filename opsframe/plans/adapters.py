@@ -384,6 +384,19 @@ SESSIONS_SQL = f"""
                  {_LOOK} AS look, {_DONE} AS done FROM orders)""".replace("AS string", "AS VARCHAR")
 
 
+# The same sessions as attempts of which no one takes up every seventh problem.
+ATTEMPTS_SQL = f"""
+    SELECT {_ENVELOPE}, coalesce(([{_IDS}])[no - CAST(no % 7 = 3 AS INTEGER) + 1], 'unknown') AS problem_id
+    FROM (SELECT *, (o_orderkey // 5) % 97 AS no FROM orders)""".replace("AS string", "AS VARCHAR")
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions without their transcripts; every seventh problem has none."""
+    rows = table(spark, sf_dir, "orders").withColumn("no", F.expr("cast((o_orderkey div 5) % 97 AS int)"))
+    picked = f"coalesce(get(array({_IDS}), no - cast(no % 7 = 3 AS int)), 'unknown') AS problem_id"
+    return rows.selectExpr(*exprs(_ENVELOPE), picked)
+
+
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as nested sessions: user, assistant, env, submitting assistant, env."""
     say = "named_struct('role', '{0}', 'content', {1})"
@@ -429,8 +442,7 @@ GPU_SQL = {
         CAST(512 AS DOUBLE) AS cap_mem, CAST(s_nationkey % 8 AS DOUBLE) AS cap_gpu FROM supplier""",
     "machine_metric": """SELECT 'w' || l_orderkey || '-' || l_linenumber || '-' || l_partkey AS worker_name,
         'm' || l_suppkey AS machine, l_quantity AS machine_cpu, l_discount AS machine_gpu,
-        l_tax AS machine_load_1, CAST(l_linenumber AS DOUBLE) AS machine_num_worker FROM lineitem
-        WHERE l_linestatus = 'F'""",
+        l_tax AS machine_load_1, CAST(l_linenumber AS DOUBLE) AS machine_num_worker FROM lineitem""",
     "group_tag": """SELECT 'inst' || p_partkey AS inst_id, CASE WHEN p_size % 3 = 0 THEN '' ELSE 'T4' END AS gpu_type_spec,
         p_brand AS "group", CASE p_type WHEN 'SMALL' THEN NULL WHEN 'LARGE' THEN '' ELSE lower(p_type) END AS workload
         FROM part""",
@@ -474,7 +486,7 @@ def gpu(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             s("l_quantity").alias("max_mem"), s("l_tax * 100").alias("avg_gpu_wrk_mem"),
         )
     if name == "machine_metric":
-        return items.filter("l_linestatus = 'F'").select(
+        return items.select(
             worker, machine, s("l_quantity").alias("machine_cpu"), s("l_discount").alias("machine_gpu"),
             s("l_tax").alias("machine_load_1"), s("cast(l_linenumber AS double)").alias("machine_num_worker"),
         )

@@ -143,6 +143,24 @@ def day_selection(spark, sf):
     return ol.select_days(stored, datetime(2024, 1, 8, 5), datetime(2024, 1, 12, 1)).select("event_id")
 
 
+_INCIDENT = "event_type = 'error' AND value > 180"
+
+
+@query("day_selection_dynamic", "P18 P17", f"""
+    SELECT event_id FROM events e WHERE EXISTS (SELECT 1 FROM events i WHERE {_INCIDENT.replace("event_type", "i.event_type").replace("value", "i.value")}
+      AND e.ts BETWEEN i.ts - INTERVAL 10 MINUTE AND i.ts + INTERVAL 10 MINUTE)""")
+def day_selection_dynamic(spark, sf):
+    """Logs around incidents, which are found by a query of their own."""
+    folder = scratch_path(spark, "by-day")
+    events = table(spark, sf, "events")
+    events.withColumn("day", F.to_date("ts")).hint("rebalance", F.col("day")).write.partitionBy("day").parquet(folder)
+    stored = spark.read.schema("event_id LONG, ts TIMESTAMP_NTZ, day DATE").parquet(folder)
+    around = F.expr("INTERVAL 10 MINUTE")
+    at = F.col("ts").cast("timestamp")
+    spans = events.filter(_INCIDENT).select((at - around).alias("start"), (at + around).alias("end"))
+    return ol.logs_of_spans(stored, spans).select("event_id")
+
+
 def _volume_sql(days: int, unit: str) -> str:
     return f"""
     SELECT strftime(date_trunc('{unit}', ts), '%Y-%m-%d %H:%M') AS date, count(*) AS log_count FROM events

@@ -12,7 +12,7 @@ from opsframe.operators import metrics as om
 from opsframe.plans.adapters import INVENTORY_SQL, SAMPLES_SQL, exprs, inventory, samples
 from opsframe.plans.registry import query, table
 from opsframe.session import scratch_path
-from opsframe.sources.sinks import write_metrics
+from opsframe.sources.sinks import merge_metrics, write_metrics
 
 DAY, HOUR = 86_400, 3_600
 SERIES = ["event_type", "shard"]
@@ -165,6 +165,20 @@ def metric_write(spark, sf):
     return spark.read.parquet(folder).drop("kpi")
 
 
+@query("metric_merge", "K1 P3", f"""
+    SELECT timestamp, cmdb_id, kpi_name, max(value) AS value FROM ({_EXPORT_SQL}) GROUP BY timestamp, cmdb_id, kpi_name""")
+def metric_merge(spark, sf):
+    """Chunks closed at both ends, the middle one landed twice."""
+    folder = scratch_path(spark, "merged")
+    table_ = om.export_metrics(samples(spark, sf), inventory(spark, sf))
+    third = table_.agg(F.min("timestamp").alias("t0"), ((F.max("timestamp") - F.min("timestamp")) / 3).cast("long").alias("step"))
+    t0, step = third.first()
+    cuts = [t0, t0 + step, t0 + 2 * step, 2**40]
+    for n in (0, 1, 1, 2):
+        merge_metrics(table_.filter(F.col("timestamp").between(cuts[n], cuts[n + 1])), folder)
+    return spark.read.parquet(folder).drop("kpi", "day")
+
+
 @query("metric_exclude_pods", "P4", f"""SELECT sample_id, pod FROM ({SAMPLES_SQL})
     WHERE NOT starts_with(pod, 'loadgenerator-') AND NOT starts_with(pod, 'redis-cart')""")
 def metric_exclude_pods(spark, sf):

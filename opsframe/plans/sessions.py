@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
 from opsframe.functions import sessions as fs
 from opsframe.functions.problems import problem_catalogue, problem_parts
+from opsframe.functions.tokens import Vocabulary
 from opsframe.operators import actions as oa, sessions as os_
 from opsframe.plans.adapters import (
+    ATTEMPTS_SQL,
     CATALOGUE_SQL,
     DOCUMENT_MESSAGES_SQL,
     MESSAGES_SQL,
     SESSIONS_SQL,
     action_messages,
+    attempts,
     document_sessions,
     exprs,
     messages,
@@ -205,6 +209,27 @@ def session_usage(spark, sf):
     return os_.usage(messages(spark, sf))
 
 
+def vocabulary(spark) -> Vocabulary:
+    return Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+# Merges of a vocabulary have no SQL form; tests hold these against the vocabulary's own library.
+@query("session_usage_exact", "A2 A3")
+def session_usage_exact(spark, sf):
+    return os_.usage_of_sessions(document_sessions(spark, sf), vocabulary(spark).count)
+
+
+@query("message_usage_exact", "A2 A3")
+def message_usage_exact(spark, sf):
+    return os_.usage(messages(spark, sf), vocabulary(spark).count)
+
+
+@query("history_trim_exact", "E8")
+def history_trim_exact(spark, sf):
+    words = vocabulary(spark)
+    return os_.trim_history(messages(spark, sf), _LIMIT, words.count, words.cut)
+
+
 _TIMED = """o_orderkey AS session_id, o_totalprice / 1000 AS start_time, o_totalprice / 500 AS end_time,
     CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 2000 END AS TTD,
     CASE WHEN o_orderkey % 4 = 1 THEN o_totalprice / 3000 END AS TTL,
@@ -245,20 +270,46 @@ def sessions_completed(spark, sf):
 
 @query("problems_remaining", "J4", f"""
     SELECT problem_id FROM ({CATALOGUE_SQL}) WHERE problem_id NOT IN (
-      SELECT problem_id FROM ({SESSIONS_SQL}) WHERE agent = 'agent1' AND model = 'org/model-2' AND end_time - start_time > 480)""")
+      SELECT problem_id FROM ({ATTEMPTS_SQL}) WHERE agent = 'agent1' AND model = 'org/model-2')""")
 def problems_remaining(spark, sf):
-    done = sessions(spark, sf).filter(F.col("end_time") - F.col("start_time") > 480)
-    return os_.remaining_problems(problem_catalogue(spark), done, "agent1", "org/model-2")
+    return os_.remaining_problems(problem_catalogue(spark), attempts(spark, sf), "agent1", "org/model-2")
 
 
 @query("problems_except", "U4", f"""
-    SELECT problem_id FROM ({CATALOGUE_SQL})
-    EXCEPT SELECT problem_id FROM ({SESSIONS_SQL}) WHERE end_time - start_time > 497""")
+    SELECT problem_id FROM ({CATALOGUE_SQL}) EXCEPT SELECT problem_id FROM ({ATTEMPTS_SQL})""")
 def problems_except(spark, sf):
-    done = sessions(spark, sf).filter(F.col("end_time") - F.col("start_time") > 497)
     return problem_catalogue(spark).select("problem_id").exceptAll(
-        done.select("problem_id").distinct()
+        attempts(spark, sf).select("problem_id").distinct()
+    )
+
+
+# Results objects by order: declared keys, keys of another type than declared, unknown ones, no object.
+_RESULTS = """CASE o_orderkey % 6
+    WHEN 0 THEN concat('{{"Detection Accuracy": "Correct", "TTD": ', o_custkey, '.5, "steps": ', o_custkey % 20, ', "success": true}}')
+    WHEN 1 THEN concat('{{"Localization Accuracy": ', o_custkey % 100, '.25, "is_subset": false, "zone": "z', o_custkey % 7, '"}}')
+    WHEN 2 THEN concat('{{"success": "maybe", "in_tokens": ', o_custkey, ', "extra": {{"a": [1, ', o_custkey, ']}}}}')
+    WHEN 3 THEN concat('{{"TTM": null, "reasoning_score": ', o_custkey % 10, ', "reasoning_judgement": "fine"}}')
+    WHEN 4 THEN concat('[', o_custkey, ']') END""".replace("{{", "{").replace("}}", "}")
+
+
+@query("session_results_typed", "S4 A13", f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS session_id,
+      CASE WHEN k = 0 THEN 'Correct' END AS detection_accuracy, CASE WHEN k = 1 THEN o_custkey % 100 + 0.25 END::DOUBLE AS localization_accuracy,
+      CASE WHEN k = 0 THEN true END AS success, CASE WHEN k = 1 THEN false END AS is_subset,
+      CASE WHEN k = 0 THEN o_custkey + 0.5 END::DOUBLE AS ttd, NULL::DOUBLE AS ttm, CASE WHEN k = 0 THEN o_custkey % 20 END AS steps,
+      CASE WHEN k = 2 THEN o_custkey END AS in_tokens, CASE WHEN k = 3 THEN o_custkey % 10 END::DOUBLE AS reasoning_score,
+      CASE WHEN k = 3 THEN 'fine' END AS reasoning_judgement,
+      CASE k WHEN 0 THEN '{{}}' WHEN 1 THEN '{{"zone":"z' || (o_custkey % 7) || '"}}'
+             WHEN 2 THEN '{{"extra":{{"a":[1,' || o_custkey || ']}},"success":"maybe"}}' WHEN 3 THEN '{{}}'
+             WHEN 4 THEN '[' || o_custkey || ']' END AS rest
+    FROM (SELECT *, o_orderkey % 6 AS k FROM orders)""")
+def session_results_typed(spark, sf):
+    rows = table(spark, sf, "orders").select(
+        F.col("o_orderkey").cast("string").alias("session_id"), F.parse_json(F.expr(_RESULTS)).alias("results")
     )
+    wanted = ["detection_accuracy", "localization_accuracy", "success", "is_subset", "ttd", "ttm", "steps", "in_tokens",
+              "reasoning_score", "reasoning_judgement"]
+    return os_.results_table(rows).select("session_id", *wanted, F.to_json("rest").alias("rest"))
 
 
 def _requests(spark, sf):

@@ -60,6 +60,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back; the files outlive any executor."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so later passes do not recompute earlier ones."""
     context = df.sparkSession.sparkContext

@@ -6,6 +6,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from opsframe.session import landed
 
 
 def write_metrics(table: DataFrame, folder: str, fmt: str = "parquet") -> None:
@@ -18,6 +21,43 @@ def write_metrics(table: DataFrame, folder: str, fmt: str = "parquet") -> None:
     )
 
 
+KPI_KEY = ("timestamp", "cmdb_id", "kpi_name")
+
+
+def merge_metrics(chunk: DataFrame, folder: str) -> None:
+    """Put a chunk of the KPI table into its folders by metric and day, each key once.
+
+    A chunk closed at both ends repeats rows of the chunk before, and a chunk that is landed again
+    repeats all of its own; either leaves one row per key, with the value of the newest chunk (the
+    largest of those in it). Only the days that the chunk has are read and written anew, and a day is
+    replaced as a whole when all of it is ready. One writer at a time.
+    """
+    spark = chunk.sparkSession
+    day = F.date_format(F.timestamp_seconds("timestamp"), "yyyyMMdd")
+    placed = landed(
+        chunk.withColumns({"kpi": F.split_part("kpi_name", F.lit("."), F.lit(1)), "day": day}), "chunk"
+    )
+    schema = T.StructType([*(f for f in placed.schema if f.name not in ("kpi", "day")), placed.schema["kpi"], placed.schema["day"]])
+    rows = placed.withColumn("_new", F.lit(True))
+    if has_files(spark, folder):
+        touched = placed.select("kpi", "day").distinct()
+        there = spark.read.schema(schema).parquet(folder).join(touched, ["kpi", "day"], "left_semi")
+        rows = rows.unionByName(there.withColumn("_new", F.lit(False)))
+    values = [c for c in chunk.columns if c not in KPI_KEY]
+    best = F.max(F.struct("_new", *values)).alias("_best")
+    merged = landed(rows.groupBy(*KPI_KEY, "kpi", "day").agg(best).select(*KPI_KEY, "_best.*", "kpi", "day").drop("_new"), "merged")
+    (
+        merged.hint("rebalance", F.col("kpi"), F.col("day"))
+        .sortWithinPartitions("kpi", "day", "timestamp")
+        .write.partitionBy("kpi", "day").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(folder)
+    )
+
+
+def has_files(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def write_spans(spans: DataFrame, folder: str, fmt: str = "parquet") -> None:
     spans.write.mode("append").format(fmt).option("header", True).save(folder)
 

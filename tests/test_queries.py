@@ -17,7 +17,7 @@ def duck():
     return connect(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(CATALOG))
+@pytest.mark.parametrize("name", sorted(name for name, entry in CATALOG.items() if entry.sql))
 def test_query(spark, duck, name):
     entry = CATALOG[name]
     df = entry.build(spark, SF_DIR)
@@ -53,7 +53,6 @@ def test_driver_entry(spark):
 
 @pytest.mark.parametrize("name,pushed", [
     ("time_range", "GreaterThanOrEqual(ts,"), ("log_volume_day", "GreaterThanOrEqual(ts,"),
-    ("gpu_machine_load", "EqualTo(l_linestatus,F)"),
 ])
 def test_filters_reach_the_scan(spark, name, pushed):
     plan = CATALOG[name].build(spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
