@@ -80,6 +80,10 @@ def readiness(
     )
 
 
+#: Letters of the pieces by which names are looked up in longer ones.
+GRAM = 4
+
+
 def ports_ok(services: DataFrame) -> DataFrame:
     """Per (namespace, service): does its first port lead to the expected one."""
     return services.groupBy("namespace", "service").agg(
@@ -107,6 +111,30 @@ def services_with_pod(pods: DataFrame, services: list[str]) -> DataFrame:
     )
 
 
+def services_named_in(pods: DataFrame, services: DataFrame) -> DataFrame:
+    """``services_with_pod`` for services given as a table of any size (column ``service``).
+
+    A name that a pod contains has all its grams in the pod's name, so each service is looked up by
+    its rarest gram of at most ``GRAM`` letters and each pod by all of its own; what meets is compared
+    in full. An equi-join, with no pair of a pod and a service that have no gram in common.
+    """
+    names = services.select("service").filter("service IS NOT NULL").distinct()
+
+    def grams(text: Column, size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.char_length(text) - size + 1, F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda at: F.substring(text, at, size)))
+
+    size = F.least(F.char_length("service"), F.lit(GRAM))
+    parts = names.select("service", F.explode(grams(F.col("service"), size)).alias("gram"))
+    often = parts.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    keyed = parts.join(often, "gram").groupBy("service").agg(F.min(F.struct("n", "gram")).alias("key"))
+    keyed = keyed.select("service", F.col("key.gram").alias("gram"))
+    own = [grams(F.col("pod"), F.lit(n)) for n in range(GRAM + 1)]
+    looked = pods.select("namespace", "pod").distinct().withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*own)))))
+    met = looked.join(keyed, "gram").filter(F.col("pod").contains(F.col("service")))
+    return met.select("namespace", "service").distinct().withColumn("pod_exists", F.lit(True))
+
+
 def commands_ok(containers: DataFrame) -> DataFrame:
     """Per (namespace, deployment): the binary is in every container's command."""
     listed = F.coalesce(F.array_contains("command", EXPECTED_COMMAND), F.lit(False))

@@ -50,6 +50,18 @@ def known_metrics(
     return df.filter(F.col(name).isin(*allow))
 
 
+def mesh_of_known(mesh: DataFrame, services: DataFrame) -> DataFrame:
+    """Rows whose ends are known services, given as a table (column ``service``), or whose source is
+    ``unknown``: the form of ``functions.metrics.mesh_known`` for lists that don't fit in a plan."""
+    known = services.select("service").filter("service IS NOT NULL").distinct()
+    end = lambda name: known.select(F.col("service").alias(f"_{name}"))
+    placed = mesh.join(end("source"), F.col("source") == F.col("_source"), "left").join(
+        end("destination"), F.col("destination") == F.col("_destination"), "left"
+    )
+    both = F.col("_source").isNotNull() & F.col("_destination").isNotNull()
+    return placed.filter((F.col("source") == "unknown") | both).select(*mesh.columns)
+
+
 def in_inventory(df: DataFrame, inventory: DataFrame, pod: str = "pod") -> DataFrame:
     """Rows whose pod is inventoried. No hint: the planner broadcasts only below its size limit."""
     return df.join(inventory.select(F.col("pod").alias(pod)), pod, "left_semi")

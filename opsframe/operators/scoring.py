@@ -137,6 +137,7 @@ def evaluate(
     problems: DataFrame,
     mitigation: DataFrame | None = None,
     envelope: Sequence[str] = (),
+    scorers: dict[str, Scorer] | None = None,
 ) -> DataFrame:
     """Nested sessions of known problems to one result row each; ``unknown_problems`` has the others.
 
@@ -145,12 +146,13 @@ def evaluate(
     ``mitigation`` is ``(session_id, success)`` from the recovery checks; without it the success of
     mitigation sessions is NULL, since it is not in the transcript. Every entry of ``SCORERS`` says the
     success of the sessions of its task; the columns named here come from the three built-in ones.
+    ``scorers`` are further rules by task, for this evaluation alone; they may take a built-in one's place.
     """
     solved = solved_sessions(sessions, envelope)
     known = score_join(solved, problems)
     task = F.col("task")
     scored, success = known, F
-    for name, scorer in SCORERS.items():
+    for name, scorer in {**SCORERS, **(scorers or {})}.items():
         scored = scorer(scored).withColumnRenamed("success", f"_success_{name}")
         success = success.when(task == name, F.col(f"_success_{name}"))
     if mitigation is None:

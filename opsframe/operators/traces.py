@@ -58,3 +58,37 @@ def traces_of_service(
     if limit is not None:
         wanted = wanted.orderBy(F.desc("_latest"), "trace_id").limit(limit)
     return spans.join(wanted.select("trace_id"), "trace_id", "left_semi")
+
+
+def spans_of_service(
+    traces: DataFrame,
+    service: str,
+    since: int | None = None,
+    until: int | None = None,
+    limit: int | None = None,
+) -> DataFrame:
+    """``traces_of_service`` on raw nested traces, flattened after the choice instead of before.
+
+    Which traces are wanted is read off the nested spans, without their tags and references; a trace
+    can be landed in several parts, so the other parts of a wanted one come in by its id. Spans are
+    taken apart once, and only those of wanted traces.
+    """
+
+    def hit(span):
+        wanted = span["startTime"].isNotNull() if limit is not None else F.lit(True)
+        if since is not None:
+            wanted &= span["startTime"] >= since
+        if until is not None:
+            wanted &= span["startTime"] < until
+        return wanted & (fs.service_name(F.col("processes"), span["processID"]) == service)
+
+    if service == UTILITY_SERVICE:
+        return flatten_spans(traces.filter("false"))
+    met = traces.filter(F.exists("spans", hit))
+    if limit is None:
+        wanted = met.select("traceID").distinct()
+    else:
+        latest = F.array_max(F.transform(F.filter("spans", hit), lambda span: span["startTime"]))
+        newest = met.groupBy("traceID").agg(F.max(latest).alias("_latest"))
+        wanted = newest.orderBy(F.desc("_latest"), "traceID").limit(limit).select("traceID")
+    return flatten_spans(traces.join(wanted, "traceID", "left_semi"))

@@ -240,6 +240,16 @@ def metric_mesh_ids(spark, sf):
     )
 
 
+@query("metric_mesh_known", "P9", f"""WITH m AS (SELECT {_MESH.replace("AS string", "AS VARCHAR")} FROM events),
+    known AS (SELECT DISTINCT 'svc' || s_suppkey % 9 AS service FROM supplier)
+    SELECT event_id, source, destination FROM m WHERE source = 'unknown'
+      OR (source IN (SELECT service FROM known) AND destination IN (SELECT service FROM known))""")
+def metric_mesh_known(spark, sf):
+    known = table(spark, sf, "supplier").selectExpr("concat('svc', s_suppkey % 9) AS service")
+    mesh = table(spark, sf, "events").selectExpr(*exprs(_MESH))
+    return om.mesh_of_known(mesh, known).select("event_id", "source", "destination")
+
+
 @query("metric_inventory_join", "J2", f"""SELECT s.sample_id, s.pod FROM ({SAMPLES_SQL}) s
     WHERE EXISTS (SELECT 1 FROM ({INVENTORY_SQL}) i WHERE i.pod = s.pod)""")
 def metric_inventory_join(spark, sf):

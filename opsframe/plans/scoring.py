@@ -155,6 +155,19 @@ def session_evaluate(spark, sf):
     )
 
 
+def _answers_in_words(df):
+    """A rule of one's own for mitigation: any answer given as text."""
+    return df.withColumn("success", F.coalesce(F.col("sol_kind") == "text", F.lit(False)))
+
+
+@query("session_evaluate_custom", "C9", f"""
+    SELECT session_id, task, CASE WHEN task = 'mitigation' THEN CAST(session_id AS BIGINT) % 5 IN (0, 1) ELSE success END AS success
+    FROM ({_EVALUATE_SQL})""")
+def session_evaluate_custom(spark, sf):
+    scored = osc.evaluate(sessions(spark, sf), problem_catalogue(spark), scorers={"mitigation": _answers_in_words})
+    return scored.select("session_id", "task", "success")
+
+
 @query("session_scorecard", "A13", f"""
     SELECT agent, task, count(*) AS sessions, count(*) FILTER (WHERE success) AS successes,
            round(avg(steps), 6) AS avg_steps FROM ({_EVALUATE_SQL}) GROUP BY ROLLUP (agent, task)""")
@@ -215,6 +228,17 @@ def namespace_readiness(spark, sf):
     return _readiness(spark, sf)
 
 
+@query("pods_of_services", "C8", f"""
+    WITH pods AS (SELECT DISTINCT namespace, pod FROM ({STATUSES_SQL})),
+    names AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'svc' || p_partkey % 500 WHEN 1 THEN 'c' || p_partkey % 90 || '-' ELSE '' || p_partkey % 50 END AS service FROM part)
+    SELECT DISTINCT namespace, service, true AS pod_exists FROM pods, names WHERE contains(pod, service)""")
+def pods_of_services(spark, sf):
+    names = table(spark, sf, "part").selectExpr(
+        "CASE p_partkey % 3 WHEN 0 THEN 'svc' || p_partkey % 500 WHEN 1 THEN 'c' || p_partkey % 90 || '-' ELSE '' || p_partkey % 50 END AS service"
+    )
+    return oh.services_named_in(statuses(spark, sf), names)
+
+
 _FAULTS = (
     "k8s_target_port-misconfig", "scale_pod_zero_social_net", "assign_to_non_existent_node_social_net",
     "wrong_bin_usage", "misconfig_app_hotel_res", "auth_miss_mongodb",

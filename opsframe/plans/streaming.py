@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from opsframe.functions.logs import has_error_text
-from opsframe.plans.adapters import LINES_SQL, LOGS_SQL, log_lines, logs, sessions, timed_lines
+from opsframe.plans.adapters import LINES_SQL, LOGS_SQL, logs, sessions, timed_lines
 from opsframe.plans.logs import _pass_sql
 from opsframe.plans.registry import query, table
 from opsframe.plans.scoring import _EVALUATE_SQL
@@ -14,13 +14,6 @@ from opsframe.sources.readers import stream_source
 from opsframe.streaming import jobs, slices, stateful, timed, wide
 
 
-def _tail(spark, df, label):
-    """Land a table as files and tail them."""
-    folder = scratch_path(spark, label)
-    df.write.parquet(folder)
-    return stream_source(spark, folder, df.schema, "parquet")
-
-
 #: Landings of a table in order of time, and files of each; a micro-batch takes the files of one.
 LANDINGS, FILES = 3, 2
 
@@ -69,9 +62,10 @@ def stream_log_slices(spark, sf):
 @query("stream_dedupe", "R2", f"SELECT log_id FROM ({LOGS_SQL})")
 def stream_dedupe(spark, sf):
     rows = logs(spark, sf).select("log_id", "ts")
-    # Overlapping pulls: every row is landed twice.
+    # Overlapping pulls: the older two thirds are landed again, long after.
     out = scratch_path(spark, "deduped")
-    jobs.run_available(slices.stream_dedupe(_tail(spark, rows.unionByName(rows), "pulls")), out)
+    parts = _landings(rows)
+    jobs.run_available(slices.stream_dedupe(_tail_in_turn(spark, parts + parts[:2], "pulls")), out)
     return spark.read.parquet(out).select("log_id")
 
 
@@ -115,7 +109,7 @@ def stream_compress_flushed(spark, sf):
 def stream_compress(spark, sf):
     stateful.use_state_store(spark)
     out, progress = scratch_path(spark, "compressed"), scratch_path(spark, "progress")
-    jobs.run_available(stateful.stream_compress(_tail(spark, log_lines(spark, sf), "lines")), out, progress)
+    jobs.run_available(stateful.stream_compress(_tail_in_turn(spark, _landings(timed_lines(spark, sf)), "lines")), out, progress)
     # What is still held back is read from the state, so that the whole answer can be compared.
     held = (
         spark.read.format("statestore").option("path", progress).option("stateVarName", "pending").load()
@@ -127,7 +121,7 @@ def stream_compress(spark, sf):
 @query("stream_compress_wide", "R3", _pass_sql(LINES_SQL))
 def stream_compress_wide(spark, sf):
     root = scratch_path(spark, "wide-lines")
-    wide.stream_to(_tail(spark, log_lines(spark, sf), "lines"), wide.compress_batch(root))
+    wide.stream_to(_tail_in_turn(spark, _landings(timed_lines(spark, sf)), "lines"), wide.compress_batch(root))
     done = wide.finished(spark, root, "stream STRING, seq LONG, line STRING")
     return done.unionByName(wide.still_held(spark, root))
 
@@ -149,7 +143,7 @@ def stream_counter_rate(spark, sf):
         "event_id AS sample_id", "value",
     )
     out = scratch_path(spark, "rates")
-    jobs.run_available(stateful.stream_counter_rate(_tail(spark, samples, "samples")), out)
+    jobs.run_available(stateful.stream_counter_rate(_tail_in_turn(spark, _landings(samples), "samples")), out)
     return spark.read.parquet(out).withColumn("rate", F.round("rate", 6))
 
 
@@ -157,10 +151,10 @@ def stream_counter_rate(spark, sf):
 def stream_counter_rate_wide(spark, sf):
     samples = table(spark, sf, "events").selectExpr(
         "concat(event_type, user_id % 10) AS series", "unix_micros(cast(ts AS timestamp)) AS us",
-        "event_id AS sample_id", "value",
+        "event_id AS sample_id", "value", "cast(ts AS timestamp) AS ts",
     )
     root = scratch_path(spark, "wide-rates")
-    wide.stream_to(_tail(spark, samples, "samples"), wide.rate_batch(root))
+    wide.stream_to(_tail_in_turn(spark, _landings(samples), "samples"), wide.rate_batch(root))
     rates = wide.finished(spark, root, "series STRING, us LONG, sample_id LONG, rate DOUBLE")
     return rates.withColumn("rate", F.round("rate", 6))
 
@@ -169,7 +163,8 @@ def stream_counter_rate_wide(spark, sf):
     SELECT session_id, agent, problem_id, steps, success FROM ({_EVALUATE_SQL})""")
 def stream_eval(spark, sf):
     out = scratch_path(spark, "scored")
-    jobs.stream_eval(_tail(spark, sessions(spark, sf), "sessions"), out)
+    begun = sessions(spark, sf).withColumn("ts", F.timestamp_seconds("start_time"))
+    jobs.stream_eval(_tail_in_turn(spark, _landings(begun), "sessions"), out)
     schema = "session_id STRING, problem_id STRING, steps LONG, success BOOLEAN, agent STRING"
     scored = spark.read.schema(schema).option("basePath", out).json(f"{out}/batch=*")
     return scored.select("session_id", "agent", "problem_id", "steps", "success")
@@ -180,7 +175,7 @@ def stream_eval(spark, sf):
     WHERE contains(lower(message), 'error') GROUP BY pod_name""")
 def stream_first_error(spark, sf):
     out = scratch_path(spark, "first-error")
-    source = _tail(spark, logs(spark, sf).select("pod_name", "ts", "message"), "messages")
+    source = _tail_in_turn(spark, _landings(logs(spark, sf).select("pod_name", "ts", "message")), "messages")
     found = slices.first_true(source, ["pod_name"], has_error_text(F.col("message")))
     jobs.run_batches(found, jobs.keep_latest(out), mode="complete")
     answers = spark.read.parquet(out)

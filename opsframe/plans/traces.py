@@ -72,8 +72,7 @@ def span_write(spark, sf):
       SELECT trace_id FROM ({SPANS_SQL}) WHERE service_name = 'svc3'
         AND start_time >= {SINCE} AND start_time < {UNTIL})""")
 def trace_of_service(spark, sf):
-    spans = ot.flatten_spans(raw_traces(spark, sf))
-    return ot.traces_of_service(spans, "svc3", SINCE, UNTIL).select(
+    return ot.spans_of_service(raw_traces(spark, sf), "svc3", SINCE, UNTIL).select(
         "trace_id", "span_id", "service_name", "start_time"
     )
 
@@ -83,8 +82,7 @@ def trace_of_service(spark, sf):
       SELECT trace_id FROM ({SPANS_SQL}) WHERE service_name = 'svc3' AND start_time >= {SINCE}
       GROUP BY trace_id ORDER BY max(start_time) DESC, trace_id LIMIT 20)""")
 def trace_of_service_latest(spark, sf):
-    spans = ot.flatten_spans(raw_traces(spark, sf))
-    return ot.traces_of_service(spans, "svc3", SINCE, limit=20).select("trace_id", "span_id")
+    return ot.spans_of_service(raw_traces(spark, sf), "svc3", SINCE, limit=20).select("trace_id", "span_id")
 
 
 @query("trace_union_services", "U2", f"""
