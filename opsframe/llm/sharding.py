@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from opsframe.llm.common import text_or_empty
 
 LAW = "rows"
+#: Buckets that one task of the second pass shuffles, one after the other.
+BUCKETS_PER_TASK = 4
 
 
 def fisher_yates(n: Column, *seeds: Column) -> Column:
@@ -53,13 +55,17 @@ def shuffle_rows(
     buckets = max(1, -(-(held or 0) // bucket_bytes), -(-rows // bucket_rows))
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(buckets)).cast("long")
 
-    before = Window.orderBy("_sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # Buckets lie in the order of the tasks that hold them, so a task's rows are one stretch of the
+    # shuffled order and can be written where they are.
+    tasks = -(-buckets // BUCKETS_PER_TASK)
+    task = F.pmod(F.hash("_sh_bucket"), F.lit(tasks))
+    before = Window.orderBy(task, "_sh_bucket").rowsBetween(Window.unboundedPreceding, -1)
     plan = (  # one row per bucket; reads keys and texts only
         df.select(bucket.alias("_sh_bucket"))
         .groupBy("_sh_bucket")
         .agg(F.count(F.lit(1)).cast("int").alias("_sh_n"))
         .withColumn("_sh_base", F.coalesce(F.sum("_sh_n").over(before), F.lit(0)))
-        .repartition("_sh_bucket")
+        .repartition(tasks, "_sh_bucket")
         .select(
             "_sh_bucket", "_sh_base", fisher_yates(F.col("_sh_n"), F.lit(seed), F.col("_sh_bucket")).alias("_sh_order")
         )
@@ -69,6 +75,7 @@ def shuffle_rows(
         df.drop("size", "shard", "slot")
         .withColumn("_sh_bucket", bucket)
         .withColumn("size", size)
+        .repartition(tasks, "_sh_bucket")
         .withColumn("_sh_row", F.row_number().over(inside) - 1)
     )
     position = F.col("_sh_base") + F.col("_sh_order")[F.col("_sh_row")]
@@ -83,8 +90,12 @@ def shuffle_rows(
 
 
 def write_shards(shuffled: DataFrame, path: str) -> None:
-    """Writes one folder per shard; the files of a folder, in name order, hold its rows in slot order."""
-    ordered = shuffled.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    """Writes one folder per shard; the files of a folder, in name order, hold its rows in slot order.
+
+    ``shuffled`` is what ``shuffle_rows`` gives: its tasks hold consecutive stretches already, so rows
+    are only put in order within their task and no second exchange is needed.
+    """
+    ordered = shuffled.sortWithinPartitions("shard", "slot")
     ordered.write.partitionBy("shard").parquet(path)
 
 

@@ -81,3 +81,17 @@ def test_query_reads_its_shards_back(spark, sf_dir, docs):
     assert files and all("/shards-" in f and "/shard=" in f for f in files)
     same = sharding.shard_digest(sharding.shuffle_rows(docs))
     assert out.exceptAll(same).count() == 0 and out.count() == docs.count()
+
+
+def test_files_hold_stretches_in_order(spark, docs, tmp_path):
+    """Several tasks and buckets: the files of a shard by name, each in slot order, follow on each other."""
+    sharding.write_shards(sharding.shuffle_rows(docs, shards=3, bucket_rows=9), str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out")).select("shard", "slot", F.input_file_name().alias("file"))
+    files = defaultdict(list)
+    for r in back.collect():
+        files[r.shard, r.file.rsplit("/", 1)[1]].append(r.slot)
+    assert len(files) > 3
+    for shard in range(3):
+        runs = [slots for (s, _), slots in sorted(files.items()) if s == shard]
+        assert [x for run in runs for x in sorted(run)] == list(range(sum(map(len, runs))))
+        assert all(run == sorted(run) for run in runs)
