@@ -1,6 +1,6 @@
 """Nearest neighbours by inner product with one vantage-point tree per shard.
 
-A component sqrt(M^2 - |x|^2), M the largest norm, makes the largest inner product the smallest
+Divided by the largest norm and with a component sqrt(1 - |x|^2) added, vectors lie on a sphere, which makes the largest inner product the smallest
 Euclidean distance, so the triangle inequality holds. A tree splits its shard at the median distance
 from a vantage point, again and again; each side keeps the range of its distances. For a query the
 distance to a vantage point and that range bound the distance to all vectors of the side. A leaf is
@@ -25,8 +25,9 @@ from opsframe.llm.common import landed
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
 LEAF = 128
-#: Scores are compared in this many decimals, so that equal vectors tie whatever the summation order.
-DECIMALS = 12
+#: Products that a search compares may differ from the exact ones by this share of the norms; what lies
+#: so close to the k-th is kept and ranked by its exact score.
+SLACK = 1e-12
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -62,11 +63,16 @@ def grow(points: np.ndarray, leaf: int = LEAF):
 
 
 def search(ids, vectors, tree, query_ids, queries, k: int, factor: float, top: float) -> pd.DataFrame:
-    """The ``k`` nearest of a shard for each query: query_id, vec_id, score."""
+    """The ``k`` nearest of a shard for each query: query_id, vec_id, score.
+
+    The search runs on vectors divided by the largest norm and queries of length one, so that its
+    tolerances mean the same at any scale.
+    """
     order, leaves, sides = tree
-    x, q = vectors.astype(np.float64), queries.astype(np.float64)
-    rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
-    squares = (q * q).sum(1) + top
+    given, asked = vectors.astype(np.float64), queries.astype(np.float64)
+    x, q = given / np.sqrt(top), asked / np.abs(asked).max(1, keepdims=True)
+    q /= np.sqrt((q * q).sum(1, keepdims=True))
+    squares = np.full(len(q), 2.0)
     bounds = np.zeros((len(q), len(leaves)))
     rooms: dict[int, np.ndarray] = {}
     for i, above in enumerate(sides):
@@ -81,11 +87,11 @@ def search(ids, vectors, tree, query_ids, queries, k: int, factor: float, top: f
 
     def visit(leaf: int, who: np.ndarray) -> None:
         rows = order[leaves[leaf][0] : leaves[leaf][1]]
-        score = np.round(q[who] @ x[rows].T, DECIMALS)
+        score = q[who] @ x[rows].T
         score[query_ids[who][:, None] == ids[rows][None, :]] = -np.inf
         both = np.concatenate([best[who], score], 1)
         best[who] = np.partition(both, both.shape[1] - k, 1)[:, -k:]
-        a, b = np.nonzero((score >= best[who].min(1)[:, None]) & (score > -np.inf))
+        a, b = np.nonzero((score >= best[who].min(1)[:, None] - SLACK) & (score > -np.inf))
         found.append((who[a], rows[b], score[a, b]))
 
     for leaf in range(len(leaves)):
@@ -98,14 +104,13 @@ def search(ids, vectors, tree, query_ids, queries, k: int, factor: float, top: f
         if len(who):
             visit(leaf, who)
     who, row, score = (np.concatenate(part) for part in zip(*found)) if found else (np.zeros(0, int),) * 3
-    kept = score >= best.min(1)[who]
-    who, row, score = who[kept], row[kept], score[kept]
-    sort = np.lexsort((ids[row], -score, who))
-    who, row = who[sort], row[sort]
-    rank = np.arange(len(who)) - np.searchsorted(who, who)
-    who, row = who[rank < k], row[rank < k]
-    exact = (x[row] * q[who]).sum(1)
-    return pd.DataFrame({"query_id": query_ids[who], "vec_id": ids[row], "score": exact})
+    kept = score >= best.min(1)[who] - SLACK
+    who, row = who[kept], row[kept]
+    exact = (given[row] * asked[who]).sum(1)
+    sort = np.lexsort((ids[row], -exact, who))
+    who, row, exact = who[sort], row[sort], exact[sort]
+    near = np.arange(len(who)) - np.searchsorted(who, who) < k
+    return pd.DataFrame({"query_id": query_ids[who[near]], "vec_id": ids[row[near]], "score": exact[near]})
 
 
 def nearest(
@@ -127,13 +132,15 @@ def nearest(
     rows, top = base.agg(F.count(F.lit(1)), F.max(norm)).first()
     wanted = asked.count()
     shards, blocks = max(1, -(-rows // shard_rows)), max(1, -(-wanted // block_rows))
-    top = (top or 0.0) * (1 + 1e-9)
+    top = (top or 1.0) * (1 + 1e-9)
+    # As given: an array of doubles stays one.
+    kind = np.float64 if dict(base.dtypes)["embedding"] == "array<double>" else np.float32
 
     def index(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id")
-        x = np.stack(group["embedding"].to_list()).astype(np.float32)
-        wide = x.astype(np.float64)
-        order, leaves, sides = grow(np.c_[wide, np.sqrt(np.maximum(top - (wide * wide).sum(1), 0))])
+        x = np.stack(group["embedding"].to_list()).astype(kind)
+        wide = x.astype(np.float64) / np.sqrt(top)
+        order, leaves, sides = grow(np.c_[wide, np.sqrt(np.maximum(1 - (wide * wide).sum(1), 0))])
         flat = [(i, *side) for i, above in enumerate(sides) for side in above]
         return pd.DataFrame({
             "dim": [x.shape[1]], "shard": [group["shard"].iloc[0]],
@@ -143,7 +150,7 @@ def nearest(
         })
 
     def block(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(group["embedding"].to_list()).astype(np.float32)
+        x = np.stack(group["embedding"].to_list()).astype(kind)
         return pd.DataFrame({
             "dim": [x.shape[1]], "block": [group["block"].iloc[0]],
             "query_ids": [group["vec_id"].to_numpy(np.int64).tobytes()], "queries": [x.tobytes()],
@@ -155,12 +162,12 @@ def nearest(
             flat = np.frombuffer(tree.sides, np.float64).reshape(-1, 4)
             leaves = np.frombuffer(tree.leaves, np.int64).reshape(-1, 2)
             sides = [[(int(v), lo, hi) for _, v, lo, hi in flat[flat[:, 0] == i]] for i in range(len(leaves))]
-            x = np.frombuffer(tree.vectors, np.float32).reshape(-1, tree.dim)
+            x = np.frombuffer(tree.vectors, kind).reshape(-1, tree.dim)
             for part in asked.itertuples():
                 out.append(search(
                     np.frombuffer(tree.ids, np.int64), x, (np.frombuffer(tree.order, np.int64), leaves, sides),
                     np.frombuffer(part.query_ids, np.int64),
-                    np.frombuffer(part.queries, np.float32).reshape(-1, tree.dim), k, factor, top,
+                    np.frombuffer(part.queries, kind).reshape(-1, tree.dim), k, factor, top,
                 ))
         return pd.concat(out)
 

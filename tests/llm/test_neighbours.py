@@ -78,3 +78,18 @@ def test_tree_bounds_hold():
         for vantage, least, most in above:
             away = np.sqrt(((points[order[lo:hi]] - points[vantage]) ** 2).sum(1))
             assert least - 1e-9 <= away.min() and away.max() <= most + 1e-9
+
+
+@pytest.mark.parametrize("kind,scale", [("float", 1e-7), ("double", 1e-40), ("double", 1e40), ("double", 1.0)])
+def test_exact_at_any_scale_and_in_the_type_given(spark, kind, scale):
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(400, 12)) * scale).astype(np.float32 if kind == "float" else np.float64).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    got = {}
+    for r in neighbours.nearest(df, df.filter("vec_id % 20 = 0"), shard_rows=90).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    for i, near in got.items():
+        score = x @ x[i]
+        score[i] = -np.inf
+        assert [a for a, _ in near] == np.argsort(-score)[:20].tolist()
+        assert np.allclose([s for _, s in near], [score[a] for a, _ in near], rtol=1e-12)
