@@ -28,7 +28,7 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 CAPACITY = 4096
 #: Words kept by a Python worker; the cache starts anew beyond it.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Equal sizes are ranked in so many parts, so that no task ranks all documents of one length.
 SALTS = 16
 
@@ -129,9 +129,11 @@ def tokenise(
                     row = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))
                     out.append((*row, part.astype("int32")) if with_ids else row)
             frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            yield frame.assign(doc_id=frame["doc_id"].astype("Int64"))
+            ids = [None if i is None else int(i) for i in frame["doc_id"].tolist()]
+            yield frame.assign(doc_id=pd.array(ids, dtype="Int64"))
 
-    given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # Ids travel as text: pandas would round those beyond 2 ** 53 where a null stands beside them.
+    given = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return given.mapInPandas(cut, schema)
 
 

@@ -108,3 +108,9 @@ def test_sequences_hold_the_ids(docs):
     lengths = {r.sequence_id: r.n for r in packed.groupBy("sequence_id").agg({"length": "sum"}).toDF("sequence_id", "n").collect()}
     for r in packing.sequences(packed).collect():
         assert len(r.ids) == lengths[r.sequence_id]
+
+
+def test_large_ids_beside_null(spark):
+    ids = [9007199254740993, 9007199254740995, None]
+    docs = spark.createDataFrame([(i, "text") for i in ids], "doc_id long, text string")
+    assert {r.doc_id for r in packing.tokenise(docs).collect()} == set(ids)
