@@ -38,7 +38,7 @@ PARTNERS = 4
 #: Centres taken from a bucket in the first round; each further round takes so many times as many.
 CENTRES = 8
 #: Shingles handled at once in a Python worker.
-CHUNK = 400_000
+CHUNK = 100_000
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
