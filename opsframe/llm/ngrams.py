@@ -31,7 +31,7 @@ from opsframe.llm.common import landed
 
 ORDER = 2
 #: Tokens in a chunk, and characters of all texts for each bucket of the hash range.
-CHUNK_TOKENS, BUCKET_CHARS = 2_000_000, 12_000_000
+CHUNK_TOKENS, BUCKET_CHARS = 1_200_000, 8_000_000
 #: One of so many training documents is deleted from the counts that the weights are learned on.
 DELETED = 10
 #: Steps per octave in which probabilities are told apart when weights are learned.
@@ -231,17 +231,19 @@ def _levels(counts: list[np.ndarray], starts: np.ndarray, documents: float):
 
 
 def learn_weights(cells: list[tuple[tuple[int, ...], float, tuple[float, ...]]], order: int, floor: float, rounds: int = 100):
-    """EM on cells (bucket per k = 1..order, tokens, log2 estimate per k, -inf for none).
-
-    The result has one weight for each k and bucket met; a bucket never met trusts its neighbour below.
-    """
-    n = np.array([c[1] for c in cells])
+    """EM on cells (bucket per k = 1..order, tokens, log2 estimate per k, -inf for none)."""
     buckets = np.array([c[0] for c in cells], np.int64).reshape(len(cells), order)
-    ml = np.exp2(np.array([c[2] for c in cells], np.float64).reshape(len(cells), order))
+    logs = np.array([c[2] for c in cells], np.float64).reshape(len(cells), order)
+    return _learn(buckets, np.array([c[1] for c in cells], np.float64), logs, order, floor, rounds)
+
+
+def _learn(buckets: np.ndarray, n: np.ndarray, logs: np.ndarray, order: int, floor: float, rounds: int = 100):
+    """One weight for each k and bucket met; a bucket never met trusts its neighbour below."""
+    ml = np.exp2(logs)
     weights = [np.full(65, 0.5) for _ in range(order)]
-    for _ in range(rounds if len(cells) else 0):
+    for _ in range(rounds if len(n) else 0):
         lam = [weights[k][buckets[:, k]] for k in range(order)]
-        stay, reach = [], np.ones(len(cells))
+        stay, reach = [], np.ones(len(n))
         for k in range(order - 1, -1, -1):
             stay.append(reach * lam[k] * ml[:, k])
             reach = reach * (1 - lam[k])
@@ -255,7 +257,7 @@ def learn_weights(cells: list[tuple[tuple[int, ...], float, tuple[float, ...]]],
             weights[k] = np.where(den > 0, (num + 1) / (den + 2), weights[k])
             arrived = arrived - used
     for k in range(order):
-        met = np.bincount(buckets[:, k], n, 65) > 0 if len(cells) else np.zeros(65, bool)
+        met = np.bincount(buckets[:, k], n, 65) > 0 if len(n) else np.zeros(65, bool)
         for b in range(1, 65):
             if not met[b]:
                 weights[k][b] = weights[k][b - 1]
@@ -270,7 +272,8 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     ``docs`` is read three times and has to give the same rows in the same partitions each time, as
     files do; anything else is refused with an error. Other columns are not read.
     """
-    given = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    # Ids travel as text: pandas would round those beyond 2 ** 53 where a null stands beside them.
+    given = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = given.agg(F.sum(F.char_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_CHARS))
     asked = given.mapInPandas(
@@ -311,16 +314,13 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
     met = (  # bounded by the number of buckets and probability steps
         gone_chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
         .applyInPandas(cells, ", ".join([*(f"{c} long" for c in names), *(f"{c} double" for c in sums)]))
-        .groupBy(*names).agg(*[F.sum(c).alias(c) for c in sums]).orderBy(*names).collect()
-    )
-    weights = learn_weights(
-        [
-            (tuple(r[f"b{k}"] for k in range(1, order + 1)), r["n"],
-             tuple(-math.inf if r[f"q{k}"] == 1 else r[f"s{k}"] / r["n"] for k in range(1, order + 1)))
-            for r in met
-        ],
-        order, floor,
+        .groupBy(*names).agg(*[F.sum(c).alias(c) for c in sums]).orderBy(*names).toArrow()
     )
+    column = lambda name: met.column(name).to_numpy()
+    side = lambda letter: np.stack([column(f"{letter}{k}") for k in range(1, order + 1)], 1)
+    tokens_met = column("n").astype(np.float64)
+    logs = np.where(side("q") == 1, -math.inf, side("s") / np.maximum(tokens_met, 1)[:, None])
+    weights = _learn(side("b").astype(np.int64), tokens_met, logs, order, floor)
 
     def rate(key, carried: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         if carried.empty:

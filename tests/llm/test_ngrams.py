@@ -126,3 +126,11 @@ def test_packing_and_em():
 def test_query_scores_with_two_words_of_context(spark, sf_dir, docs):
     rows = lambda df: {tuple(r) for r in df.collect()}
     assert rows(queries.BUILDS["op2_deleted_interpolation"](spark, sf_dir)) == rows(ngrams.score_documents(docs, order=3))
+
+
+def test_large_ids_beside_null(spark):
+    ids = [9007199254740993, 9007199254740995, None, -9007199254740993]
+    docs = spark.createDataFrame([(i, f"some text of row {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+    rows = ngrams.score_documents(docs, order=3).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(i for i in ids if i is not None)
+    assert {r.doc_id: r.held_out for r in rows} == {i: ngrams.fold(i) == ngrams.APART for i in ids}
