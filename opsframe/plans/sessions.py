@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
 from opsframe.functions import sessions as fs
@@ -210,6 +209,8 @@ def session_usage(spark, sf):
 
 
 def vocabulary(spark) -> Vocabulary:
+    import public_tokenizers  # only these queries need its files
+
     return Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

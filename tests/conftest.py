@@ -7,9 +7,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from opsframe.session import build_session, configure  # noqa: E402
+from compare import SF_DIR  # noqa: E402
 
-SF_DIR = "/root/testdata/sf0.001"
+from opsframe.session import build_session, configure  # noqa: E402
 
 
 @pytest.fixture(scope="session")

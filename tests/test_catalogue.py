@@ -2,7 +2,7 @@
 
 import re
 
-from conftest import ROOT
+from compare import ROOT
 from opsframe.functions.problems import catalogue_rows
 
 

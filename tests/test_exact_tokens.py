@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from conftest import SF_DIR
+from compare import SF_DIR
 from opsframe.operators import sessions as os_
 from opsframe.plans.registry import CATALOG, table
 from opsframe.plans.sessions import vocabulary

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
+from compare import SF_DIR
 from opsframe.functions.metrics import mesh_known
 from opsframe.operators import health, metrics, traces
 from opsframe.plans.adapters import raw_traces

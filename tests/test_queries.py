@@ -3,9 +3,8 @@
 import re
 
 import pytest
-from compare import assert_same, connect
+from compare import ROOT, SF_DIR, assert_same, connect
 
-from conftest import ROOT, SF_DIR
 from opsframe.plans import catalog
 from opsframe.plans.registry import CATALOG
 

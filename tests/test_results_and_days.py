@@ -2,10 +2,9 @@
 
 import json
 
-from compare import assert_same, connect
+from compare import SF_DIR, assert_same, connect
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
 from opsframe.functions.results import KEYS, column_name
 from opsframe.operators.logs import logs_of_spans
 from opsframe.operators.sessions import results_table

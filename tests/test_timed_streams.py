@@ -1,11 +1,10 @@
 """Event-time streams: flush, bounded state, one answer per key, over several micro-batches."""
 
 import pytest
-from compare import assert_same, connect
+from compare import SF_DIR, assert_same, connect
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_DIR
 from opsframe.operators.compress import compress_lines
 from opsframe.plans import streaming as plans
 from opsframe.plans.adapters import timed_lines
