@@ -8,13 +8,16 @@ probability sum(min) / sum(max) of their counts. Processes stop at the latest sl
 so a document costs about as many points as it has shingles, plus slots x ln(slots).
 
 Bands of slots bring candidates together. In each bucket the members are compared with one centre
-first, so a group of n copies costs n comparisons; only where that leaves several classes in a
-bucket are further centres taken, until no pair of different classes is untested. Candidates that
-the signatures do not rule out are decided on the whole bags.
+first, so a group of n copies costs n comparisons. Where that leaves several classes, the members with
+the fewest shingles of their own are tried with the others; then further centres are taken until no
+pair of different classes is untested that its shingle counts don't rule out: a pair shares no
+shingle that only one text has, and centres meet only the size classes that they can reach.
+Candidates that the signatures do not rule out are decided on the whole bags.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +40,10 @@ MARGIN = 4
 PARTNERS = 4
 #: Centres taken from a bucket in the first round; each further round takes so many times as many.
 CENTRES = 8
+#: Growth of the shingle count from one size class of a bucket to the next.
+SIZE_STEP = 1.02
+#: Kept clear of rounding in the bounds on shingle counts.
+SLACK = 1e-6
 #: Shingles handled at once in a Python worker.
 CHUNK = 100_000
 
@@ -248,46 +255,124 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
         whole, sketch, members.filter("node <> centre").selectExpr("node as a", "centre as b").distinct(), similarity
     )
     used = landed(members.filter("node = centre").select("bucket", "node"), "centres")
-    first, share = True, CENTRES
+    labelled = members.select("bucket", "node").join(components(edges), "node", "left")
+    inside = _open(labelled.withColumn("label", F.coalesce("label", "node")))
+    nodes = inside.select(F.col("node").alias("row")).distinct()
+    whole = landed(whole.join(nodes, "row", "left_semi"), "members")
+    sketch = landed(sketch.join(nodes, "row", "left_semi").select("row", "slots"), "singles")
+    inside = landed(inside.join(_profiles(whole), "node"), "open")
+
+    # The members of the largest class with the fewest shingles of their own lie in the middle of it
+    # and link most of the others; these then need no comparison with the whole bucket.
+    rank = lambda i: F.struct(F.col("own") / F.col("n"), F.xxhash64(F.lit(i), "node"))
+    drawn = inside.filter("label = largest").groupBy("bucket").agg(
+        *[F.min_by("node", rank(i)).alias(f"p{i}") for i in range(PARTNERS)]
+    )
+    partners = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PARTNERS)))))
+    pair = [F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")]
+    waiting = inside.filter("label <> largest").join(used, ["bucket", "node"], "left_anti")
+    tried = _verified(
+        whole, sketch,
+        waiting.join(drawn.select("bucket", partners.alias("centre")), "bucket").select(*pair).distinct(), similarity,
+    )
+    share = CENTRES
     while True:
-        labels = components(edges)
-        labelled = members.select("bucket", "node").join(labels, "node", "left").withColumn(
-            "label", F.coalesce("label", "node")
-        )
-        sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        open_buckets = sizes.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("n", "label")).alias("largest")
-        ).filter("labels > 1")
-        inside = landed(labelled.join(open_buckets.select("bucket", "largest"), "bucket"), "open")
-        waiting = inside.filter("label <> largest").join(used, ["bucket", "node"], "left_anti")
-        pair = [F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")]
-        if first:
-            # A few members of the largest class link most of the others; these then need no
-            # comparison with the whole bucket.
-            first = False
-            drawn = inside.filter("label = largest").groupBy("bucket").agg(
-                *[F.min_by("node", F.xxhash64(F.lit(i), "node")).alias(f"p{i}") for i in range(PARTNERS)]
-            )
-            partners = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PARTNERS)))))
-            pairs = waiting.join(drawn.select("bucket", partners.alias("centre")), "bucket").select(*pair).distinct()
-            edges = edges.unionByName(_verified(whole, sketch, pairs, similarity))
-            continue
+        edges = edges.unionByName(tried)
+        inside = landed(_open(_relabelled(inside.drop("largest"), tried)), "open")
+        ready = inside.filter("label <> largest").filter(_least(similarity) <= _most(similarity))
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        centres = landed(waiting.withColumn("turn", turn).filter(F.col("turn") <= share), "centres")
+        centres = landed(
+            ready.join(used, ["bucket", "node"], "left_anti").withColumn("turn", turn).filter(F.col("turn") <= share),
+            "centres",
+        )
         if centres.isEmpty():
             return edges
+        sizes = F.explode(F.sequence(_size_class(_least(similarity)), _size_class(_most(similarity))))
+        asked = centres.select(
+            "bucket", F.col("node").alias("centre"), F.col("label").alias("its"), F.col("n").alias("its_n"),
+            F.col("own").alias("its_own"), sizes.alias("size"),
+        )
+        common = F.least(F.col("n") - F.col("own"), F.col("its_n") - F.col("its_own"))
         pairs = (
-            inside.select("bucket", "node", "label")
-            .join(centres.selectExpr("bucket", "node as centre", "label as its"), "bucket")
+            inside.withColumn("size", _size_class(F.col("n")))
+            .join(asked, ["bucket", "size"])
             .filter("label <> its")
+            .filter(common * (1 + similarity) >= (F.col("n") + F.col("its_n")) * similarity - SLACK)
             .select(*pair)
             .distinct()
         )
-        edges = edges.unionByName(_verified(whole, sketch, pairs, similarity))
+        tried = _verified(whole, sketch, pairs, similarity)
         used = used.unionByName(centres.select("bucket", "node"))
         share *= CENTRES
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """The members (bucket, node, label) of buckets with several classes, with the ``largest`` class."""
+    sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
+    several = sizes.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("members", "label")).alias("largest")
+    ).filter("labels > 1")
+    return labelled.join(several.select("bucket", "largest"), "bucket")
+
+
+def _relabelled(inside: DataFrame, edges: DataFrame) -> DataFrame:
+    """``inside`` with its classes joined along ``edges``; only classes that an edge touches are followed."""
+    of = lambda node: inside.select(F.col("node").alias(node), F.col("label").alias(f"{node}_label")).distinct()
+    between = landed(
+        edges.join(of("a"), "a").join(of("b"), "b").filter("a_label <> b_label")
+        .selectExpr("a_label as a", "b_label as b").distinct(),
+        "between",
+    )
+    if between.isEmpty():
+        return inside
+    moved = components(between).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return inside.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).drop("to")
+
+
+def _flat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, words) -> (row, key, times) for each shingle of each text."""
+    for batch in batches:
+        for row, hashes in zip(batch.column(0), batch.column(1)):
+            keys, times = bag(hashes.values.to_numpy(zero_copy_only=False))
+            for at in range(0, len(keys), CHUNK):
+                part = keys[at : at + CHUNK].view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(part), row.as_py()), pa.int64()), pa.array(part), pa.array(times[at : at + CHUNK])],
+                    names=["row", "key", "times"],
+                )
+
+
+def _profiles(whole: DataFrame) -> DataFrame:
+    """``node``, ``n`` (its shingles, with repeats) and ``own``: those of them that no other of these texts has.
+
+    A pair has at most the least of both ``n - own`` in common, which rules out most pairs of a group
+    whose copies were changed in different places, without a comparison.
+    """
+    listed = whole.select("row", words(F.col("text")).alias("words"))
+    number = F.size("words").cast("long")
+    sizes = listed.select(F.col("row").alias("node"), F.greatest(number - WORDS + 1, F.least(number, F.lit(1))).alias("n"))
+    alone = (
+        listed.mapInArrow(_flat, "row long, key long, times long")
+        .groupBy("key").agg(F.min("row").alias("node"), F.sum("times").alias("times"), F.count(F.lit(1)).alias("texts"))
+        .filter("texts = 1").groupBy("node").agg(F.sum("times").alias("own"))
+    )
+    return sizes.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+
+
+def _least(similarity: float) -> Column:
+    """Shingles that a text of the wanted similarity to this one has at least."""
+    return F.ceil(F.col("n") * similarity - SLACK)
+
+
+def _most(similarity: float) -> Column:
+    """Shingles that it has at most, if it shares all that are not this one's own."""
+    return F.floor((F.col("n") - F.col("own")) * (1 + 1 / similarity) - F.col("n") + SLACK)
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / math.log(SIZE_STEP)).cast("int")
+
+
 def _verified(whole: DataFrame, sketch: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of at least the wanted similarity, by signature first and then by whole bags."""
     side = lambda name: sketch.select(F.col("row").alias(name), F.col("slots").alias(f"{name}_slots"))

@@ -116,3 +116,17 @@ def test_exact_overlap():
     assert over(words, words) == 1.0
     assert over(words, words[:0]) == 0.0
     assert abs(over(np.ones(24, np.int64), np.ones(14, np.int64)) - 0.5) < 1e-12
+
+
+def test_copies_changed_in_different_places_lose_no_link(spark):
+    """Many pairs lie just below or above the limit; shingle counts rule out part of them."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = [f"x{rng.randrange(400)}"] * rng.randrange(3)
+        rows.append((i, " ".join(words)))
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
