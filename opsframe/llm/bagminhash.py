@@ -39,7 +39,7 @@ MARGIN = 4
 #: Partners from the largest class of a bucket that its other members are tried with first.
 PARTNERS = 4
 #: Centres taken from a bucket in the first round; each further round takes so many times as many.
-CENTRES = 8
+CENTRES = 64
 #: Growth of the shingle count from one size class of a bucket to the next.
 SIZE_STEP = 1.02
 #: Kept clear of rounding in the bounds on shingle counts.
