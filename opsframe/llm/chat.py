@@ -57,7 +57,7 @@ def with_examples(conversations: DataFrame) -> DataFrame:
         .filter("_parts > 0")
     )
     dealt = (
-        turns.join(F.broadcast(split), F.col("conv_id").eqNullSafe(F.col("_of")), "left")
+        turns.join(split, F.col("conv_id").eqNullSafe(F.col("_of")), "left")
         .withColumn("_parts", F.coalesce("_parts", F.lit(0)))
         .withColumn("_part", F.explode(F.sequence(F.lit(0), "_parts")))
     )
