@@ -8,7 +8,8 @@ number of cells. A first exchange on (series, cell) folds each cell to one fragm
 last sample, reset-adjusted increase); fragments are then joined up per series. The heaviest series
 is thereby spread over as many tasks as it has cells, and what is grouped by series alone is
 bounded by time span / cell length, not by samples. Where one cell of one series is itself too much
-for a task, ``parts`` folds it in that many pieces.
+for a task, ``parts`` folds it in that many pieces. Windows are put together inside stretches of a
+series; grid points, of which a sample has ``range / step``, come into being last, row by row.
 """
 
 from __future__ import annotations
@@ -78,13 +79,48 @@ def _cell(micros: Column, cell_us: int) -> Column:
     return F.ceil(micros / F.lit(cell_us)).cast("long")
 
 
-def _grid(cell_s: int, range_s: int, step_s: int) -> Column:
-    """Grid points (epoch seconds) whose window contains the whole cell."""
-    ends = F.col("cell") * cell_s
-    first = F.ceil(ends / step_s).cast("long")
-    last = F.floor((ends - cell_s + range_s) / step_s).cast("long")
-    points = F.sequence(first * step_s, last * step_s, F.lit(step_s).cast("long"))
-    return F.explode(F.when(last >= first, points))
+#: Windows' lengths in a stretch of a series. A stretch is what one group holds, with a window on each side.
+WINDOWS_PER_STRETCH = 32
+
+
+def _stretches(rows: DataFrame, before: int, after: int) -> DataFrame:
+    """``rows`` by ``stretch``, a run of cells, beside those within ``before`` and ``after`` cells of it.
+
+    A row is ``own`` in the stretch of its cell; its copies in the neighbours are only looked at. So
+    windows that reach no further are found inside a stretch, however long or busy the series is.
+    """
+    length = max(before, after, 1) * WINDOWS_PER_STRETCH
+    at = lambda shift: F.floor((F.col("cell") + shift) / length).cast("long")
+    return rows.withColumn("stretch", F.explode(F.array_distinct(F.array(at(-after), at(0), at(before))))).withColumn(
+        "own", F.col("stretch") == at(0)
+    )
+
+
+def _points_until_next(cell_s: int, range_s: int, step_s: int) -> Column:
+    """Grid points (epoch seconds) whose window ends with this ``cell``: has it whole, and not the ``next``."""
+    first = lambda cell: F.ceil(F.col(cell) * cell_s / step_s).cast("long")
+    last = F.floor((F.col("cell") * cell_s - cell_s + range_s) / step_s).cast("long")
+    last = F.least(last, first("next") - 1)  # NULL, on the last row, is skipped
+    points = F.sequence(first("cell") * step_s, last * step_s, F.lit(step_s).cast("long"))
+    return F.when(last >= first("cell"), points)
+
+
+def _windows(fragments: DataFrame, series: Sequence[str], cell_s: int, range_s: int, step_s: int, parts: int, start, end) -> DataFrame:
+    """``t`` with ``window``, the fragments in ``(t - range, t]`` in their order, for each grid point that has any.
+
+    A fragment sees those that reach back to its oldest window, and takes the grid points up to the
+    next one from there, so nothing is exchanged, sorted or held per grid point.
+    """
+    reach = range_s // cell_s
+    inside = Window.partitionBy(*series, "stretch").orderBy("piece")
+    seen = F.collect_list(F.struct(*(c for c in fragments.columns if c not in series))).over(
+        inside.rangeBetween(1 - reach * parts, Window.currentRow)
+    )
+    placed = _stretches(fragments, reach, reach).withColumn("next", F.lead("cell").over(inside)).withColumn("_seen", seen)
+    points = _asked_points(_points_until_next(cell_s, range_s, step_s), start, end)
+    at = placed.filter("own").select(*series, F.explode(points).alias("t"), "_seen")
+    opens = (F.col("t") - range_s) / cell_s
+    return at.select(*series, "t", F.filter("_seen", lambda f: f["cell"] > opens).alias("window"))
 
 
 def _fragments(samples: DataFrame, series: Sequence[str], cell_s: int, parts: int) -> DataFrame:
@@ -134,12 +170,12 @@ def _reaching(samples: DataFrame, start, end, range_s: int) -> DataFrame:
     return samples.filter((ts >= opens) & (ts <= bound(end, kind)))
 
 
-def _asked(answers: DataFrame, start, end) -> DataFrame:
+def _asked_points(points: Column, start, end) -> Column:
     """Grid points from ``start`` to ``end``, both included."""
     if start is None:
-        return answers
+        return points
     at = lambda value: epoch_seconds(bound(value, TimestampType()).cast("timestamp"))
-    return answers.filter((F.col("t") >= at(start)) & (F.col("t") <= at(end)))
+    return F.filter(points, lambda t: (t >= at(start)) & (t <= at(end)))
 
 
 def rate(
@@ -159,12 +195,9 @@ def rate(
     """
     cell_s = _check(range_s, step_s)
     near = _reaching(samples, start, end, range_s)
-    spread = _asked(
-        _fragments(near, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
-    )
+    windows = _windows(_fragments(near, series, cell_s, parts), series, cell_s, range_s, step_s, parts, start, end)
     return (
-        spread.groupBy(*series, "t")
-        .agg(*_rate_parts())
+        windows.select(*series, "t", *_rate_parts())
         .filter(F.col("span_us") > 0)
         .select(*series, "t", _rate_value().alias("value"))
     )
@@ -172,10 +205,11 @@ def rate(
 
 def _rate_parts() -> list[Column]:
     # The bridge into the first cell of a window starts outside it, so it is taken off again.
-    total = F.sum("inner") + F.coalesce(F.sum("bridge"), F.lit(0.0))
-    lead_in = F.coalesce(F.min_by("bridge", "piece"), F.lit(0.0))
-    span = F.max("last_us") - F.min("first_us")
-    return [(total - lead_in).alias("increase"), span.alias("span_us")]
+    window, zero = F.col("window"), F.lit(0.0)
+    total = lambda part: F.aggregate(window, zero, lambda sum_, f: sum_ + F.coalesce(f[part], zero))
+    lead_in = F.coalesce(window[0]["bridge"], zero)
+    span = F.element_at(window, -1)["last_us"] - window[0]["first_us"]
+    return [(total("inner") + total("bridge") - lead_in).alias("increase"), span.alias("span_us")]
 
 
 def _rate_value() -> Column:
@@ -183,7 +217,7 @@ def _rate_value() -> Column:
 
 
 def _latest_parts(*names: str) -> list[Column]:
-    return [F.max_by(name, "piece").alias(name) for name in names]
+    return [F.element_at("window", -1)[name].alias(name) for name in names]
 
 
 def _irate_valid(range_s: int) -> Column:
@@ -207,12 +241,9 @@ def irate(
     """Per-second rate from the last two samples of each window."""
     cell_s = _check(range_s, step_s)
     near = _reaching(samples, start, end, range_s)
-    spread = _asked(
-        _fragments(near, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
-    )
+    windows = _windows(_fragments(near, series, cell_s, parts), series, cell_s, range_s, step_s, parts, start, end)
     return (
-        spread.groupBy(*series, "t")
-        .agg(*_latest_parts("last_us", "prev_us", "last_inc"))
+        windows.select(*series, "t", *_latest_parts("last_us", "prev_us", "last_inc"))
         .filter(_irate_valid(range_s))
         .select(*series, "t", _irate_value().alias("value"))
     )
@@ -228,17 +259,16 @@ def gauge_at(
 ) -> DataFrame:
     """Latest sample in ``(t - lookback, t]`` at each multiple of ``step_s``."""
     cell_s = _check(lookback_s, step_s)
-    latest = (
-        _reaching(samples, start, end, lookback_s).withColumn("us", epoch_micros(F.col("ts")))
+    series = list(series)
+    placed = (
+        _reaching(samples, start, end, lookback_s)
+        .select(*series, epoch_micros(F.col("ts")).alias("us"), "sample_id", "value")
         .withColumn("cell", _cell(F.col("us"), cell_s * MICROS))
-        .groupBy(*series, "cell")
-        .agg(F.max_by("value", F.struct("us", "sample_id")).alias("value"))
-    )
-    return (
-        _asked(latest.withColumn("t", _grid(cell_s, lookback_s, step_s)), start, end)
-        .groupBy(*series, "t")
-        .agg(F.max_by("value", "cell").alias("value"))
     )
+    inside = Window.partitionBy(*series, "stretch").orderBy("us", "sample_id")
+    followed = _stretches(placed, 0, lookback_s // cell_s).withColumn("next", F.lead("cell").over(inside))
+    points = _asked_points(_points_until_next(cell_s, lookback_s, step_s), start, end)
+    return followed.filter("own").select(*series, F.explode(points).alias("t"), "value")
 
 
 def query_range(
@@ -267,11 +297,9 @@ def query_range(
         F.col("namespace") == namespace
     )
     chosen = _reaching(samples, start, end, range_s).filter(wanted).withColumn("family", family)
-    spread = _asked(
-        _fragments(chosen, series, cell_s, parts).withColumn("t", _grid(cell_s, range_s, step_s)), start, end
-    )
-    folded = spread.groupBy(*series, "t").agg(
-        *_rate_parts(), *_latest_parts("last_value", "last_us", "prev_us", "last_inc")
+    windows = _windows(_fragments(chosen, series, cell_s, parts), series, cell_s, range_s, step_s, parts, start, end)
+    folded = windows.select(
+        *series, "t", *_rate_parts(), *_latest_parts("last_value", "last_us", "prev_us", "last_inc")
     )
     value = (
         F.when(F.col("family") == "gauge", F.col("last_value"))
