@@ -116,7 +116,8 @@ def services_named_in(pods: DataFrame, services: DataFrame) -> DataFrame:
 
     A name that a pod contains has all its grams in the pod's name, so each service is looked up by
     its rarest gram of at most ``GRAM`` letters and each pod by all of its own; what meets is compared
-    in full. An equi-join, with no pair of a pod and a service that have no gram in common.
+    in full. An equi-join, with no pair of a pod and a service that have no gram in common. A pod name is
+    looked up once, in however many namespaces it occurs.
     """
     names = services.select("service").filter("service IS NOT NULL").distinct()
 
@@ -130,9 +131,10 @@ def services_named_in(pods: DataFrame, services: DataFrame) -> DataFrame:
     keyed = parts.join(often, "gram").groupBy("service").agg(F.min(F.struct("n", "gram")).alias("key"))
     keyed = keyed.select("service", F.col("key.gram").alias("gram"))
     own = [grams(F.col("pod"), F.lit(n)) for n in range(GRAM + 1)]
-    looked = pods.select("namespace", "pod").distinct().withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*own)))))
-    met = looked.join(keyed, "gram").filter(F.col("pod").contains(F.col("service")))
-    return met.select("namespace", "service").distinct().withColumn("pod_exists", F.lit(True))
+    looked = pods.select("pod").distinct().withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(*own)))))
+    met = looked.join(keyed, "gram").filter(F.col("pod").contains(F.col("service"))).select("pod", "service")
+    placed = pods.select("namespace", "pod").distinct().join(met, "pod")
+    return placed.select("namespace", "service").distinct().withColumn("pod_exists", F.lit(True))
 
 
 def commands_ok(containers: DataFrame) -> DataFrame:
