@@ -67,11 +67,12 @@ def spans_of_service(
     until: int | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """``traces_of_service`` on raw nested traces, flattened after the choice instead of before.
+    """``traces_of_service`` on raw nested traces.
 
     Which traces are wanted is read off the nested spans, without their tags and references; a trace
     can be landed in several parts, so the other parts of a wanted one come in by its id. Spans are
-    taken apart once, and only those of wanted traces.
+    taken apart once, and flat ones are exchanged: of these only the columns asked for travel and are
+    worked out, while nested traces would travel whole.
     """
 
     def hit(span):
@@ -91,4 +92,4 @@ def spans_of_service(
         latest = F.array_max(F.transform(F.filter("spans", hit), lambda span: span["startTime"]))
         newest = met.groupBy("traceID").agg(F.max(latest).alias("_latest"))
         wanted = newest.orderBy(F.desc("_latest"), "traceID").limit(limit).select("traceID")
-    return flatten_spans(traces.join(wanted, "traceID", "left_semi"))
+    return flatten_spans(traces).join(wanted.withColumnRenamed("traceID", "trace_id"), "trace_id", "left_semi")
