@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -72,19 +73,33 @@ def source_gpu_trace(spark, sf):
     return oc.job_details(tables["job"], tables["task"], tables["instance"])
 
 
-def _documents(df, folder, whole, files: int = 16, broken: tuple[str, ...] = ()) -> None:
-    """One JSON document per file: ``whole`` of the rows that share a file; and some that are none."""
-    split = df.withColumn("_file", F.pmod(F.xxhash64(df.columns[0]), F.lit(files)))
-    told = split.groupBy("_file").agg(F.to_json(whole).alias("value"))
-    bad = df.sparkSession.createDataFrame([(files + i, t) for i, t in enumerate(broken)], "_file long, value string")
-    told.unionByName(bad).repartition("_file").write.partitionBy("_file").text(folder)
+#: Rows of one landed document; a larger table makes more documents, not larger ones.
+DOCUMENT_ROWS = 16_384
+
+
+def _documents(df, folder, name: str, rows: int = DOCUMENT_ROWS, broken: tuple[str, ...] = ()) -> None:
+    """One JSON document per file, ``{name: [...]}`` of at most ``rows`` rows; and some that are none.
+
+    A document is written line by line, each row on its own, so no task holds a whole one. Rows share a
+    file by their place in the input, so equal rows do not meet.
+    """
+    if rows & (rows - 1):
+        raise ValueError("rows must be a power of two, so that partitions begin new documents")
+    told = df.select(F.to_json(F.struct(*df.columns)).alias("row"), F.monotonically_increasing_id().alias("_at"))
+    placed = told.withColumn("_file", F.floor(F.col("_at") / rows).cast("long"))
+    after = F.lead("_at").over(Window.partitionBy("_file").orderBy("_at"))
+    opens = F.when(F.col("_at") % rows == 0, f'{{"{name}": [').otherwise(",")
+    line = F.concat(opens, "row", F.when(after.isNull(), "]}").otherwise(""))
+    lines = placed.select("_file", "_at", line.alias("value")).sortWithinPartitions("_file", "_at")
+    lines.select("_file", "value").write.partitionBy("_file").option("compression", "gzip").text(folder)
+    bad = df.sparkSession.createDataFrame([(-1 - i, t) for i, t in enumerate(broken)], "_file long, value string")
+    bad.write.mode("append").partitionBy("_file").text(folder)
 
 
 @query("source_trace_dump", "S2", SPANS_SQL)
 def source_trace_dump(spark, sf):
     folder = scratch_path(spark, "trace-dump")
-    traces = raw_traces(spark, sf)
-    _documents(traces, folder, F.struct(F.collect_list(F.struct(*traces.columns)).alias("data")), broken=('{"data": [{"tr',))
+    _documents(raw_traces(spark, sf), folder, "data", broken=('{"data": [{"tr',))
     return ot.flatten_spans(readers.read_trace_dump(spark, folder))
 
 
