@@ -68,7 +68,7 @@ def source_gpu_trace(spark, sf):
             F.col(c.name) if c.name in rows.columns else F.lit(None).cast(c.dataType).alias(c.name)
             for c in StructType.fromDDL(schemas.GPU_TRACE[name])
         ]
-        rows.select(*columns).write.option("header", True).csv(f"{folder}/{file}")
+        rows.select(*columns).write.option("header", True).option("compression", "gzip").csv(f"{folder}/{file}")
     tables = readers.read_gpu_trace(spark, folder)
     return oc.job_details(tables["job"], tables["task"], tables["instance"])
 
