@@ -9,17 +9,20 @@ from opsframe.plans.adapters import LINES_SQL, LOGS_SQL, logs, sessions, timed_l
 from opsframe.plans.logs import _pass_sql
 from opsframe.plans.registry import query, table
 from opsframe.plans.scoring import _EVALUATE_SQL
-from opsframe.session import scratch_path
+from opsframe.session import landed, scratch_path
 from opsframe.sources.readers import stream_source
 from opsframe.streaming import jobs, slices, stateful, timed, wide
 
 
-#: Landings of a table in order of time, and files of each; a micro-batch takes the files of one.
+#: Landings of a table in order of time, and files of each at least; a micro-batch takes the files of one.
 LANDINGS, FILES = 3, 2
+#: Rows of a landed file; a larger table is landed in more files, by as many tasks.
+ROWS_PER_FILE = 250_000
 
 
 def _landings(df) -> list:
-    """``df`` cut in order of its ``ts``, in parts of about as many rows."""
+    """``df`` cut in order of its ``ts``, in parts of about as many rows; it is worked out once."""
+    df = landed(df, "whole")
     at = [n / LANDINGS for n in range(1, LANDINGS)]
     cuts = df.select(F.unix_micros("ts").cast("double").alias("us")).approxQuantile("us", at, 0.001)
     place = sum(((F.unix_micros("ts") > int(c)).cast("int") for c in cuts), F.lit(0))
@@ -29,9 +32,10 @@ def _landings(df) -> list:
 def _tail_in_turn(spark, parts: list, label: str):
     """Land ``parts`` one after the other and tail them, a micro-batch for each."""
     folder = scratch_path(spark, label)
+    files = max(FILES, *(-(-part.count() // ROWS_PER_FILE) for part in parts))
     for part in parts:
-        part.repartition(FILES).write.mode("append").parquet(folder)
-    return stream_source(spark, folder, parts[0].schema, "parquet", max_files=FILES)
+        part.repartition(files).write.mode("append").parquet(folder)
+    return stream_source(spark, folder, parts[0].schema, "parquet", max_files=files)
 
 
 def _tick(df, after: str):
