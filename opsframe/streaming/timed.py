@@ -9,8 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -46,40 +45,42 @@ class _HoldLine(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", _HELD)
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        last = initialState.sort_values("seq").iloc[-1]
-        self.pending.update(tuple(None if pd.isna(last[c]) else last[c] for c in ("seq", "line", "mask")))
-        _rearm(self.handle, int(last["ms"]) + self.flush_after_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = [f for f in rows if key[0] is not None]
-        if not frames:
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        held = self.pending.get()
+        if held is None or initialState.seq >= held[0]:
+            self.pending.update((initialState.seq, initialState.line, initialState.mask))
+            _rearm(self.handle, initialState.ms + self.flush_after_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        lines, latest = [], None
+        for row in rows:
+            if key[0] is not None:
+                lines.append((row.seq, row.line, row.mask))
+                latest = row.ms if latest is None else max(latest, row.ms)
+        if not lines:
             return
-        columns = ["seq", "line", "mask"]
-        latest = max(int(f["ms"].max()) for f in frames)
-        batch = pd.concat(frames)[columns].astype({"line": object, "mask": object})
-        if len(batch) > self.lines_per_key + 1:
-            raise ValueError(f"numbers of stream {key[0]!r} repeat: {len(batch)} lines in {self.lines_per_key} numbers")
-        if self.pending.exists():
-            batch = pd.concat([pd.DataFrame([self.pending.get()], columns=columns, dtype=object), batch])
-        batch = batch.sort_values("seq", kind="stable")
-        repeat = batch["mask"].notna() & (batch["mask"] == batch["mask"].shift(-1))
-        last = batch.iloc[-1]
-        if int(last["seq"]) // self.lines_per_key != int(key[1]):  # the next stretch has begun
+        if len(lines) > self.lines_per_key + 1:
+            raise ValueError(f"numbers of stream {key[0]!r} repeat: {len(lines)} lines in {self.lines_per_key} numbers")
+        held = self.pending.get()
+        if held is not None:
+            lines.insert(0, tuple(held))
+        lines.sort(key=lambda line: line[0])
+        last = lines[-1]
+        if last[0] // self.lines_per_key != key[1]:  # the next stretch has begun
             self.pending.clear()
             _rearm(self.handle, None)
         else:
-            self.pending.update((int(last["seq"]), *(None if pd.isna(last[c]) else str(last[c]) for c in columns[1:])))
+            self.pending.update(last)
             _rearm(self.handle, latest + self.flush_after_ms)
-        done = batch[~repeat]
-        done = done[done["seq"] != last["seq"]]
-        yield pd.DataFrame({"stream": key[0], "seq": done["seq"].astype("int64"), "line": done["line"]})
+        for (seq, line, mask), (_, _, following) in zip(lines, lines[1:]):
+            if (mask is None or mask != following) and seq != last[0]:
+                yield Row(stream=key[0], seq=seq, line=line)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.pending.exists():
             seq, line, _ = self.pending.get()
             self.pending.clear()
-            yield pd.DataFrame({"stream": [key[0]], "seq": [seq], "line": [line]})
+            yield Row(stream=key[0], seq=seq, line=line)
 
     def close(self) -> None:
         pass
@@ -115,7 +116,7 @@ def stream_compress_flushed(
         last = before.select("stream", "seq", "line", "ts")
         shaped = _stretches(last, lines_per_key, pattern).filter(F.col("stretch") == F.floor(F.col("seq") / lines_per_key))
         held = shaped.drop("ts").groupBy("stream", "stretch")
-    return _stretches(lines.withWatermark("ts", delay), lines_per_key, pattern).groupBy("stream", "stretch").transformWithStateInPandas(
+    return _stretches(lines.withWatermark("ts", delay), lines_per_key, pattern).groupBy("stream", "stretch").transformWithState(
         _HoldLine(_milliseconds(lines, flush_after), lines_per_key),
         outputStructType=LINE_OUT,
         outputMode="Append",
@@ -134,11 +135,11 @@ class _TellOnce(StatefulProcessor):
         self.handle = handle
         self.told = handle.getValueState("told", "since LONG")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         first, latest = None, None
-        for frame in rows:  # one frame at a time; only two numbers are carried on
-            low, high = int(frame["us"].min()), int(frame["us"].max())
-            first, latest = min(low, low if first is None else first), max(high, high if latest is None else latest)
+        for row in rows:  # one row at a time; only two numbers are carried on
+            first = row.us if first is None else min(first, row.us)
+            latest = row.us if latest is None else max(latest, row.us)
         if first is None or key[0] is None:
             return
         new = not self.told.exists()
@@ -146,9 +147,9 @@ class _TellOnce(StatefulProcessor):
             self.told.update((first,))
         _rearm(self.handle, latest // 1000 + self.forget_after_ms)
         if new:
-            yield pd.DataFrame([[*key, first]], columns=[*self.columns, "since_us"])
+            yield Row(**dict(zip([*self.columns, "since_us"], [*key, first])))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.told.clear()
         return iter(())
 
@@ -169,7 +170,7 @@ def first_true_once(
     wanted = rows.withWatermark("ts", delay).filter(condition | F.col(keys[0]).isNull())
     return (
         wanted.select(*keys, "ts", F.unix_micros("ts").alias("us")).groupBy(*keys)
-        .transformWithStateInPandas(
+        .transformWithState(
             _TellOnce(_milliseconds(rows, forget_after), list(keys)),
             outputStructType=", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "since_us LONG"]),
             outputMode="Append",
