@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,7 +30,11 @@ def use_state_store(spark) -> None:
 
 
 class _HoldLine(StatefulProcessor):
-    """Keeps one line per stream back until the next one shows that it is not a repeat."""
+    """Keeps one line per stream back until the next one shows that it is not a repeat.
+
+    Streams are many and have few lines each in a micro-batch, so lines are taken as plain rows: a
+    frame per stream would cost more than its lines.
+    """
 
     def __init__(self, flush_after_ms: int | None):
         self.flush_after_ms = flush_after_ms
@@ -39,20 +43,16 @@ class _HoldLine(StatefulProcessor):
         self.handle = handle
         self.pending = handle.getValueState("pending", _PENDING)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))[["seq", "line", "mask"]].sort_values("seq", kind="stable")
-        if self.pending.exists():
-            held = pd.DataFrame([self.pending.get()], columns=["seq", "line", "mask"])
-            batch = pd.concat([held, batch])
-        batch = batch.astype({"mask": object})
-        following = batch["mask"].shift(-1)
-        repeat = batch["mask"].notna() & (batch["mask"] == following)
-        done = batch[~repeat].iloc[:-1] if not repeat.iloc[-1] else batch[~repeat]
-        last = batch.iloc[-1]
-        line, mask = (None if pd.isna(last[c]) else str(last[c]) for c in ("line", "mask"))
-        self.pending.update((int(last["seq"]), line, mask))
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        batch = sorted(((r.seq, r.line, r.mask) for r in rows), key=lambda line: line[0])
+        held = self.pending.get()
+        if held is not None:
+            batch.insert(0, tuple(held))
+        self.pending.update(batch[-1])
         self._arm(timerValues)
-        yield done[["seq", "line"]].assign(stream=key[0])[["stream", "seq", "line"]]
+        for (seq, line, mask), (_, _, following) in zip(batch, batch[1:]):
+            if mask is None or mask != following:
+                yield Row(stream=key[0], seq=seq, line=line)
 
     def _arm(self, timerValues) -> None:
         if self.flush_after_ms is None:
@@ -61,11 +61,11 @@ class _HoldLine(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.flush_after_ms)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.pending.exists():
             seq, line, _ = self.pending.get()
             self.pending.clear()
-            yield pd.DataFrame({"stream": [key[0]], "seq": [seq], "line": [line]})
+            yield Row(stream=key[0], seq=seq, line=line)
 
     def close(self) -> None:
         pass
@@ -80,7 +80,7 @@ def stream_compress(
     out. Masks are computed before the state operator, by the engine.
     """
     keyed = lines.select("stream", "seq", "line", masked_key(F.col("line"), pattern).alias("mask"))
-    return keyed.groupBy("stream").transformWithStateInPandas(
+    return keyed.groupBy("stream").transformWithState(
         _HoldLine(flush_after_ms),
         outputStructType=LINE_OUT,
         outputMode="Append",
