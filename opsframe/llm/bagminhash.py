@@ -260,7 +260,8 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     nodes = inside.select(F.col("node").alias("row")).distinct()
     whole = landed(whole.join(nodes, "row", "left_semi"), "members")
     sketch = landed(sketch.join(nodes, "row", "left_semi").select("row", "slots"), "singles")
-    inside = landed(inside.join(_profiles(whole), "node"), "open")
+    inside = landed(inside.join(_profiles(whole), "node"), "profiled")
+    inside = landed(inside.join(_untried(inside, used, similarity).select("bucket").distinct(), "bucket", "left_semi"), "open")
 
     # The members of the largest class with the fewest shingles of their own lie in the middle of it
     # and link most of the others; these then need no comparison with the whole bucket.
@@ -279,13 +280,11 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     while True:
         edges = edges.unionByName(tried)
         inside = landed(_open(_relabelled(inside.drop("largest"), tried)), "open")
-        ready = inside.filter("label <> largest").filter(_least(similarity) <= _most(similarity))
         turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        centres = landed(
-            ready.join(used, ["bucket", "node"], "left_anti").withColumn("turn", turn).filter(F.col("turn") <= share),
-            "centres",
-        )
-        if centres.isEmpty():
+        # One more than the centres of a round, to see whether the bucket has any left.
+        drawn = landed(_untried(inside, used, similarity).withColumn("turn", turn).filter(F.col("turn") <= share + 1), "centres")
+        centres, going = drawn.filter(F.col("turn") <= share), drawn.filter(F.col("turn") > share).select("bucket")
+        if drawn.isEmpty():
             return edges
         sizes = F.explode(F.sequence(_size_class(_least(similarity)), _size_class(_most(similarity))))
         asked = centres.select(
@@ -302,10 +301,20 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
             .distinct()
         )
         tried = _verified(whole, sketch, pairs, similarity)
+        # A bucket without further centres is done: of each pair of its classes one member was a centre.
+        inside = inside.join(going, "bucket", "left_semi")
+        if inside.isEmpty():
+            return edges.unionByName(tried)
         used = used.unionByName(centres.select("bucket", "node"))
         share *= CENTRES
 
 
+def _untried(inside: DataFrame, used: DataFrame, similarity: float) -> DataFrame:
+    """The members outside the largest class of their bucket that were no centre of it and can have a partner."""
+    outside = inside.filter("label <> largest").filter(_least(similarity) <= _most(similarity))
+    return outside.join(used, ["bucket", "node"], "left_anti")
+
+
 def _open(labelled: DataFrame) -> DataFrame:
     """The members (bucket, node, label) of buckets with several classes, with the ``largest`` class."""
     sizes = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("members"))
