@@ -12,12 +12,14 @@ fits; documents left over then open sequences of their own, laid end to end, and
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +29,10 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Marks the end of a document.
 END_ID = 1
 CAPACITY = 4096
-#: Words kept by a Python worker; the cache starts anew beyond it.
+#: Words kept by a Python worker, as columns; beyond it only those of the present texts stay.
 CACHE_WORDS = 150_000
+#: Bytes of text that are looked up at once.
+CHUNK_BYTES = 2_000_000
 #: Equal sizes are ranked in so many parts, so that no task ranks all documents of one length.
 SALTS = 16
 
@@ -36,6 +40,13 @@ _PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
 #: How byte-level vocabularies write bytes: printed ones as they are, the rest from 256 on.
 BYTE_LETTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 
+#: Latin letters and signs, lower-cased, which no normal form changes: their classes are known here.
+_LETTERS, _DIGITS = "a-zªµºß-öø-į", "0-9²³¹¼-¾"
+_LATIN = "^[!-~\u00a1-\u00ac\u00ae-\u012f]+$"
+_PARTS = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_DIGITS}]|[^{_LETTERS}{_DIGITS}]+")
+#: The letter of each byte, but for what stands between words and their parts.
+_WRITTEN = np.array([b if b in b"\n " else BYTE_LETTERS.get(b, b) for b in range(256)], dtype="<u2")
+
 _coders: dict[str, "Coder"] = {}
 
 
@@ -43,63 +54,94 @@ class Coder:
     """Ids of whole texts, put together from the ids of their words, each encoded once.
 
     The vocabulary's words never reach over white space, so a text's ids are those of its parts
-    between ASCII blanks. Letters before a final full stop or comma are a word of their own.
+    between ASCII blanks. Texts are split and words numbered as Arrow columns; known words lie in
+    columns, too: the ids of all of them end to end, and where each word's ids begin and end.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model.tokenize
-        self.known: dict[str, list[int]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        plain, joined = set(), []
-        for word in words:
-            if word in self.known:
-                continue
-            if word[-1] in ".,-" and word[:-1].isalpha():
-                joined.append(word)
-                plain.update((word[:-1], word[-1]))
-            else:
-                plain.add(word)
-        fresh = []
-        for word in plain:
-            if word in self.known:
-                continue
-            if word.isalpha() and max(word) < "\u0130":
-                # Letters that stay as they are but for their case: only the merges are left to do.
-                letters = word.lower()
-                seen = letters if letters.isascii() else letters.encode().decode("latin-1").translate(BYTE_LETTERS)
-                self.known[word] = [piece.id for piece in self.merges(seen)]
-            else:
-                fresh.append(word)
-        for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.known[word] = code.ids
-        for word in joined:
-            self.known[word] = self.known[word[:-1]] + self.known[word[-1]]
-
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        for at in range(0, len(texts), 64):
-            parts = [
-                _folded(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-                for t in texts[at : at + 64]
-            ]
-            self.learn({word for words in parts for word in words if word})
-            for words in parts:
-                ids: list[int] = []
-                for word in words:
-                    if word:
-                        ids += self.known[word]
-                yield ids
-
-
-def _folded(text: str) -> str:
+        #: The same vocabulary for text that is folded and split into words already.
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        #: Whether an id is the last one of a word.
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
+        self.words = pa.array([], pa.string())
+        self.ids, self.ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``words`` end to end, and the number of each word's ids."""
+        latin = pc.and_(pc.match_substring_regex(words, _LATIN), pc.invert(pc.match_substring(words, "<|")))
+        known, latin = words.filter(latin).to_pylist(), latin.to_numpy(zero_copy_only=False)
+        counts = np.zeros(len(words), dtype=np.int64)
+        split = [w if w.isalpha() else " ".join(_PARTS.findall(w.lower())) for w in known]
+        text = np.frombuffer("\n".join([*split, ""]).lower().encode(), dtype=np.uint8)
+        bounds = text[(text == 10) | (text == 32)]  # a word's end, or that of a part of it
+        text = _WRITTEN[text].tobytes().decode("utf-16-le")
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+        parts = np.flatnonzero(self.last[ids]) + 1
+        if known:
+            counts[latin] = np.diff(parts[bounds == 10], prepend=0)
+        if latin.all():
+            return ids, counts
+        # The rest goes through the whole tokenizer, word by word.
+        rest = words.filter(pa.array(~latin)).to_pylist()
+        codes = [c.ids for c in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        counts[~latin] = [len(c) for c in codes]
+        out, first = np.empty(counts.sum(), dtype="<u4"), np.repeat(latin, counts)
+        out[first], out[~first] = ids, [i for c in codes for i in c]
+        return out, counts
+
+    def _look_up(self, words: pa.Array) -> np.ndarray:
+        """The number of each of ``words``, which are distinct, among those kept."""
+        at = pc.index_in(words, self.words)
+        fresh = words.filter(pc.is_null(at))
+        if not len(fresh):
+            return at.to_numpy()
+        if len(self.words) + len(fresh) > CACHE_WORDS:
+            at = at.drop_null().to_numpy()
+            counts = np.diff(self.ends)[at]
+            self.ids = self.ids[_ranges(self.ends[at], counts)]
+            self.ends = np.append(0, np.cumsum(counts))
+            self.words = self.words.take(pa.array(at))
+        ids, counts = self._encoded(fresh)
+        self.ids = np.append(self.ids, ids)
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(counts))
+        self.words = pa.concat_arrays([self.words, fresh])
+        return pc.index_in(words, self.words).to_numpy()
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For one run of ``texts`` after the other: the ids of its texts end to end, ``END_ID`` after
+        each, and where the ids of each end."""
+        done = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // CHUNK_BYTES
+        cuts = np.flatnonzero(np.diff(done, prepend=-1, append=done[-1:] + 1))
+        for lo, hi in zip(cuts, cuts[1:]):
+            split = pc.ascii_split_whitespace(_folded(texts.slice(lo, hi - lo)))
+            offsets = split.offsets.to_numpy().astype(np.int64)
+            words = split.flatten().dictionary_encode()
+            at = self._look_up(words.dictionary.cast(pa.string()))
+            # The mark is one more word, after the last of each text.
+            ids, starts = np.append(self.ids, np.uint32(END_ID)), np.append(self.ends[:-1][at], len(self.ids))
+            counts = np.append(np.diff(self.ends)[at], 1)
+            order = np.insert(words.indices.to_numpy(), offsets[1:] - offsets[0], len(at))
+            ends = np.cumsum(counts[order])[offsets[1:] - offsets[0] + np.arange(hi - lo)]
+            yield ids[_ranges(starts[order], counts[order])], ends
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``starts[0], starts[0] + 1, ...`` (so many as counted), then those from ``starts[1]``, ..."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(counts.sum())
+
+
+def _folded(texts: pa.Array) -> pa.Array:
     """A-Z folded, as the vocabulary does later anyway; a text that may hold a control token stays as it is."""
-    return text if "<|" in text else text.encode().lower().decode()
+    return pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
 
 
 def coder(path: str) -> Coder:
@@ -119,22 +161,30 @@ def tokenise(
     """
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, ids in zip(batch["doc_id"], coder(path).encode(batch["text"].tolist())):
-                whole = np.array([*ids, END_ID], dtype="<u4")
-                for piece, start in enumerate(range(0, len(whole), capacity)):
-                    part = whole[start : start + capacity]
-                    row = (doc_id, piece, start, len(part), zlib.crc32(part.tobytes()))
-                    out.append((*row, part.astype("int32")) if with_ids else row)
-            frame = pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-            ids = [None if i is None else int(i) for i in frame["doc_id"].tolist()]
-            yield frame.assign(doc_id=pd.array(ids, dtype="Int64"))
-
-    # Ids travel as text: pandas would round those beyond 2 ** 53 where a null stands beside them.
-    given = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return given.mapInPandas(cut, schema)
+            if not batch.num_rows:
+                continue
+            done = 0
+            for ids, ends in coder(path).encode(batch.column(1)):
+                begins = np.append(0, ends[:-1])
+                pieces = -(-(ends - begins) // capacity)
+                doc = np.repeat(np.arange(len(ends)), pieces)
+                piece = _ranges(np.zeros_like(pieces), pieces)
+                start = piece * capacity
+                lo, hi = begins[doc] + start, np.minimum(begins[doc] + start + capacity, ends[doc])
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(lo, hi)]
+                columns = [
+                    batch.column(0).take(pa.array(done + doc)), pa.array(piece, pa.int32()), pa.array(start),
+                    pa.array(hi - lo), pa.array(sums, pa.int64()),
+                ]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(0, hi), pa.int32()), pa.array(ids.view("<i4"))))
+                done += len(ends)
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return given.mapInArrow(cut, schema)
 
 
 def _sweep(state: DataFrame) -> DataFrame:
