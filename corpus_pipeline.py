@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The classifier learns from all labelled documents, and labels are used for nothing else.
     """
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.train(docs, table(configure(spark), sf_dir, "labels"))
     return quality.score(docs, model).filter(F.col("score") >= 0.5).select(*COLUMNS)
 
 
@@ -29,6 +29,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of repeated rows of that document one stays; documents with a null text or doc_id all stay.
     """
+    configure(spark)
     firsts = bagminhash.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
     whole = F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     kept = (
@@ -43,6 +44,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the kind of personal data in its place; ``n_chars`` follows the new text."""
+    configure(spark)
     marked = pii.annotate(docs, pii.fit(docs))
     return (
         marked.withColumn("text", pii.mask(F.col("text"), F.col("pii")))
@@ -53,6 +55,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
+    configure(spark)
     return packing.pack(docs)
 
 

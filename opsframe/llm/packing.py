@@ -32,7 +32,9 @@ CAPACITY = 4096
 #: Words kept by a Python worker, as columns; beyond it only those of the present texts stay.
 CACHE_WORDS = 150_000
 #: Bytes of text that are looked up at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Words that the vocabulary's merges take at once; they need hundreds of bytes a word meanwhile.
+CHUNK_WORDS = 4096
 #: Equal sizes are ranked in so many parts, so that no task ranks all documents of one length.
 SALTS = 16
 
@@ -74,19 +76,23 @@ class Coder:
         self.words = pa.array([], pa.string())
         self.ids, self.ends = np.zeros(0, dtype="<u4"), np.zeros(1, dtype=np.int64)
 
-    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all ``words`` end to end, and the number of each word's ids."""
-        latin = pc.and_(pc.match_substring_regex(words, _LATIN), pc.invert(pc.match_substring(words, "<|")))
-        known, latin = words.filter(latin).to_pylist(), latin.to_numpy(zero_copy_only=False)
-        counts = np.zeros(len(words), dtype=np.int64)
-        split = [w if w.isalpha() else " ".join(_PARTS.findall(w.lower())) for w in known]
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of Latin ``words`` end to end, and the number of each word's ids."""
+        split = [w if w.isalpha() else " ".join(_PARTS.findall(w.lower())) for w in words]
         text = np.frombuffer("\n".join([*split, ""]).lower().encode(), dtype=np.uint8)
         bounds = text[(text == 10) | (text == 32)]  # a word's end, or that of a part of it
         text = _WRITTEN[text].tobytes().decode("utf-16-le")
         ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-        parts = np.flatnonzero(self.last[ids]) + 1
-        if known:
-            counts[latin] = np.diff(parts[bounds == 10], prepend=0)
+        return ids, np.diff((np.flatnonzero(self.last[ids]) + 1)[bounds == 10], prepend=0)
+
+    def _encoded(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all ``words`` end to end, and the number of each word's ids."""
+        latin = pc.and_(pc.match_substring_regex(words, _LATIN), pc.invert(pc.match_substring(words, "<|")))
+        known, latin = words.filter(latin), latin.to_numpy(zero_copy_only=False)
+        merged = [self._merged(known.slice(at, CHUNK_WORDS).to_pylist()) for at in range(0, len(known), CHUNK_WORDS)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(i for i, _ in merged)])
+        counts = np.zeros(len(words), dtype=np.int64)
+        counts[latin] = np.concatenate([counts[:0], *(n for _, n in merged)])
         if latin.all():
             return ids, counts
         # The rest goes through the whole tokenizer, word by word.

@@ -15,6 +15,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Top-n per group is cut before the exchange up to this n (the largest slice limit is 7,500).
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Long texts and their word lists reach Python workers in batches of a few MB.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 
