@@ -8,10 +8,12 @@ probability sum(min) / sum(max) of their counts. Processes stop at the latest sl
 so a document costs about as many points as it has shingles, plus slots x ln(slots).
 
 Bands of slots bring candidates together. In each bucket the members are compared with one centre
-first, so a group of n copies costs n comparisons. Where that leaves several classes, the members with
-the fewest shingles of their own are tried with the others; then further centres are taken until no
-pair of different classes is untested that its shingle counts don't rule out: a pair shares no
-shingle that only one text has, and centres meet only the size classes that they can reach.
+first, so a group of n copies costs n comparisons. Where that leaves several classes in a small bucket,
+the members with the fewest shingles of their own are tried with the others; then all become centres,
+until no pair of different classes is untested that its shingle counts don't rule out: a pair shares no
+shingle that only one text has, and centres meet only the size classes that they can reach. The
+members of a large bucket are compared by how they differ from one in its middle, the pivot: texts that
+differ from it in different places are ruled out without meeting (see ``_around_pivots``).
 Candidates that the signatures do not rule out are decided on the whole bags.
 """
 
@@ -36,10 +38,11 @@ SLOTS = BANDS * ROWS
 #: Signatures with fewer equal slots than this share cannot belong to a pair of the wanted
 #: similarity, but for a chance of 3 in 100,000 (four standard deviations).
 MARGIN = 4
-#: Partners from the largest class of a bucket that its other members are tried with first.
+#: Partners from the largest class of a bucket, the first of them its pivot, that its other members are
+#: tried with first.
 PARTNERS = 4
-#: Centres taken from a bucket in the first round; each further round takes so many times as many.
-CENTRES = 64
+#: Members of a bucket up to which all that can be a centre are; larger ones are compared around a pivot.
+CENTRES = 16
 #: Growth of the shingle count from one size class of a bucket to the next.
 SIZE_STEP = 1.02
 #: Kept clear of rounding in the bounds on shingle counts.
@@ -263,50 +266,149 @@ def _links(docs: DataFrame, sketch: DataFrame, similarity: float) -> DataFrame:
     inside = landed(inside.join(_profiles(whole), "node"), "profiled")
     inside = landed(inside.join(_untried(inside, used, similarity).select("bucket").distinct(), "bucket", "left_semi"), "open")
 
-    # The members of the largest class with the fewest shingles of their own lie in the middle of it
-    # and link most of the others; these then need no comparison with the whole bucket.
+    # A member of the largest class with few shingles of its own lies in the middle of it: in a large
+    # bucket all are compared by how they differ from it.
     rank = lambda i: F.struct(F.col("own") / F.col("n"), F.xxhash64(F.lit(i), "node"))
-    drawn = inside.filter("label = largest").groupBy("bucket").agg(
-        *[F.min_by("node", rank(i)).alias(f"p{i}") for i in range(PARTNERS)]
+    chosen = landed(
+        inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), *[
+            F.min_by(F.when(F.col("label") == F.col("largest"), F.col("node")), F.when(F.col("label") == F.col("largest"), rank(i)))
+            .alias(f"p{i}") for i in range(PARTNERS)
+        ]),
+        "partners",
     )
+    large = chosen.filter(F.col("members") > CENTRES)
+    if not large.isEmpty():
+        able = inside.filter(_least(similarity) <= _most(similarity))
+        groups = able.join(large.select("bucket", F.col("p0").alias("pivot")), "bucket").select("pivot", "node", "label").distinct()
+        found = _around_pivots(whole, sketch, landed(groups, "groups"), similarity)
+        edges = edges.unionByName(found)
+        small = chosen.filter(F.col("members") <= CENTRES).select("bucket")
+        inside = landed(_open(_relabelled(inside.drop("largest"), found).join(small, "bucket", "left_semi")), "open")
+
+    # In the others the members in the middle link most of the rest; these then need no comparison with all.
     partners = F.explode(F.array_distinct(F.array(*(f"p{i}" for i in range(PARTNERS)))))
-    pair = [F.greatest("node", "centre").alias("a"), F.least("node", "centre").alias("b")]
     waiting = inside.filter("label <> largest").join(used, ["bucket", "node"], "left_anti")
     tried = _verified(
         whole, sketch,
-        waiting.join(drawn.select("bucket", partners.alias("centre")), "bucket").select(*pair).distinct(), similarity,
+        waiting.join(chosen.select("bucket", partners.alias("centre")), "bucket").filter("node <> centre")
+        .select(*_pair("node", "centre")).distinct(),
+        similarity,
     )
-    share = CENTRES
-    while True:
-        edges = edges.unionByName(tried)
-        inside = landed(_open(_relabelled(inside.drop("largest"), tried)), "open")
-        turn = F.row_number().over(Window.partitionBy("bucket").orderBy("node"))
-        # One more than the centres of a round, to see whether the bucket has any left.
-        drawn = landed(_untried(inside, used, similarity).withColumn("turn", turn).filter(F.col("turn") <= share + 1), "centres")
-        centres, going = drawn.filter(F.col("turn") <= share), drawn.filter(F.col("turn") > share).select("bucket")
-        if drawn.isEmpty():
-            return edges
-        sizes = F.explode(F.sequence(_size_class(_least(similarity)), _size_class(_most(similarity))))
-        asked = centres.select(
-            "bucket", F.col("node").alias("centre"), F.col("label").alias("its"), F.col("n").alias("its_n"),
-            F.col("own").alias("its_own"), sizes.alias("size"),
-        )
-        common = F.least(F.col("n") - F.col("own"), F.col("its_n") - F.col("its_own"))
-        pairs = (
-            inside.withColumn("size", _size_class(F.col("n")))
-            .join(asked, ["bucket", "size"])
-            .filter("label <> its")
-            .filter(common * (1 + similarity) >= (F.col("n") + F.col("its_n")) * similarity - SLACK)
-            .select(*pair)
-            .distinct()
-        )
-        tried = _verified(whole, sketch, pairs, similarity)
-        # A bucket without further centres is done: of each pair of its classes one member was a centre.
-        inside = inside.join(going, "bucket", "left_semi")
-        if inside.isEmpty():
-            return edges.unionByName(tried)
-        used = used.unionByName(centres.select("bucket", "node"))
-        share *= CENTRES
+    edges = edges.unionByName(tried)
+    inside = landed(_open(_relabelled(inside.drop("largest"), tried)), "open")
+    sizes = F.explode(F.sequence(_size_class(_least(similarity)), _size_class(_most(similarity))))
+    asked = _untried(inside, used, similarity).select(
+        "bucket", F.col("node").alias("centre"), F.col("label").alias("its"), F.col("n").alias("its_n"),
+        F.col("own").alias("its_own"), sizes.alias("size"),
+    )
+    common = F.least(F.col("n") - F.col("own"), F.col("its_n") - F.col("its_own"))
+    pairs = (
+        inside.withColumn("size", _size_class(F.col("n")))
+        .join(asked, ["bucket", "size"])
+        .filter("label <> its")
+        .filter(common * (1 + similarity) >= (F.col("n") + F.col("its_n")) * similarity - SLACK)
+        .select(*_pair("node", "centre"))
+        .distinct()
+    )
+    return edges.unionByName(_verified(whole, sketch, pairs, similarity))
+
+
+def _pair(one: str, other: str) -> list[Column]:
+    return [F.greatest(one, other).alias("a"), F.least(one, other).alias("b")]
+
+
+def _differences(similarity: float):
+    """(pivot, node, label, words, words of the pivot) -> (pivot, node, label, near, excess, keys, by)."""
+    share = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, base = None, None
+        for batch in batches:
+            pivots = batch.column(0).to_pylist()
+            near, excess, keys, by, start = [], [], [], [], 0
+            for at in range(batch.num_rows):
+                if pivots[at] != seen:  # sorted by it
+                    seen, base = pivots[at], bag(batch.column(4)[at].values.to_numpy(zero_copy_only=False))
+                mine = bag(batch.column(3)[at].values.to_numpy(zero_copy_only=False))
+                both, index = np.unique(np.concatenate([mine[0], base[0]]), return_inverse=True)
+                more = np.bincount(index, np.concatenate([mine[1], -base[1]]), len(both)).astype(np.int64)
+                near.append(overlap(mine, base) >= similarity)
+                excess.append(float(np.abs(more).sum() - share * mine[1].sum()))
+                keys.append(both[more != 0].view(np.int64))
+                by.append(more[more != 0])
+                if at + 1 == batch.num_rows or sum(map(len, keys)) >= CHUNK:
+                    ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            *(batch.column(i).slice(start, len(keys)) for i in range(3)),
+                            pa.array(near, pa.bool_()), pa.array(excess, pa.float64()),
+                            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(keys), pa.int64())),
+                            pa.ListArray.from_arrays(ends, pa.array(np.concatenate(by), pa.int64())),
+                        ],
+                        names=["pivot", "node", "label", "near", "excess", "keys", "by"],
+                    )
+                    near, excess, keys, by, start = [], [], [], [], at + 1
+
+    return run
+
+
+def _around_pivots(whole: DataFrame, sketch: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Edges that join all pairs of the wanted similarity within the groups (pivot, node, label).
+
+    Let d be the shingles by which two bags differ, and r = (1 - s) / (1 + s): a pair has the similarity
+    s if d(A, B) <= r (|A| + |B|). With D, the difference of a bag from the pivot, and its excess
+    e = |D| - r |A|, that is the same as 2 |D(A) & D(B)| >= e(A) + e(B). Members near the pivot are
+    one class with it; if one of A and B is not, the right side is above 0, so both have to differ from
+    the pivot alike somewhere. The rarest difference that they share is one that all they share follows:
+    a list of members for each difference gives the pairs that have enough after it.
+    """
+    words_of = lambda name: whole.select(F.col("row").alias(name), words(F.col("text")).alias(f"{name}_words"))
+    rows = landed(
+        groups.join(words_of("node"), "node").join(words_of("pivot"), "pivot")
+        .select("pivot", "node", "label", "node_words", "pivot_words").sortWithinPartitions("pivot")
+        .mapInArrow(
+            _differences(similarity),
+            "pivot long, node long, label long, near boolean, excess double, keys array<long>, by array<long>",
+        ),
+        "differences",
+    )
+    edges = landed(rows.filter("near AND node <> pivot").select(*_pair("node", "pivot")), "edges")
+    # Where no member is far from the pivot, all are one class.
+    least = rows.filter("node <> pivot").groupBy("pivot").agg(
+        F.min("excess").alias("low"), F.min(F.when(~F.col("near"), F.col("excess"))).alias("low_far")
+    ).filter("low_far IS NOT NULL")
+    single = (
+        rows.filter("node <> pivot").select("pivot", "node", "near", "excess", F.inline(F.arrays_zip("keys", "by")))
+        .withColumns({"up": F.col("by") > 0, "by": F.abs("by")})
+    )
+    several = single.groupBy("pivot", "keys", "up").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1")
+    after = Window.partitionBy("pivot", "node").orderBy(F.desc("holders"), "keys", "up")
+    listed = (
+        single.join(several, ["pivot", "keys", "up"]).withColumn("rest", F.sum("by").over(after))
+        .join(F.broadcast(least), "pivot")
+        .withColumn("asks", ~F.col("near") & (2 * F.col("rest") >= F.col("excess") + F.col("low") - SLACK))
+        .withColumn("answers", 2 * F.col("rest") >= F.col("excess") + F.col("low_far") - SLACK)
+        .filter("asks OR answers")
+    )
+    listed = landed(listed.select("pivot", "keys", "up", "node", "excess", "rest", "asks", "answers"), "listed")
+    side = lambda df, name: df.select(
+        "pivot", "keys", "up", F.col("node").alias(name), F.col("excess").alias(f"{name}_excess"), F.col("rest").alias(f"{name}_rest")
+    )
+    enough = 2 * F.least("a_rest", "b_rest") >= F.col("a_excess") + F.col("b_excess") - SLACK
+    asking, answering = side(listed.filter("asks"), "a"), side(listed.filter("answers"), "b")
+    # First the member of each list that is least far from the pivot, which spares most pairs of one class.
+    first = F.min_by(F.struct("b", "b_excess", "b_rest"), F.struct("b_excess", "b"))
+    heads = answering.groupBy("pivot", "keys", "up").agg(first.alias("head")).select("pivot", "keys", "up", "head.*")
+    met = asking.join(heads, ["pivot", "keys", "up"]).filter(enough & (F.col("a") != F.col("b")))
+    found = _verified(whole, sketch, met.select(*_pair("a", "b")).distinct(), similarity)
+    edges = edges.unionByName(found)
+    labels = landed(_relabelled(groups.select("node", "label").distinct(), edges), "labels")
+    of = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"{name}_label"))
+    met = (
+        asking.join(of("a"), "a").join(answering.join(of("b"), "b"), ["pivot", "keys", "up"])
+        .filter(enough & (F.col("a_label") != F.col("b_label")))
+    )
+    return edges.unionByName(_verified(whole, sketch, met.select(*_pair("a", "b")).distinct(), similarity))
 
 
 def _untried(inside: DataFrame, used: DataFrame, similarity: float) -> DataFrame:
