@@ -73,13 +73,16 @@ def source_gpu_trace(spark, sf):
     return oc.job_details(tables["job"], tables["task"], tables["instance"])
 
 
-#: Rows of one landed document; a larger table makes more documents, not larger ones.
+#: Rows of one landed document; a larger table makes more documents, not larger ones. Sessions are whole texts.
 DOCUMENT_ROWS = 16_384
+SESSION_ROWS = 512
 
 
-def _documents(df, folder, name: str, rows: int = DOCUMENT_ROWS, broken: tuple[str, ...] = ()) -> None:
+def _documents(df, folder, name: str | None, rows: int = DOCUMENT_ROWS, broken: tuple[str, ...] = ()) -> None:
     """One JSON document per file, ``{name: [...]}`` of at most ``rows`` rows; and some that are none.
 
+    Without a name the list itself is the document.
+
     A document is written line by line, each row on its own, so no task holds a whole one. Rows share a
     file by their place in the input, so equal rows do not meet.
     """
@@ -88,8 +91,9 @@ def _documents(df, folder, name: str, rows: int = DOCUMENT_ROWS, broken: tuple[s
     told = df.select(F.to_json(F.struct(*df.columns)).alias("row"), F.monotonically_increasing_id().alias("_at"))
     placed = told.withColumn("_file", F.floor(F.col("_at") / rows).cast("long"))
     after = F.lead("_at").over(Window.partitionBy("_file").orderBy("_at"))
-    opens = F.when(F.col("_at") % rows == 0, f'{{"{name}": [').otherwise(",")
-    line = F.concat(opens, "row", F.when(after.isNull(), "]}").otherwise(""))
+    first, last = ("[", "]") if name is None else (f'{{"{name}": [', "]}")
+    opens = F.when(F.col("_at") % rows == 0, first).otherwise(",")
+    line = F.concat(opens, "row", F.when(after.isNull(), last).otherwise(""))
     lines = placed.select("_file", "_at", line.alias("value")).sortWithinPartitions("_file", "_at")
     lines.select("_file", "value").write.partitionBy("_file").option("compression", "gzip").text(folder)
     bad = df.sparkSession.createDataFrame([(-1 - i, t) for i, t in enumerate(broken)], "_file long, value string")
@@ -105,14 +109,10 @@ def source_trace_dump(spark, sf):
 
 @query("source_sessions", "S4", DOCUMENT_MESSAGES_SQL)
 def source_sessions(spark, sf):
-    """One file per session; files that are cut short or hold a wrong type are left out."""
+    """Lists of sessions, one per file; files that are cut short or hold a wrong type are left out."""
     folder = scratch_path(spark, "sessions")
-    rows = document_sessions(spark, sf)
-    told = rows.select(F.col("session_id").alias("_file"), F.to_json(F.struct(*rows.columns)).alias("value"))
-    bad = spark.createDataFrame(
-        [("cut", '{"session_id": "cu'), ("typed", '{"session_id": "typed", "start_time": "noon"}')], told.schema
-    )
-    told.unionByName(bad).repartition("_file").write.partitionBy("_file").text(folder)
+    bad = ('{"session_id": "cu', '{"session_id": "typed", "start_time": "noon"}')
+    _documents(document_sessions(spark, sf), folder, None, SESSION_ROWS, bad)
     return os_.explode_sessions(readers.read_sessions(spark, folder))
 
 
