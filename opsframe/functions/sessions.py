@@ -50,14 +50,16 @@ def tail_summary(trace: Column, n: int = 5, chars: int = 300) -> Column:
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
 
 
-def service_trace_view(trace: Column, system: Column, task: Column) -> Column:
+def service_trace_view(trace: Column, system: Column, task: Column, closing: Column | None = None) -> Column:
     """System and user message in front; a closing environment message is left out.
 
-    An empty or NULL transcript gives the two front messages.
+    ``closing`` is the number of messages in the last turn, one if not given. An empty or NULL
+    transcript gives the two front messages.
     """
+    ends = F.size(trace) - (F.lit(1) if closing is None else closing)
     message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    last_role = F.try_element_at(trace, F.lit(-1))["role"]
-    body = F.when(last_role == ENVIRONMENT, F.slice(trace, 1, F.size(trace) - 1)).otherwise(trace)
+    served = lambda m, i: (i < ends) | F.coalesce(m["role"] != ENVIRONMENT, F.lit(True))
+    body = F.filter(trace, served)
     front = F.array(message("system", system), message("user", task))
     return F.coalesce(F.concat(front, body), front)
 
